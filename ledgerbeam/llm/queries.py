@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerbeam.llm import chat, mixing
+from ledgerbeam.llm import chat, mixing, simhash
 
 QUERIES = {
     "op6_format_chats": chat.op6_format_chats,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
 ORACLES = {"op6_format_chats": chat.ORACLE_OP6}
