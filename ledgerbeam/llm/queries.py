@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerbeam.llm import chat, mixing, simhash
+from ledgerbeam.llm import chat, mixing, secrets, sentencepiece_scan, simhash, token_counts
 
 QUERIES = {
+    "op2_scan_secrets": secrets.op2_scan_secrets,
+    "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
     "op6_format_chats": chat.op6_format_chats,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_count_tokens": token_counts.op8_count_tokens,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
 ORACLES = {"op6_format_chats": chat.ORACLE_OP6}
