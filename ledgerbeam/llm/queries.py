@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerbeam.llm import chat, mixing, secrets, sentencepiece_scan, simhash, token_counts
+from ledgerbeam.llm import ann, chat, mixing, secrets, sentencepiece_scan, simhash, token_counts, vector_dedup
 
 QUERIES = {
     "op2_scan_secrets": secrets.op2_scan_secrets,
     "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
+    "op4_nearest_vectors": ann.op4_nearest_vectors,
+    "op5_vector_dedup": vector_dedup.op5_vector_dedup,
     "op6_format_chats": chat.op6_format_chats,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_count_tokens": token_counts.op8_count_tokens,
