@@ -1,5 +1,63 @@
-"""A training-data pipeline in stages, each of them one of the corpus operators."""
-STAGES = []
+"""A training-data pipeline in stages, each of them one of the corpus operators.
+
+Each stage takes (spark, docs, sf_dir), works on every document that the one before kept, and is written as
+Parquet before the next one reads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerbeam.llm import mixing, secrets, sentencepiece_scan, simhash, toxicity
+from ledgerbeam.llm.common import cut
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned score does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest doc_id; rows without an id stay."""
+    found = simhash.near_duplicates(docs)
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with their secrets masked."""
+    return secrets.redact(docs, secrets.fit(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and what they decode to."""
+    return sentencepiece_scan.decode(sentencepiece_scan.encode(docs)).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: Neither learned scores nor the seeded draws of the mix are SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a directory."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerbeam.llm import ann, chat, mixing, secrets, sentencepiece_scan, simhash, token_counts, vector_dedup
+from ledgerbeam.llm import (
+    ann,
+    chat,
+    mixing,
+    secrets,
+    sentencepiece_scan,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    vector_dedup,
+)
 
 QUERIES = {
+    "op1_score_toxicity": toxicity.op1_score_toxicity,
     "op2_scan_secrets": secrets.op2_scan_secrets,
     "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
     "op4_nearest_vectors": ann.op4_nearest_vectors,
@@ -12,6 +24,7 @@ QUERIES = {
     "op6_format_chats": chat.op6_format_chats,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_count_tokens": token_counts.op8_count_tokens,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
 ORACLES = {"op6_format_chats": chat.ORACLE_OP6}
