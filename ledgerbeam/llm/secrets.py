@@ -11,12 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerbeam.llm.common import cut
+
 #: Kinds in order of listing; `format` spans come from the automata.
 KINDS = ("assign", "access", "hex", "format")
 _WORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = re.compile(rf"""({_WORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32}[0-9a-f]*")
+HINTS = ("passw", "secret", "token", "api")
+DIGIT = re.compile("[0-9]")
 #: Tokens that the automata score: long runs of the characters of credentials, with a digit in them.
 TOKEN = re.compile("[A-Za-z0-9+/_.=-]{16,}")
 #: Credentials of each kind, and other tokens, that the automata are fitted on, at most.
@@ -25,12 +29,30 @@ SAMPLE = 400
 DEPTH = 48
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the base patterns, leftmost and non-overlapping within each kind."""
-    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
-    if "AKIA" in text:
-        found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+def _long_words(text: str, least: int = 16) -> list[tuple[int, str]]:
+    """(start, word) of the words between white space that are long enough to hold a token."""
+    at, out = 0, []
+    for word in [w for w in text.split() if len(w) >= least]:
+        at = text.find(word, at)  # shorter words can't hold it, and longer ones lie behind
+        out.append((at, word))
+        at += len(word)
+    return out
+
+
+def base_spans(text: str, long_words: list[tuple[int, str]] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the base patterns, leftmost and non-overlapping within each kind.
+
+    Most texts lack the words that the first pattern starts with, and the others match inside long words only.
+    """
+    found = []
+    low = text.lower()
+    if any(w in low for w in HINTS):
+        found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    for at, word in _long_words(text) if long_words is None else long_words:
+        if "AKIA" in word:
+            found += [(at + m.start(), at + m.end(), "access") for m in ACCESS.finditer(word) if m.end() - m.start() >= 16]
+        if len(word) >= 32:
+            found += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(word)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -163,17 +185,15 @@ class Model:
         return max(a.score(token) for a in self.formats) - self.ordinary.score(token)
 
 
-def _tokens(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+def _tokens(long_words: list[tuple[int, str]], taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
     """Candidate tokens that no base span touches."""
-    i = 0
-    for m in TOKEN.finditer(text):
-        s, e = m.span()
-        if not any(c.isdigit() for c in m[0]):
+    for at, word in long_words:
+        if not DIGIT.search(word):
             continue
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if not any(a < e and s < b for a, b, _ in taken[i : i + 4]):
-            yield s, e
+        for m in TOKEN.finditer(word):
+            s, e = at + m.start(), at + m.end()
+            if DIGIT.search(m[0]) and not any(a < e and s < b for a, b, _ in taken):
+                yield s, e
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -191,12 +211,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             rows = set()
             for text in batch["text"]:
                 text = text or ""
-                spans = base_spans(text)
+                words = _long_words(text)
+                spans = base_spans(text, words)
                 rows.update((k, (ASSIGN.match(text, s)[2] if k == "assign" else text[s:e])[:DEPTH]) for s, e, k in spans)
-                rows.update(("other", text[s:e][:DEPTH]) for s, e in _tokens(text, spans))
+                rows.update(("other", text[s:e][:DEPTH]) for s, e in _tokens(words, spans))
             yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
 
-    found = docs.select("text").mapInPandas(labelled, "kind string, value string").distinct()
+    found = cut(docs.select("text").mapInPandas(labelled, "kind string, value string").distinct())
     values: dict[str, list[str]] = {}
     for kind in ("assign", "access", "hex", "other"):
         first = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
@@ -217,8 +238,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def all_spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     """Base spans and those tokens whose format is likelier a credential's than an ordinary token's."""
-    spans = base_spans(text)
-    more = [(s, e, "format") for s, e in _tokens(text, spans) if model.gain(text[s:e]) >= model.threshold]
+    words = _long_words(text)
+    spans = base_spans(text, words)
+    more = [(s, e, "format") for s, e in _tokens(words, spans) if model.gain(text[s:e]) >= model.threshold]
     return sorted(spans + more, key=lambda x: (x[0], KINDS.index(x[2]))) if more else spans
 
 

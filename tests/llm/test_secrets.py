@@ -14,6 +14,11 @@ def test_base_spans_follow_the_rules():
         t = "".join(rng.choice(["token", "=", ": ", '"', "abc", "12345678", " ", "Secret", "é", "x"]) for _ in range(14))
         want = [m.span() for m in plain.finditer(t) if len(m[2]) >= 8]
         assert [(s, e) for s, e, k in secrets.base_spans(t) if k == "assign"] == want
+    for _ in range(300):
+        t = "".join(rng.choice(["AKIA", "0f" * 9, "Z9", "a" * 30, " ", "\n", "\u3000", "-", "é", "AKIAABCDEFGHIJ12"]) for _ in range(14))
+        want = [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert secrets.base_spans(t) == sorted(want)
 
 
 def test_automata_tell_formats_apart():
