@@ -232,13 +232,13 @@ def register_errors(spark, d):
 
 
 # one period for each line of an order, in a total order
-_LINES = f"""WITH {LEDGER}, p AS (SELECT obligation_id, row_number() OVER (PARTITION BY obligation_id ORDER BY entry_date, line_no, l_partkey, l_suppkey, amount) AS k, entry_date, amount::DOUBLE AS payment, rate FROM ledger),
+_LINES = f"""WITH {LEDGER}, p AS (SELECT obligation_id, row_number() OVER (PARTITION BY obligation_id ORDER BY entry_date, line_no, l_partkey, l_suppkey, amount) AS k, entry_date, amount::DOUBLE AS payment, rate + 0.0012345678::DOUBLE AS rate FROM ledger),
   s AS (SELECT p.*, CAST(o_totalprice AS DOUBLE) AS opening, 0.0123456789::DOUBLE AS n FROM p JOIN orders ON o_orderkey = obligation_id)"""
 
 
 def _lines(spark, d):
     order = W.partitionBy("obligation_id").orderBy("entry_date", "line_no", "l_partkey", "l_suppkey", "amount")
-    rows = ledger(spark, d).select("obligation_id", F.row_number().over(order).cast("long").alias("k"), "entry_date", F.col("amount").cast("double").alias("payment"), "rate")
+    rows = ledger(spark, d).select("obligation_id", F.row_number().over(order).cast("long").alias("k"), "entry_date", F.col("amount").cast("double").alias("payment"), (F.col("rate") + 0.0012345678).alias("rate"))
     return rows.join(read(spark, d, "orders").select(F.col("o_orderkey").alias("obligation_id"), F.col("o_totalprice").cast("double").alias("opening")), "obligation_id").withColumn("n", F.lit(0.0123456789))
 
 
