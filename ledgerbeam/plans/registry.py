@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerbeam.plans import debt_queries, ledger_queries
+from ledgerbeam.plans import debt_queries, ledger_queries, report_queries
 
-QUERIES = {**ledger_queries.QUERIES, **debt_queries.QUERIES}
-ORACLES = {**ledger_queries.ORACLES, **debt_queries.ORACLES}
+QUERIES = {**ledger_queries.QUERIES, **debt_queries.QUERIES, **report_queries.QUERIES}
+ORACLES = {**ledger_queries.ORACLES, **debt_queries.ORACLES, **report_queries.ORACLES}

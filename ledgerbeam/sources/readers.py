@@ -90,7 +90,7 @@ def _number(c: Column) -> Column:
 
 def _date(c: Column) -> Column:
     """A date from ISO text or a spreadsheet's day number."""
-    return F.coalesce(F.try_to_date(F.substr(c, F.lit(1), F.lit(10)), F.lit("yyyy-MM-dd")), F.date_add(F.lit("1899-12-30").cast("date"), _number(c).cast("int")))
+    return F.coalesce(F.try_to_date(F.substr(c, F.lit(1), F.lit(10)), "yyyy-MM-dd"), F.date_add(F.lit("1899-12-30").cast("date"), _number(c).cast("int")))
 
 
 def _nested(body: DataFrame, heads: DataFrame, **lines: Column) -> DataFrame:
