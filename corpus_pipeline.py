@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and what they decode to."""
-    return sentencepiece_scan.decode(sentencepiece_scan.encode(docs)).select(
+    return sentencepiece_scan.encode(docs, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
     )
 

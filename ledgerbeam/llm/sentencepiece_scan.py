@@ -10,8 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerbeam.llm import unigram
-from ledgerbeam.llm.unigram import NONE, PRE_TOKEN, SPACE, Pieces, encode_pre_token, forward, ids_of, normalize, path
-
+from ledgerbeam.llm.unigram import (
+    NONE,
+    PRE_TOKEN,
+    SPACE,
+    Pieces,
+    Remembered,
+    encode_pre_token,
+    forward,
+    ids_of,
+    normalize,
+    path,
+)
+
+#: Rows that a worker hands back at a time.
+ROWS = 512
 #: Characters of a chunk. Texts of up to two chunks are encoded whole.
 CHUNK = 32_768
 
@@ -174,14 +187,23 @@ def _long_texts(docs: DataFrame, pieces: Pieces, shared, chunk: int) -> DataFram
     )
 
 
-def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
+def _packer(m: Pieces) -> Remembered:
+    """Ids of pre-tokens as bytes; one cache for a worker's whole life."""
+    found = m.__dict__.get("packer")
+    if found is None:
+        found = m.packer = Remembered(lambda token: np.array(encode_pre_token(m, token), "<i4").tobytes())
+    return found
+
+
+def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) for each row: the best segmentation of every whole text, as piece ids.
 
     A text of over two chunks is cut. Its chunks give transfer matrices between boundary states, which a
     max-plus product combines along the text; the scores at each boundary then let every chunk name the state
     it is entered by, and, these composed from the end, trace its own piece of the one best path. What a text's
     chunks send is 2 KB for each 32,768 characters, so the scan of one text, itself one row, stays small.
-    Null and empty texts have no ids; repeated rows each keep their row; other columns are ignored.
+    Null and empty texts have no ids; repeated rows each keep their row; other columns are ignored. With
+    `decoded` a third column holds the text that the ids decode to.
     """
     pieces = unigram.load(model)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
@@ -190,27 +212,23 @@ def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHU
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        packed: dict[str, bytes] = {}
-
-        def pack(token: str) -> bytes:
-            found = packed.get(token)
-            if found is None:
-                found = np.array(encode_pre_token(m, token), "<i4").tobytes()
-                if len(token) <= 64:
-                    if len(packed) >= unigram.REMEMBERED:
-                        packed.clear()
-                    packed[token] = found
-            return found
-
-        for b in batches:
-            ids = [np.frombuffer(b"".join(map(pack, PRE_TOKEN.findall(normalize(t or "")))), "<i4") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
-
-    short = given.where(~is_long).mapInPandas(run, "doc_id long, ids array<int>")
+        pack = _packer(m).__getitem__
+        for whole in batches:
+            for s in range(0, len(whole), ROWS):
+                b = whole.iloc[s : s + ROWS]
+                ids = []
+                for t in b["text"]:
+                    ids.append(np.frombuffer(b"".join(map(pack, PRE_TOKEN.findall(normalize(t or "")))), "<i4"))
+                out = pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
+                yield out.assign(text=[unigram.decode(m, i.tolist()) for i in ids]) if decoded else out
+
+    more = ", text string" if decoded else ""
+    short = given.where(~is_long).mapInPandas(run, "doc_id long, ids array<int>" + more)
     # equal texts have equal ids, so a digest of the text can stand for the row
     giant = given.where(is_long).withColumn("row", F.sha2("text", 256))
     found = _long_texts(giant.dropDuplicates(["row"]), pieces, shared, chunk)
-    return short.unionByName(giant.select("doc_id", "row").join(found, "row").select("doc_id", "ids"))
+    long = giant.select("doc_id", "row").join(found, "row").select("doc_id", "ids")
+    return short.unionByName(decode(long, model) if decoded else long)
 
 
 def decode(encoded: DataFrame, model: str = unigram.DEFAULT_MODEL) -> DataFrame:
@@ -227,7 +245,7 @@ def decode(encoded: DataFrame, model: str = unigram.DEFAULT_MODEL) -> DataFrame:
 def op3_sentencepiece(spark, sf_dir):
     """Query: tokens of every document, a digest of its ids, and the digest of what they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    back = decode(encode(docs))
+    back = encode(docs, decoded=True)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

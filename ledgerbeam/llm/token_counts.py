@@ -12,7 +12,7 @@ from ledgerbeam.llm import unigram
 from ledgerbeam.llm.unigram import NONE, PRE_TOKEN, Pieces, normalize
 
 #: Nodes that a worker's trie holds before it starts anew; this bounds its memory.
-NODES = 300_000
+NODES = 700_000
 
 
 class Trie:
@@ -34,19 +34,21 @@ class Trie:
 
     def _grow(self, token: str, path: list[int], depth: int) -> int:
         """The node of token[:depth], given those of its shorter prefixes."""
-        get, score, count = self.pieces.score.get, self.score, self.count
-        best, n = NONE, 0
-        for start in range(max(0, depth - self.pieces.longest), depth):
-            s = get(token[start:depth])
-            if s is None:
-                if start < depth - 1:
-                    continue
-                s, more = self.pieces.unknown, len(token[start].encode("utf-8"))
-            else:
-                more = 1
+        get, score, count = self.pieces.ends.get, self.score, self.count
+        start = depth - 1
+        s = get(token[start])
+        if s is None or s == NONE:  # no piece of one character
+            best, n = score[path[start]] + self.pieces.unknown, count[path[start]] + len(token[start].encode("utf-8"))
+        else:
+            best, n = NONE, 0
+        while s is not None:
             at = path[start]
-            if score[at] + s > best:
-                best, n = score[at] + s, count[at] + more
+            if s != NONE and score[at] + s >= best:  # of equal scores the earliest start wins
+                best, n = score[at] + s, count[at] + 1
+            start -= 1
+            if start < 0:
+                break
+            s = get(token[start:depth])
         score.append(best)
         count.append(n)
         return len(score) - 1
@@ -112,7 +114,8 @@ def count_tokens(docs: DataFrame, model: str = unigram.DEFAULT_MODEL) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(unigram.load(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(shared.value)
+        pieces = shared.value
+        trie = pieces.__dict__.get("trie") or pieces.__dict__.setdefault("trie", Trie(pieces))  # for the worker's life
         for batch in batches:
             counts = [trie.total(t) if t else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts})

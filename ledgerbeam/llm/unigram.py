@@ -16,13 +16,17 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A pre-token: a run of spaces and what follows it. No piece has a space after another character.
 PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}]*")
 NONE = float("-inf")
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 200_000
+#: Pre-tokens that a worker remembers, in each of two generations.
+REMEMBERED = 120_000
 
 
 @dataclass
 class Pieces:
-    """The vocabulary: piece to (id, score), byte ids, the score of an unknown character, longest piece."""
+    """The vocabulary: piece to (id, score), byte ids, the score of an unknown character, longest piece.
+
+    `starts` and `ends` also hold every beginning and every ending of a piece, with no score, so that a search
+    for pieces stops where none goes on.
+    """
 
     score: dict[str, float]
     ident: dict[str, int]
@@ -30,7 +34,36 @@ class Pieces:
     byte_of: dict[int, int]
     unknown: float
     longest: int
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    starts: dict[str, float] = field(default_factory=dict)
+    ends: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for piece in self.score:
+            for k in range(1, len(piece)):
+                self.starts.setdefault(piece[:k], NONE)
+                self.ends.setdefault(piece[k:], NONE)
+        self.starts |= self.score
+        self.ends |= self.score
+        self.id_of_byte = {b: i for i, b in self.byte_of.items()}
+
+
+class Remembered(dict):
+    """A cache of `make(key)` in two generations: what is asked for again outlives what isn't."""
+
+    def __init__(self, make, size: int = REMEMBERED, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 def load(path: str = DEFAULT_MODEL) -> Pieces:
@@ -67,18 +100,23 @@ def forward(m: Pieces, text: str, entry: list[float], stop: int) -> tuple[list[f
     n = len(text)
     best = entry + [NONE] * (n + 1 - len(entry))
     back = [-1] * (n + 1)
-    get, longest, unknown = m.score.get, m.longest, m.unknown
+    get, unknown = m.starts.get, m.unknown
     for i in range(min(stop, n)):
         at = best[i]
         if at == NONE:
             continue
-        one = get(text[i], unknown) + at
-        if one > best[i + 1]:
-            best[i + 1], back[i + 1] = one, i
-        for j in range(i + 2, min(n, i + longest) + 1):
+        j = i + 1
+        s = get(text[i])
+        if s is None or s == NONE:  # no piece of one character
+            if at + unknown > best[j]:
+                best[j], back[j] = at + unknown, i
+        while s is not None:
+            if at + s > best[j]:
+                best[j], back[j] = at + s, i
+            j += 1
+            if j > n:
+                break
             s = get(text[i:j])
-            if s is not None and s + at > best[j]:
-                best[j], back[j] = s + at, i
     return best, back
 
 
@@ -86,8 +124,7 @@ def ids_of(m: Pieces, piece: str) -> list[int]:
     i = m.ident.get(piece)
     if i is not None:
         return [i]
-    to_id = m.__dict__.get("_bytes") or m.__dict__.setdefault("_bytes", {b: i for i, b in m.byte_of.items()})
-    return [to_id[b] for b in piece.encode("utf-8")]
+    return [m.id_of_byte[b] for b in piece.encode("utf-8")]
 
 
 def path(back: list[int], end: int) -> list[int]:
@@ -98,18 +135,20 @@ def path(back: list[int], end: int) -> list[int]:
     return places[::-1]
 
 
-def encode_pre_token(m: Pieces, token: str) -> tuple[int, ...]:
-    """Ids of one pre-token; results are remembered, up to a bound."""
-    found = m.known.get(token)
-    if found is None:
-        best, back = forward(m, token, [0.0], len(token))
-        places = path(back, len(token))
-        found = tuple(i for a, b in zip(places, places[1:]) for i in ids_of(m, token[a:b]))
-        if len(token) <= 64:
-            if len(m.known) >= REMEMBERED:
-                m.known.clear()
-            m.known[token] = found
-    return found
+def encode_pre_token(m: Pieces, token: str) -> list[int]:
+    """Ids of one pre-token."""
+    _, back = forward(m, token, [0.0], len(token))
+    ident, out, end = m.ident, [], len(token)
+    while end > 0:
+        start = back[end]
+        i = ident.get(token[start:end])
+        if i is None:
+            out.extend(reversed(ids_of(m, token[start:end])))
+        else:
+            out.append(i)
+        end = start
+    out.reverse()
+    return out
 
 
 def decode(m: Pieces, ids: list[int]) -> str:
