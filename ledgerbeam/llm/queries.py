@@ -14,6 +14,9 @@ from ledgerbeam.llm import (
     toxicity,
     vector_dedup,
 )
+from ledgerbeam.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_score_toxicity": toxicity.op1_score_toxicity,
@@ -27,4 +30,3 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
-ORACLES = {"op6_format_chats": chat.ORACLE_OP6}
