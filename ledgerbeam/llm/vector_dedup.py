@@ -19,6 +19,8 @@ TABLES, FOLDS = 10, 2
 PROBES = 3
 #: Rows of one bucket that one task compares with each other, at most about.
 CAP = 4000
+#: Products of unit vectors this near the threshold are taken again in the exact order.
+EDGE = 1e-9
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -77,6 +79,14 @@ def codes(units: np.ndarray, seed: int = 5) -> np.ndarray:
     return out
 
 
+def _rows(packed, dim: int) -> np.ndarray:
+    """Vectors as doubles, from single or double precision bytes."""
+    sizes = {len(p) for p in packed}
+    if sizes == {4 * dim}:
+        return np.frombuffer(b"".join(packed), np.float32).reshape(-1, dim).astype(np.float64)
+    return np.array([np.frombuffer(p, np.float32 if len(p) == 4 * dim else np.float64) for p in packed], np.float64)
+
+
 def _verified(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links inside the buckets of one group: for each class, links found here for the first time, and a root.
 
@@ -90,22 +100,24 @@ def _verified(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
             continue
         g = g.sort_values("node")
         node, weight, block = g["node"].to_numpy(np.int64), g["n"].to_numpy(np.int64), g["block"].to_numpy()
-        rows = np.frombuffer(b"".join(g["data"]), np.float64).reshape(len(g), -1)
+        rows = _rows(g["data"], int(g["dim"].iloc[0]))
         units = unit(rows)
-        all_codes = np.frombuffer(b"".join(g["codes"]), np.int64).reshape(len(g), TABLES, PROBES)
+        all_codes = np.frombuffer(b"".join(g["codes"]), np.int32).reshape(len(g), TABLES, PROBES)
         tab, code, crossing = int(g["tab"].iloc[0]), int(g["code"].iloc[0]), g["lo"].iloc[0] != g["hi"].iloc[0]
         own = all_codes[:, tab, 0] == code
         linked = np.zeros(len(g), np.int64)
         root = np.arange(len(g))
         for s in range(0, len(g), 512):
-            near = units[s : s + 512] @ units.T >= least - 1e-9
-            i, j = np.nonzero(near)
-            i = i + s
-            ok = (i < j) & (own[i] | own[j])
+            near = units[s : s + 512] @ units.T
+            i, j = np.nonzero(near >= least - EDGE)
+            ok = (i + s < j) & (own[i + s] | own[j])
             if crossing:
-                ok &= block[i] != block[j]
+                ok &= block[i + s] != block[j]
             i, j = i[ok], j[ok]
-            ok = cosine(rows[i], rows[j]) >= least
+            close = np.flatnonzero(near[i, j] < least + EDGE)  # only here rounding could decide
+            i += s
+            ok = np.ones(len(i), bool)
+            ok[close] = cosine(rows[i[close]], rows[j[close]]) >= least
             i, j = i[ok], j[ok]
             for a in range(0, len(i), 65536):
                 x, y = i[a : a + 65536], j[a : a + 65536]
@@ -162,8 +174,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, cap: int = CAP) ->
                     found = codes(unit(data))
                     flat = found.reshape(len(part), -1)
                     at = np.repeat(np.arange(len(part)), TABLES * PROBES)
-                    packed = [c.tobytes() for c in flat]
-                    raw = [d.tobytes() for d in data]
+                    packed = [c.tobytes() for c in flat.astype(np.int32)]
+                    short = data.astype(np.float32)
+                    raw = [d.tobytes() for d in (short if (short == data).all() else data)]
                     yield pd.DataFrame({
                         "label": part["label"].to_numpy()[at],
                         "dim": np.int32(dim),
