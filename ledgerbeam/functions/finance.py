@@ -60,27 +60,36 @@ def relative(a: Column, b: Column) -> Column:
 
 def present_value(flows: Column, rate: Column) -> Column:
     """Value at the first flow of equally spaced flows, by Horner's rule from the last."""
-    return F.aggregate(F.reverse(flows), F.lit(0.0), lambda acc, x: acc / (1 + rate) + x)
+    return _value(F.reverse(flows), 1 / (1 + rate))
 
 
-def irr(flows: Column, low: float = -0.9, high: float = 10.0, rounds: int = 80) -> Column:
+def _value(backwards: Column, discount: Column) -> Column:
+    return F.aggregate(backwards, F.lit(0.0), lambda acc, x: acc * discount + x)
+
+
+def irr(flows: Column, low: float = -0.9, high: float = 10.0, rounds: int = 60) -> Column:
     """The rate in (low, high) at which `flows`, an array of doubles, are worth nothing.
 
-    Bisection with built-in functions. Null if the values at both ends have one sign, or there are no flows: with
-    several roots it is one of them, with none it is null.
+    Bisection with built-in functions; sixty halvings leave nothing that a double could tell. Null if the values
+    at both ends have one sign, or there are no flows: with several roots it is one of them, with none it is null.
+    The reversed flows and the sign at the low end are bound once, as a lambda's body is evaluated in each round.
     """
-    at = lambda r: present_value(flows, r)
-    start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"))
-    sign_low = F.signum(at(F.lit(low)))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["a"] + s["b"]) / 2
-        left = F.signum(at(mid)) == sign_low
-        return F.struct(F.when(left, mid).otherwise(s["a"]).alias("a"), F.when(left, s["b"]).otherwise(mid).alias("b"))
-
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
-    bracketed = sign_low * F.signum(at(F.lit(high))) < 0
-    return F.when(bracketed, (ends["a"] + ends["b"]) / 2)
+
+    def solve(f: Column) -> Column:
+        sign = F.signum(_value(f, F.lit(1 / (1 + low))))
+        start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"), sign.alias("s"))
+
+        def halve(x: Column, _: Column) -> Column:
+            mid = (x["a"] + x["b"]) / 2
+            same = F.signum(_value(f, 1 / (1 + mid))) == x["s"]
+            up = F.struct(mid.alias("a"), x["b"].alias("b"), x["s"].alias("s"))
+            down = F.struct(x["a"].alias("a"), mid.alias("b"), x["s"].alias("s"))
+            return F.when(same, up).otherwise(down)
+
+        root = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda x: (x["a"] + x["b"]) / 2)
+        return F.when(sign * F.signum(_value(f, F.lit(1 / (1 + high)))) < 0, root)
+
+    return F.element_at(F.transform(F.array(F.reverse(flows)), solve), 1)
 
 
 def expected_interest(opening: Column, closing: Column, rate: Column, days: Column) -> Column:
