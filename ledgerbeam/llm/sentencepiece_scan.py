@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,7 +192,7 @@ def _packer(m: Pieces) -> Remembered:
     """Ids of pre-tokens as bytes; one cache for a worker's whole life."""
     found = m.__dict__.get("packer")
     if found is None:
-        found = m.packer = Remembered(lambda token: np.array(encode_pre_token(m, token), "<i4").tobytes())
+        found = m.packer = Remembered(lambda token: array("i", encode_pre_token(m, token)).tobytes())
     return found
 
 
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHU
                 for t in b["text"]:
                     ids.append(np.frombuffer(b"".join(map(pack, PRE_TOKEN.findall(normalize(t or "")))), "<i4"))
                 out = pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
-                yield out.assign(text=[unigram.decode(m, i.tolist()) for i in ids]) if decoded else out
+                yield out.assign(text=[unigram.decode(m, i) for i in ids]) if decoded else out
 
     more = ", text string" if decoded else ""
     short = given.where(~is_long).mapInPandas(run, "doc_id long, ids array<int>" + more)
@@ -237,7 +238,7 @@ def decode(encoded: DataFrame, model: str = unigram.DEFAULT_MODEL) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(text=[None if i is None else unigram.decode(shared.value, i.tolist()) for i in b["ids"]])
+            yield b.assign(text=[None if i is None else unigram.decode(shared.value, i) for i in b["ids"]])
 
     return encoded.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", text string")
 

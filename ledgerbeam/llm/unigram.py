@@ -17,15 +17,15 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}]*")
 NONE = float("-inf")
 #: Pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 120_000
+REMEMBERED = 400_000
 
 
 @dataclass
 class Pieces:
     """The vocabulary: piece to (id, score), byte ids, the score of an unknown character, longest piece.
 
-    `starts` and `ends` also hold every beginning and every ending of a piece, with no score, so that a search
-    for pieces stops where none goes on.
+    `tree` spells the pieces: a node is [score, next nodes by character], without a score where no piece ends.
+    `ends` also holds every ending of a piece, with no score. So a search for pieces stops where none goes on.
     """
 
     score: dict[str, float]
@@ -34,15 +34,17 @@ class Pieces:
     byte_of: dict[int, int]
     unknown: float
     longest: int
-    starts: dict[str, float] = field(default_factory=dict)
+    tree: dict[str, list] = field(default_factory=dict)
     ends: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for piece in self.score:
+        for piece, score in self.score.items():
+            node = [NONE, self.tree]
+            for c in piece:
+                node = node[1].setdefault(c, [NONE, {}])
+            node[0] = score
             for k in range(1, len(piece)):
-                self.starts.setdefault(piece[:k], NONE)
                 self.ends.setdefault(piece[k:], NONE)
-        self.starts |= self.score
         self.ends |= self.score
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
 
@@ -100,23 +102,24 @@ def forward(m: Pieces, text: str, entry: list[float], stop: int) -> tuple[list[f
     n = len(text)
     best = entry + [NONE] * (n + 1 - len(entry))
     back = [-1] * (n + 1)
-    get, unknown = m.starts.get, m.unknown
+    first, unknown = m.tree.get, m.unknown
     for i in range(min(stop, n)):
         at = best[i]
         if at == NONE:
             continue
         j = i + 1
-        s = get(text[i])
-        if s is None or s == NONE:  # no piece of one character
+        node = first(text[i])
+        if node is None or node[0] == NONE:  # no piece of one character
             if at + unknown > best[j]:
                 best[j], back[j] = at + unknown, i
-        while s is not None:
+        while node is not None:
+            s, after = node
             if at + s > best[j]:
                 best[j], back[j] = at + s, i
-            j += 1
-            if j > n:
+            if j == n:
                 break
-            s = get(text[i:j])
+            node = after.get(text[j])
+            j += 1
     return best, back
 
 
@@ -151,11 +154,12 @@ def encode_pre_token(m: Pieces, token: str) -> list[int]:
     return out
 
 
-def decode(m: Pieces, ids: list[int]) -> str:
-    """The text of a list of ids: the inverse of encoding, but that U+2581 in a text comes back as a space."""
+def decode(m: Pieces, ids) -> str:
+    """The text of an array or list of ids: the inverse of encoding, but that U+2581 comes back as a space."""
     text = m.text
-    if not any(i in m.byte_of for i in set(ids)):
-        joined = "".join([text[i] for i in ids])
+    ids = ids.tolist() if hasattr(ids, "tolist") else ids
+    if m.byte_of.keys().isdisjoint(ids):
+        joined = "".join(map(text.__getitem__, ids))
     else:
         out: list[str] = []
         run = bytearray()
