@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerbeam.plans import debt_queries, ledger_queries, report_queries
+from ledgerbeam.plans import debt_queries, ledger_queries, report_queries, review_queries
 
-QUERIES = {**ledger_queries.QUERIES, **debt_queries.QUERIES, **report_queries.QUERIES}
-ORACLES = {**ledger_queries.ORACLES, **debt_queries.ORACLES, **report_queries.ORACLES}
+_MODULES = (ledger_queries, debt_queries, report_queries, review_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

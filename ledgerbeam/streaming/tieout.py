@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def windowed_sums(events: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Debits, credits and net by window and kind of event; the watermark bounds the state."""
-    debit = F.when(F.col("event_type") == "error", F.col("value")).otherwise(0.0)
-    credit = F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)
+    debit = F.when(F.col("event_type") == "error", F.col("value")).otherwise(0)
+    credit = F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0)
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
