@@ -20,10 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id; rows without an id stay."""
+    """Of each group of linked fingerprints the document with the smallest doc_id; rows without an id stay.
+
+    An id whose rows have several texts stays if one of them is the first of its group.
+    """
     found = simhash.near_duplicates(docs)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    first = F.max(F.col("doc_id") == F.col("component_id"))
+    others = found.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first")).where("not first")
+    return docs.join(others.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerbeam.llm.common import tasks
 from ledgerbeam.llm.vectors import cosine, matrix, unit, usable
 
-#: Vectors of a shard, about: what one tree holds.
-SHARD = 4096
+#: Fewest and most vectors of a shard, about: what one tree holds. Larger tables get larger shards, so that fewer
+#: copies of the queries are sent.
+SHARD = (4096, 65536)
 #: Queries of a block: what meets one tree at a time.
 BLOCK = 1024
 #: Blocks of queries that one task takes through one tree, at most.
@@ -113,11 +115,11 @@ def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[place < k]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of largest cosine for each query, but the query itself.
 
-    Both inputs have vec_id and embedding; further columns are ignored. Every shard of about `shard` vectors
-    gets a tree, and every block of queries meets every tree; blocks and shards are dealt by hashes, so both
+    Both inputs have vec_id and embedding; further columns are ignored. Every shard of about `shard` vectors (by default from
+    the size of the table) gets a tree, and every block of queries meets every tree; blocks and shards are dealt by hashes, so both
     are even. With `factor` 1 pruning is exact; below it a subtree is dropped sooner, and recall falls.
     Ties go to the smaller vec_id. Vectors that are null, empty, zero or hold null or non-finite components
     take no part, on either side; only vectors of equal length are compared. Rows with equal vec_id and
@@ -130,6 +132,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     rows = clean(vectors).distinct()
     asked = clean(queries).distinct()
     n, m = rows.count(), asked.count()
+    shard = shard or min(max(SHARD[0], n // (2 * tasks(vectors.sparkSession))), SHARD[1])
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
     same = W.partitionBy("embedding").orderBy("vec_id")
     rows = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
