@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 
 from ledgerbeam.llm import ann, vector_dedup
@@ -86,4 +85,3 @@ def test_dedup_matches_brute_force(spark, cap):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(4, 8))
     assert np.allclose((vector_dedup.hadamard(x) ** 2).sum(axis=1), (x**2).sum(axis=1))
-    assert pd is not None
