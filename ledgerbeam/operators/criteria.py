@@ -9,26 +9,30 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FORM = re.compile(r"(<>|<=|>=|=|<|>)?(.*)", re.S)
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 
 
-def criterion(c: Column, text: str | int | float) -> Column:
+def criterion(c: Column, text: str | int | float, numeric: bool = False) -> Column:
     """The predicate of one criterion on column `c`; never null.
 
     `"<>"` asks for values that are there, `""` and `"="` for blanks. A number matches numbers and texts that
     read as that number. Comparisons with `<` and the like hold for numbers, and between texts where the
-    operand is no number.
+    operand is no number. With `numeric` the column is known to hold numbers: comparisons are then plain ones,
+    which scans can take over.
     """
     sign, operand = _FORM.fullmatch(str(text)).groups()
     if operand == "":
-        blank = F.coalesce(c.cast("string"), F.lit("")) == ""
+        blank = c.isNull() if numeric else F.coalesce(c.cast("string"), F.lit("")) == ""
         return ~blank if sign == "<>" else blank
-    numeric = c.cast("string").try_cast("double")
     if _NUMBER.fullmatch(operand):
-        value = F.lit(float(operand))
-        held = {"<": numeric < value, ">": numeric > value, "<=": numeric <= value, ">=": numeric >= value}.get(sign, numeric == value)
+        number = c if numeric else c.cast("string").try_cast("double")
+        value = F.lit(int(operand) if re.fullmatch(r"[+-]?[0-9]{1,18}", operand) else float(operand))
+        held = {"<": number < value, ">": number > value, "<=": number <= value, ">=": number >= value}.get(sign, number == value)
+        if numeric and sign != "<>":
+            return held & c.isNotNull()
     else:
         word = F.upper(c.cast("string"))
         if sign in ("<", ">", "<=", ">="):
@@ -56,12 +60,13 @@ def _like(word: Column, pattern: str) -> Column:
     return word.rlike("^" + "".join(wild.get(p) or re.escape(p[1:] if re.fullmatch(r"~[*?~]", p) else p) for p in parts) + "$")
 
 
-def all_of(criteria: dict[str, str | int | float | list]) -> Column:
-    """All criteria hold: column name to criterion, or to a list of them."""
+def all_of(criteria: dict[str, str | int | float | list], schema: T.StructType | None = None) -> Column:
+    """All criteria hold: column name to criterion, or to a list of them. `schema` tells which columns are numbers."""
+    numbers = {f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)} if schema else set()
     held = F.lit(True)
     for name, wanted in criteria.items():
         for one in wanted if isinstance(wanted, list) else [wanted]:
-            held = held & criterion(F.col(name), one)
+            held = held & criterion(F.col(name), one, name in numbers)
     return held
 
 
@@ -86,16 +91,16 @@ def attach(spine: DataFrame, facts: DataFrame, on: list[str], **aggregates: Colu
 
 def sumifs(spine: DataFrame, facts: DataFrame, on: list[str], value: str, name: str, **criteria) -> DataFrame:
     """Conditional sum for each key of the spine; the condition filters before the shuffle."""
-    return attach(spine, facts.where(all_of(criteria)), on, **{name: F.sum(value)})
+    return attach(spine, facts.where(all_of(criteria, facts.schema)), on, **{name: F.sum(value)})
 
 
 def countifs(spine: DataFrame, facts: DataFrame, on: list[str], name: str, **criteria) -> DataFrame:
-    return attach(spine, facts.where(all_of(criteria)), on, **{name: F.count(F.lit(1))})
+    return attach(spine, facts.where(all_of(criteria, facts.schema)), on, **{name: F.count(F.lit(1))})
 
 
 def maxifs(spine: DataFrame, facts: DataFrame, on: list[str], value: str, name: str, default, **criteria) -> DataFrame:
     """Conditional maximum; `default` where nothing matches, as a spreadsheet's 0."""
-    found = facts.where(all_of(criteria)).groupBy(*on).agg(F.max(value).alias(name))
+    found = facts.where(all_of(criteria, facts.schema)).groupBy(*on).agg(F.max(value).alias(name))
     return spine.join(found, on, "left").withColumn(name, F.coalesce(name, F.lit(default)))
 
 
@@ -104,15 +109,10 @@ def max_then_sum_after(
 ) -> DataFrame:
     """`amount` summed strictly after each key's last row that `marks` holds for; all of it where none does.
 
-    Both steps aggregate by key, so they share one shuffle of the facts.
+    Both aggregations combine before they shuffle, so a key with very many rows stays cheap.
     """
-    by_day = facts.groupBy(*on, date).agg(F.sum(amount).alias("_amount"), F.max(marks.cast("int")).alias("_mark"))
-    days = by_day.groupBy(*on).agg(
-        F.max(F.when(F.col("_mark") == 1, F.col(date))).alias(last),
-        F.collect_list(F.struct(F.col(date).alias("d"), F.col("_amount").alias("a"))).alias("_days"),
-    )
-    kind = by_day.schema["_amount"].dataType
-    after = F.filter("_days", lambda x: F.col(last).isNull() | (x["d"] > F.col(last)))
-    total = F.aggregate(after, F.lit(0).cast(kind), lambda s, x: (s + x["a"]).cast(kind))
-    found = days.select(*on, last, total.alias(name))
-    return spine.join(found, on, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast(kind))
+    latest = facts.groupBy(*on).agg(F.max(F.when(marks, F.col(date))).alias(last))
+    after = facts.join(latest, on).where(F.col(last).isNull() | (F.col(date) > F.col(last)))
+    sums = after.groupBy(*on).agg(F.sum(amount).alias(name))
+    found = spine.join(latest, on, "left").join(sums, on, "left")
+    return found.withColumn(name, F.coalesce(name, F.lit(0)).cast(sums.schema[name].dataType))
