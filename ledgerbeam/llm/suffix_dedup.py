@@ -150,7 +150,8 @@ class Finder:
             piece = text[a:b]
             pos, h, c = self.anchors(piece, np.array([0, len(piece)]))
             inner = (pos + a >= s) | (s == 0)
-            inner &= (pos + a < s + PIECE) | (b == len(text))
+            # the last but one piece may reach the end as well, but what starts in the last is left to that one
+            inner &= (pos + a < s + PIECE) | (s + PIECE > len(text) - self.length)
             # near the edges of a piece windows and contexts are cut: take anchors of windows that start in it
             lows = (pos >= self.reach) | (a == 0)
             highs = (pos + self.length <= len(piece)) | (b == len(text))
@@ -175,6 +176,9 @@ def _anchor_rows(length: int, buckets: int):
             bucket = np.concatenate(finder.high).astype(np.int64) % buckets
             order = np.lexsort((found["pos"], found["tie"], found["doc"], found["c"], found["h"], bucket))
             found, bucket = found[order], bucket[order]
+            # one place met twice, as when equal rows share a batch, is no repeat
+            once = np.r_[True, (found[1:] != found[:-1])]
+            found, bucket = found[once], bucket[once]
             same = np.r_[False, (found["c"][1:] == found["c"][:-1]) & (found["h"][1:] == found["h"][:-1]) & (bucket[1:] == bucket[:-1])]
             keys, rows = [], []
             if same.any():

@@ -95,3 +95,26 @@ def test_edge_rows(spark):
         got.setdefault(r["doc_id"], []).append(r["n_removed"])
     assert got[None] == [120] and got[9] == [0] and len(got[2]) == 3
     assert sd.remove_repeats(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_twin_rows_lose_nothing_in_one_batch_or_two(spark, parts):
+    rng = random.Random(5)
+    text = " ".join(str(rng.random()) for _ in range(40))
+    docs = spark.createDataFrame([(2, text), (2, text)], "doc_id long, text string").coalesce(1)
+    docs = docs if parts == 1 else docs.limit(1).union(docs.limit(1))
+    got = [(r["n_removed"], r["kept_sha256"]) for r in sd.remove_repeats(docs).collect()]
+    assert got == [(0, hashlib.sha256(text.encode()).hexdigest())] * 2
+
+
+def test_a_document_a_little_over_a_piece_is_not_its_own_repeat(spark):
+    rng = random.Random(6)
+    for extra in (99, 100, 150, 200, 201):
+        text = "".join(rng.choices("abcdefghijklmnop", k=sd.PIECE + extra))
+        finder = sd.Finder(100)
+        finder.high = []
+        found = finder.batch([1], [0], [text.encode()])
+        assert len(np.unique(found["pos"])) == len(found)
+        if extra == 150:
+            row = sd.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+            assert row["n_removed"] == 0 and row["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
