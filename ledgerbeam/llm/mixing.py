@@ -18,7 +18,7 @@ from ledgerbeam.llm.common import cut, word_count
 WEIGHTS = (3, 1, 2)
 #: Rows of one source in one bucket of its permutation, about.
 BUCKET_ROWS = 4096
-#: Documents after the prefix, in order of the permutation, that may fill the gap it leaves.
+#: Documents of one source that one row goes through in order, between runs that go by sums.
 FILL = 256
 
 
@@ -232,12 +232,80 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     )
 
 
+def _fill(pool: DataFrame, state: DataFrame) -> DataFrame:
+    """(source_no, rank, nth): documents after the prefix that fill its gap, nth from 0 in order of the permutation.
+
+    `pool` has (source_no, rank, size) of the documents after the prefix, `state` (source_no, gap, after, count).
+    Along the whole permutation each document that still fits is taken. A round sets aside what is larger than
+    the gap, takes the longest run that fits by running sums, and goes through the next FILL documents one by
+    one; rounds follow until no unused document fits.
+    """
+    nothing = F.expr("cast(array() as array<bigint>)")
+    rounds = []
+    while True:
+        fit = pool.join(state, "source_no").where("rank > after and size > 0 and size <= gap")
+        fit = cut(fit.withColumn("bucket", F.expr(f"rank div {BUCKET_ROWS}")))
+        if fit.isEmpty():
+            break
+        before = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        starts = fit.groupBy("source_no", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).select(
+            "source_no", "bucket", F.sum("n").over(before).alias("n"), F.sum("words").over(before).alias("words")
+        )
+        inside = W.partitionBy("source_no", "bucket").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+        placed = cut(
+            fit.withColumn("_no", F.count(F.lit(1)).over(inside)).withColumn("_sum", F.sum("size").over(inside))
+            .join(starts, ["source_no", "bucket"])
+            .withColumn("no", F.coalesce("n", F.lit(0)) + F.col("_no"))
+            .withColumn("through", F.coalesce("words", F.lit(0)) + F.col("_sum"))
+            .select("source_no", "rank", "size", "gap", "count", "no", "through")
+        )
+        run = placed.groupBy("source_no").agg(
+            F.count_if(F.col("through") <= F.col("gap")).alias("run"),
+            (F.first("gap") - F.coalesce(F.max(F.when(F.col("through") <= F.col("gap"), F.col("through"))), F.lit(0))).alias("left"),
+        )
+        ahead = placed.join(run, "source_no").where((F.col("no") > F.col("run")) & (F.col("no") <= F.col("run") + FILL))
+        walked = ahead.groupBy("source_no").agg(
+            F.first("left").alias("left"), F.array_sort(F.collect_list(F.struct("rank", "size"))).alias("next")
+        ).select(
+            "source_no",
+            F.element_at("next", -1)["rank"].alias("after"),
+            F.aggregate(
+                "next",
+                F.struct(F.col("left").alias("gap"), nothing.alias("ranks")),
+                lambda a, x: F.when(
+                    x["size"] <= a["gap"],
+                    F.struct((a["gap"] - x["size"]).alias("gap"), F.array_append(a["ranks"], x["rank"]).alias("ranks")),
+                ).otherwise(a),
+            ).alias("walk"),
+        )
+        reached = cut(
+            run.join(walked, "source_no", "left")
+            .join(placed.groupBy("source_no").agg(F.first("count").alias("count")), "source_no")
+            .select("source_no", "run", "count", "after", "walk.gap", F.coalesce("walk.ranks", nothing).alias("ranks"))
+        )
+        rounds.append(
+            placed.where("through <= gap").select("source_no", "rank", (F.col("count") + F.col("no") - 1).alias("nth"))
+        )
+        rounds.append(
+            reached.select("source_no", (F.col("count") + F.col("run")).alias("_from"), F.posexplode("ranks").alias("_at", "rank"))
+            .select("source_no", "rank", (F.col("_from") + F.col("_at")).alias("nth"))
+        )
+        # without a next document to go through, all that fitted were taken
+        state = reached.where("after is not null").select(
+            "source_no", "gap", "after", (F.col("count") + F.col("run") + F.size("ranks")).alias("count")
+        )
+    taken = pool.where("false").select("source_no", "rank", F.col("rank").alias("nth"))
+    for r in rounds:
+        taken = taken.union(r)
+    return taken
+
+
 def draws(rows: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 20, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Which documents the mix takes, how often, and where each copy goes.
 
     `rows` is what `sized_rows` gives. A source gives all its documents as often as its target is a whole
-    multiple of its size; the rest is the longest prefix of its permutation that fits, and then those of the
-    next FILL documents that still fit into the gap, first come first served. So no document is taken more
+    multiple of its size; the rest is the longest prefix of its permutation that fits, and then every document
+    after it that still fits into the gap, first come first served. So no document is taken more
     than twice at the default caps, and no source goes over its target.
     Returns the columns of `rows` with source_size, target and `copies`, an array of (shard, spot), empty for
     documents that the mix leaves out. `spot` orders a shard's documents: its local shuffle.
@@ -259,36 +327,24 @@ def draws(rows: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 20,
     ).withColumn("gap", F.col("rest_") - F.coalesce("through", F.lit(0))).select(
         F.col("source").alias("s"), "gap", "n_fit", "full_", "n_docs_"
     )
-    with_gap = ranked.join(reach, ranked["source"].eqNullSafe(reach["s"])).drop("s")
-    ahead = with_gap.where((F.col("rank") >= F.col("n_fit")) & (F.col("rank") < F.col("n_fit") + FILL))
-    nothing = F.expr("cast(array() as array<bigint>)")
-    filled = ahead.groupBy("source").agg(
-        F.first("gap").alias("gap"), F.array_sort(F.collect_list(F.struct("rank", "size"))).alias("next")
-    ).select(
-        F.col("source").alias("s2"),
-        F.aggregate(
-            "next",
-            F.struct(F.col("gap").alias("gap"), nothing.alias("ranks")),
-            lambda a, x: F.when(
-                (x["size"] > 0) & (x["size"] <= a["gap"]),
-                F.struct((a["gap"] - x["size"]).alias("gap"), F.array_append(a["ranks"], x["rank"]).alias("ranks")),
-            ).otherwise(a),
-            lambda a: a["ranks"],
-        ).alias("extra"),
-    )
+    sources = cut(reach.withColumn("source_no", F.row_number().over(W.orderBy(F.col("s").asc_nulls_last()))))
+    after = ranked.join(sources, ranked["source"].eqNullSafe(sources["s"])).where(F.col("rank") >= F.col("n_fit"))
+    pool = after.select("source_no", "rank", "size")
+    state = sources.select("source_no", "gap", (F.col("n_fit") - 1).alias("after"), F.lit(0).cast("long").alias("count"))
+    filled = cut(_fill(pool, state))
+    extras = filled.groupBy("source_no").agg(F.count(F.lit(1)).alias("n_extra"))
     quotas = cut(
-        reach.join(filled, reach["s"].eqNullSafe(filled["s2"]), "left")
-        .withColumn("extra", F.coalesce("extra", nothing))
-        .withColumn("quota", F.col("full_") * F.col("n_docs_") + F.col("n_fit") + F.size("extra"))
-        .withColumn("source_no", F.row_number().over(W.orderBy(F.col("s").asc_nulls_last())))
-        .select("s", "n_fit", "extra", "source_no", "quota")
+        sources.join(extras, "source_no", "left")
+        .withColumn("quota", F.col("full_") * F.col("n_docs_") + F.col("n_fit") + F.coalesce("n_extra", F.lit(0)))
+        .select("s", "n_fit", "source_no", "quota")
     )
     plan = quotas.join(splitting_tree(quotas, shards, seed), "source_no")
     whole = ranked.join(plan, ranked["source"].eqNullSafe(plan["s"])).drop("s")
-    extra_no = F.array_position("extra", F.col("rank"))
+    whole = whole.join(filled.withColumnRenamed("nth", "extra_no"), ["source_no", "rank"], "left")
+    nothing = F.expr("cast(array() as array<bigint>)")
     last = (
         F.when(F.col("fits"), F.array(F.col("full") * F.col("n_docs") + F.col("rank")))
-        .when(extra_no > 0, F.array(F.col("full") * F.col("n_docs") + F.col("n_fit") + extra_no - 1))
+        .when(F.col("extra_no").isNotNull(), F.array(F.col("full") * F.col("n_docs") + F.col("n_fit") + F.col("extra_no")))
         .otherwise(nothing)
     )
     passes = F.when(

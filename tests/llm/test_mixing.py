@@ -80,3 +80,18 @@ def test_hypergeometric_has_the_right_frequencies(spark):
     got = defaultdict(int, {r["h"]: r["count"] for r in h.groupBy("h").count().collect()})
     for k in range(21):
         assert abs(got[k] - n * comb(25, k) * comb(35, 20 - k) / comb(60, 20)) <= 2
+
+
+def test_a_giant_document_leaves_no_gap(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.randint(30, 50)), "a") for i in range(1500)] + [(i, "w " * 30_000, "a") for i in range(2000, 2003)]
+    rows += [(3000 + i, "v " * 100, "b") for i in range(30)]
+    for seed in (1, 20):
+        drawn = mixing.draws(mixing.sized_rows(spark.createDataFrame(rows, "doc_id long, text string, source string")), seed=seed).collect()
+        for source in "ab":
+            own = [r for r in drawn if r["source"] == source]
+            gap = own[0]["target"] - sum(r["size"] * len(r["copies"]) for r in own)
+            least = min(len(r["copies"]) for r in own)
+            assert gap >= 0 and not any(r["size"] <= gap for r in own if len(r["copies"]) == least and least < own[0]["target"] / own[0]["source_size"])
+            spots = [tuple(c) for r in own for c in r["copies"]]
+            assert len(spots) == len(set(spots))
