@@ -159,13 +159,17 @@ def describe(text: str | None, hits: _Hits) -> list[float]:
             if k < len(spans) and spans[k][0] <= m.start():
                 inside.add(i)
     plain = quoted = near = clustered = top = top_near = 0.0
+    low = high = 0  # at[low:high] are the hits within WINDOW words
     for i in at:
         exact, close = marks[i]
         if i in inside:
             quoted += exact + close
             continue
-        others = sum(1 for j in at if j != i and abs(i - j) <= WINDOW) if len(at) < 200 else WINDOW
-        clustered += (exact + close) * others
+        while at[low] < i - WINDOW:
+            low += 1
+        while high < len(at) and at[high] <= i + WINDOW:
+            high += 1
+        clustered += (exact + close) * (high - low - 1)
         plain += exact
         near += close
         top, top_near = max(top, exact), max(top_near, close)

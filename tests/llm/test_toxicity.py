@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -84,3 +85,13 @@ def test_nothing_to_learn_from(spark, corpus):
         model = tox.fit(docs, some)
         assert tox.score(docs, model).where("score >= 0.5").count() == 0
     assert tox.score(docs.where("false"), model).count() == 0
+
+
+def test_many_hits_count_their_neighbours():
+    hits = tox._Hits(tox.Automaton(ENTRIES))
+    assert tox.describe(("idiot" + " x" * 99 + " ") * 250, hits)[3] == 0
+    rng = random.Random(7)
+    words = [rng.choice(["idiot", "x", "x", "x"]) for _ in range(1500)]
+    at = [i for i, w in enumerate(words) if w == "idiot"]
+    want = sum(5.0 * (sum(abs(i - j) <= tox.WINDOW for j in at) - 1) for i in at)
+    assert len(at) > 250 and tox.describe(" ".join(words), hits)[3] == pytest.approx(math.log1p(want))
