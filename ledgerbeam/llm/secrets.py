@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ledgerbeam.llm.common import cut
 
+LOG = logging.getLogger(__name__)
+
 #: Kinds in order of listing; `format` spans come from the automata.
 KINDS = ("assign", "access", "hex", "format")
 _WORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -172,17 +175,22 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
 
 @dataclass
 class Model:
-    """Automata of credentials by kind, one of ordinary tokens, and the least gain that marks a secret."""
+    """Automata of credentials by kind, one of ordinary tokens, and the least gain of each kind that marks a secret."""
 
     formats: list[Automaton]
     ordinary: Automaton | None
-    threshold: float
+    thresholds: list[float]
+
+    def gains(self, token: str) -> list[float]:
+        """Log-likelihood ratios by character: each format against ordinary tokens."""
+        if self.ordinary is None:
+            return []
+        plain = self.ordinary.score(token)
+        return [a.score(token) - plain for a in self.formats]
 
-    def gain(self, token: str) -> float:
-        """Log-likelihood ratio by character: the best format against ordinary tokens."""
-        if not self.formats or self.ordinary is None:
-            return -math.inf
-        return max(a.score(token) for a in self.formats) - self.ordinary.score(token)
+    def marks(self, token: str) -> bool:
+        """Whether the token passes the threshold of a kind."""
+        return any(g >= t for g, t in zip(self.gains(token), self.thresholds))
 
 
 def _tokens(long_words: list[tuple[int, str]], taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -196,14 +204,71 @@ def _tokens(long_words: list[tuple[int, str]], taken: list[tuple[int, int, str]]
                 yield s, e
 
 
+def chain(samples: list[str]) -> Automaton:
+    """The automaton whose state is the last symbol: coarse, but few odd strings among the samples can't shape it."""
+    counts: dict[str, dict[str, float]] = {"": {}}
+    for text in samples:
+        last = ""
+        for c in text[:DEPTH]:
+            s = symbol(c)
+            counts[last][s] = counts[last].get(s, 0.0) + 1.0
+            counts.setdefault(s, {})
+            last = s
+    name = {s: i for i, s in enumerate(counts)}
+    ways = [{s: v / sum(out.values()) for s, v in out.items()} for out in counts.values()]
+    return Automaton([name] * len(name), ways)
+
+
+def _edge(model: Automaton, ordinary: Automaton, kept_back: list[str]) -> float:
+    """The gain that nine tenths of the kept-back credentials reach."""
+    gains = sorted(model.score(x) - ordinary.score(x) for x in kept_back)
+    return gains[len(gains) // 10]
+
+
+def separate(known: dict[str, list[str]], others: list[str]) -> Model:
+    """Formats of the known credentials, ordinary tokens without those that score as credentials, and thresholds.
+
+    Other tokens are unlabelled, and some may be secrets that no base pattern knows. By chains of symbols, those
+    as likely a kind's as ordinary, or likelier, leave the ordinary ones, whose chain is counted anew until none leaves. A
+    kind's threshold then lies half way from what 39 of 40 of the rest stay below to what nine tenths of its
+    kept-back credentials gain, by the inferred automata; it is at least 0, where either is as likely. A kind
+    that over half of the other tokens are likelier in can't be told from them; it is left out, and logged.
+    """
+    parts = {k: (v[len(v) // 3 :], v[: len(v) // 3]) for k, v in known.items()}
+    chains = {k: chain(train) for k, (train, _) in parts.items()}
+    rest, passed = others, {k: set() for k in parts}
+    while parts:
+        ordinary = chain(rest)
+        for k in parts:
+            passed[k] |= {x for x in others if chains[k].score(x) >= ordinary.score(x)}
+        alike = [k for k in parts if 2 * len(passed[k]) > len(others)]
+        if alike:
+            LOG.warning("credentials of kind %s look like other tokens; their format marks nothing", ", ".join(alike))
+            parts = {k: v for k, v in parts.items() if k not in alike}
+            rest, passed = others, {k: set() for k in parts}
+            continue
+        fewer = [x for x in others if not any(x in p for p in passed.values())]
+        if len(fewer) < 20:
+            LOG.warning("formats are off: under 20 other tokens look ordinary")
+            break
+        if len(fewer) == len(rest):
+            model = Model([infer(train) for train, _ in parts.values()], infer(rest), [])
+            for a, (_, back) in zip(model.formats, parts.values()):
+                low = sorted(a.score(x) - model.ordinary.score(x) for x in rest)
+                edge = _edge(a, model.ordinary, back)
+                bad = min(low[len(low) * 39 // 40], edge)
+                model.thresholds.append(max(0.0, bad + 0.5 * (edge - bad)))
+            return model
+        rest = fewer
+    return Model([], None, [])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn formats from the credentials that the base patterns label, in all of `docs`.
 
     For each kind, and for tokens outside base spans, the `sample` distinct strings with the smallest hashes
-    are fitted on; finding them reads every text. A third of each is kept back: the threshold
-    lies half way from what 39 of 40 ordinary tokens stay below (the others may be secrets that no base pattern
-    knows) to what nine tenths of the kept-back credentials pass. If these cross, or a class has under 20
-    strings, the automata mark nothing.
+    are fitted on; finding them reads every text. A third of each credential kind is kept back. `separate` finds
+    the thresholds. Where a class has under 20 strings the automata mark nothing, which is logged.
     """
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,23 +289,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         values[kind] = [r["value"] for r in first.collect()]
     known = {k: v for k, v in values.items() if k != "other" and len(v) >= 20}
     if not known or len(values["other"]) < 20:
-        return Model([], None, math.inf)
-    formats = [infer(v[len(v) // 3 :]) for v in known.values()]
-    others = values["other"]
-    model = Model(formats, infer(others[len(others) // 3 :]), math.inf)
-    bad = sorted(model.gain(x) for x in others)[len(others) * 39 // 40]
-    good = sorted(model.gain(x) for v in known.values() for x in v[: len(v) // 3])
-    least = good[len(good) // 10]
-    if least > bad:
-        model.threshold = bad + 0.5 * (least - bad)
-    return model
+        LOG.warning("formats are off: under 20 credentials of every kind, or under 20 other tokens")
+        return Model([], None, [])
+    return separate(known, values["other"])
 
 
 def all_spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     """Base spans and those tokens whose format is likelier a credential's than an ordinary token's."""
     words = _long_words(text)
     spans = base_spans(text, words)
-    more = [(s, e, "format") for s, e in _tokens(words, spans) if model.gain(text[s:e]) >= model.threshold]
+    more = [(s, e, "format") for s, e in _tokens(words, spans) if model.marks(text[s:e])]
     return sorted(spans + more, key=lambda x: (x[0], KINDS.index(x[2]))) if more else spans
 
 

@@ -49,3 +49,38 @@ def test_scan_and_redact(spark):
     assert clean[202] == "bare [SECRET] here" and clean[200] is None and "[SECRET]" in clean[0] and 'token' not in clean[0]
     assert secrets.scan(docs.where("false"), model).count() == 0
     assert secrets.fit(docs.where("false")).formats == []
+
+
+def test_unknown_secrets_among_the_other_tokens_stay_marked():
+    rng = random.Random(9)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    hexes = lambda n, k: [draw("0123456789abcdef", n) for _ in range(k)]
+    for size in (90, 300):
+        for share in (0.05, 0.1, 0.2):
+            unknown = hexes(30, int(size * share))
+            cards = [draw("0123456789", 16) for _ in range(size - len(unknown))]
+            others = unknown + cards
+            rng.shuffle(others)
+            model = secrets.separate({"hex": hexes(40, 90), "assign": hexes(40, 90)}, others)
+            fresh, plain = hexes(30, 200), [draw("0123456789", 16) for _ in range(200)]
+            assert sum(map(model.marks, unknown)) >= 0.9 * len(unknown)
+            assert sum(map(model.marks, fresh)) >= 180
+            assert sum(map(model.marks, plain)) <= 10
+
+
+def test_a_kind_like_ordinary_tokens_is_left_out(caplog):
+    rng = random.Random(10)
+    cards = ["".join(rng.choice("0123456789") for _ in range(16)) for _ in range(300)]
+    model = secrets.separate({"assign": cards[:100]}, cards[100:])
+    assert not any(map(model.marks, cards)) and "assign" in caplog.text
+
+
+def test_a_fifth_of_unknown_secrets_does_not_switch_the_scan_off(spark):
+    rng = random.Random(12)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    rows = [(i, f'token = "{draw("0123456789abcdef", 40)}" and {draw("0123456789", 16)} end') for i in range(120)]
+    rows += [(1000 + i, f'bare {draw("0123456789abcdef", 30)} here') for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.fit(docs)).collect()}
+    assert sum(clean[1000 + i] == "bare [SECRET] here" for i in range(30)) >= 27
+    assert sum(bool(re.search("[0-9]{16} end", clean[i])) for i in range(120)) >= 117
