@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm import mixing, secrets, sentencepiece_scan, simhash, toxicity
+from ledgerbeam.llm import mixing, near_copies, secrets, sentencepiece_scan, toxicity
 from ledgerbeam.llm.common import cut
 
 
@@ -20,11 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id; rows without an id stay.
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id; rows without an id stay.
 
     An id whose rows have several texts stays if one of them is the first of its group.
     """
-    found = simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs)
     first = F.max(F.col("doc_id") == F.col("component_id"))
     others = found.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first")).where("not first")
     return docs.join(others.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
