@@ -1,27 +1,24 @@
-"""Cell references in formulas: moved when sheets are stacked into one.
+"""Cell references in formulas, moved when sheets are stacked into one: Column expressions only.
 
-Formulas are text, so this is string work: a small tokenizer finds the ranges outside of quoted text.
+A formula is cut into tokens by one pattern. A token that is a reference becomes a record of its fields (sheet,
+whether it was named, and for each corner of the range the column, the mark before the row and the row); the
+record is shifted and written out again. Everything else is handed on as it stands.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-_NAME = r"[^\W\d][\w.]*"
-_SHEET = rf"(?:(?:'(?:[^']|'')+'|{_NAME})!)"
-_CELL = r"\$?[A-Z]{1,3}\$?[0-9]+"
+_SHEET = r"(?:(?:'(?:[^']|'')+'|[\p{L}_][\w.]*)!)"
+_CORNER = r"\$?[A-Z]{1,3}\$?[0-9]+"
 _COLUMN = r"\$?[A-Z]{1,3}"
-#: Quoted text, which stays; a reference with or without its sheet; any other name, number or sign.
-_TOKEN = re.compile(
-    rf'(?P<text>"(?:[^"]|"")*")'
-    rf"|(?P<ref>{_SHEET}?(?:{_CELL}(?::{_CELL})?|{_COLUMN}:{_COLUMN})(?![\w(.!]))"
-    rf"|(?P<other>'(?:[^']|'')*'|[\w.$]+|.)",
-    re.S,
-)
+_RANGE = rf"(?:{_CORNER}(?::{_CORNER})?|{_COLUMN}:{_COLUMN})"
+#: Quoted text; a reference with or without its sheet; a quoted name; any other name, number or sign.
+_TOKEN = rf"""(?sU)"(?:[^"]|"")*"|{_SHEET}?{_RANGE}(?![\w(.!])|'(?:[^']|'')*'|[\w.$]+|."""
+_REFERENCE = rf"(?sU)^{_SHEET}?{_RANGE}$"
 
 
 @dataclass(frozen=True)
@@ -34,65 +31,92 @@ class Move:
     last: int
 
 
-def quote(sheet: str) -> str:
-    """A sheet's name as a formula has to write it."""
-    return sheet if re.fullmatch(r"[A-Za-z0-9_]+", sheet) else f"'{sheet}'"
+def _table(entries: dict[str, Column], kind: str) -> Column:
+    """A map from sheet names, as a literal: workbooks have few sheets."""
+    if not entries:
+        return F.expr(f"cast(map() as map<string,{kind}>)")
+    return F.create_map(*[x for name, value in entries.items() for x in (F.lit(name), value)])
 
 
-def split(ref: str, here: str) -> tuple[str, str, bool]:
-    """(sheet, reference, whether the sheet was named)."""
-    sheet, bang, rest = ref.rpartition("!")
-    return (sheet.strip("'"), rest, True) if bang else (here, ref, False)
+def moves_table(moves: dict[str, Move]) -> Column:
+    return _table(
+        {
+            name: F.struct(F.lit(m.sheet).alias("sheet"), F.lit(m.offset).alias("offset"), F.lit(m.first).alias("first"), F.lit(m.last).alias("last"))
+            for name, m in moves.items()
+        },
+        "struct<sheet:string,offset:int,first:int,last:int>",
+    )
+
+
+def sheet_name(sheet: Column) -> Column:
+    """A sheet's name as a formula has to write it: in quotes, with inner ones doubled, unless it is plain."""
+    return F.when(sheet.rlike("^[A-Za-z0-9_]+$"), sheet).otherwise(F.concat(F.lit("'"), F.replace(sheet, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
+def fields(reference: Column, here: Column) -> Column:
+    """(sheet, named, corners of (col, mark, row)) of a reference in a formula of sheet `here`; row is null in whole columns."""
+    prefix = F.regexp_extract(reference, rf"(?sU)^({_SHEET})", 1)
+    bare = F.left(prefix, F.length(prefix) - 1)
+    name = F.when(bare.startswith("'"), F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit("''"), F.lit("'"))).otherwise(bare)
+    corner = lambda c: F.struct(
+        F.regexp_extract(c, rf"^({_COLUMN})", 1).alias("col"),
+        F.regexp_extract(c, r"(\$?)[0-9]+$", 1).alias("mark"),
+        F.regexp_extract(c, r"([0-9]+)$", 1).try_cast("bigint").alias("row"),
+    )
+    rest = F.substring(reference, F.length(prefix) + 1, F.length(reference))
+    return F.struct(
+        F.when(prefix == "", here).otherwise(name).alias("sheet"),
+        (prefix != "").alias("named"),
+        F.transform(F.split(rest, ":"), corner).alias("corners"),
+    )
 
 
-def move_reference(ref: str, here: str, moves: dict[str, Move], renamed: dict[str, str] | None = None) -> str:
-    """A reference in a formula of sheet `here`, after the moves.
+def moved(ref: Column, token: Column, home: Column, table: Column, renamed: Column) -> Column:
+    """The reference with these `fields` after the moves; `home` is the sheet that its formula ends up on.
 
-    Rows shift, absolute ones too. Whole columns become the moved sheet's rows. The sheet is left out where the
-    formula itself ends up on that sheet. A sheet that doesn't move keeps its references, or is renamed.
+    Rows shift, absolute ones too. Whole columns end at the rows of the moved sheet. The sheet is written only
+    where it isn't the formula's own. A sheet that stays keeps its references, under its new name if it has one.
     """
-    sheet, rest, named = split(ref, here)
-    to = moves.get(sheet)
-    if to is None:
-        return f"{quote(renamed[sheet])}!{rest}" if named and renamed and sheet in renamed else ref
-    if re.fullmatch(rf"{_COLUMN}:{_COLUMN}", rest):
-        a, b = rest.split(":")
-        moved = f"{a}${to.first}:{b}${to.last}"
-    else:
-        moved = re.sub(r"(\$?[A-Z]{1,3}\$?)([0-9]+)", lambda m: m[1] + str(int(m[2]) + to.offset), rest)
-    home = moves[here].sheet if here in moves else here
-    return moved if to.sheet == home else f"{quote(to.sheet)}!{moved}"
-
-
-def translate(formula: str | None, here: str, moves: dict[str, Move], renamed: dict[str, str] | None = None) -> str | None:
-    """A formula with its references moved; what is no formula comes back as it is."""
-    if not isinstance(formula, str) or not formula.startswith("="):
-        return formula
-    return "=" + "".join(
-        move_reference(m[0], here, moves, renamed) if m.lastgroup == "ref" else m[0] for m in _TOKEN.finditer(formula[1:])
+    to = F.try_element_at(table, ref["sheet"])
+    edge = lambda i: F.when(i == 0, to["first"]).otherwise(to["last"])
+    shifted = F.transform(
+        ref["corners"],
+        lambda c, i: F.when(c["row"].isNull(), F.concat(c["col"], F.lit("$"), edge(i).cast("string"))).otherwise(
+            F.concat(c["col"], c["mark"], (c["row"] + to["offset"]).cast("string"))
+        ),
     )
+    body = F.array_join(shifted, ":")
+    away = F.concat(sheet_name(to["sheet"]), F.lit("!"), body)
+    new = F.try_element_at(renamed, ref["sheet"])
+    other = F.concat(sheet_name(new), F.lit("!"), F.element_at(F.split(token, "!"), -1))
+    return F.when(to.isNotNull(), F.when(to["sheet"] == home, body).otherwise(away)).when(ref["named"] & new.isNotNull(), other).otherwise(token)
+
+
+def translate(formula: Column, here: Column, moves: dict[str, Move], renamed: dict[str, str] | None = None) -> Column:
+    """A formula of sheet `here` with its references moved; what is no formula, null too, comes back as it is."""
+    table, names = moves_table(moves), _table({k: F.lit(v) for k, v in (renamed or {}).items()}, "string")
+    home = F.coalesce(F.try_element_at(table, here)["sheet"], here)
+    tokens = F.regexp_extract_all(F.substring(formula, F.lit(2), F.length(formula)), F.lit(_TOKEN), 0)
+    rewritten = F.transform(tokens, lambda t: F.when(t.rlike(_REFERENCE), moved(fields(t, here), t, home, table, names)).otherwise(t))
+    return F.when(formula.startswith("="), F.concat(F.lit("="), F.array_join(rewritten, ""))).otherwise(formula)
 
 
 def translate_cells(cells: DataFrame, moves: dict[str, Move], renamed: dict[str, str] | None = None) -> DataFrame:
-    """Move a table of cells (sheet, row, col, value): formulas, places and provenance.
+    """Move a table of cells (sheet, row, col, value): formulas, places and provenance, one row at a time in the JVM.
 
     Cells of moved sheets land on their new sheet; src_sheet and src_row say where they were. is_calculated
     marks moved formulas.
     """
-
-    def run(batches):
-        for b in batches:
-            to = [moves.get(s) for s in b["sheet"]]
-            yield pd.DataFrame({
-                "sheet": [t.sheet if t else s for t, s in zip(to, b["sheet"])],
-                "row": [int(r) + (t.offset if t else 0) for t, r in zip(to, b["row"])],
-                "col": b["col"],
-                "value": [translate(v, s, moves, renamed) for v, s in zip(b["value"], b["sheet"])],
-                "src_sheet": b["sheet"],
-                "src_row": b["row"],
-                "is_calculated": [t is not None and isinstance(v, str) and v.startswith("=") for t, v in zip(to, b["value"])],
-            })
-
-    return cells.select("sheet", "row", "col", "value").mapInPandas(
-        run, "sheet string, row int, col int, value string, src_sheet string, src_row int, is_calculated boolean"
+    to = F.try_element_at(moves_table(moves), F.col("sheet"))
+    formula = F.coalesce(F.col("value").startswith("="), F.lit(False))
+    # src_sheet and src_row first: inside a lambda, `sheet` could also be taken for the new column of that name
+    named = cells.select("col", "value", F.col("sheet").alias("src_sheet"), F.col("row").alias("src_row"), to.alias("to"), formula.alias("formula"))
+    return named.select(
+        F.coalesce("to.sheet", "src_sheet").alias("sheet"),
+        (F.col("src_row") + F.coalesce("to.offset", F.lit(0))).cast("int").alias("row"),
+        "col",
+        translate(F.col("value"), F.col("src_sheet"), moves, renamed).alias("value"),
+        "src_sheet",
+        "src_row",
+        (F.col("to").isNotNull() & F.col("formula")).alias("is_calculated"),
     )

@@ -154,7 +154,10 @@ def schedule_json(spark, d):
     return sinks.schedules_json(lines)
 
 
-@query()
+@query("""WITH c AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'Ledger' ELSE 'Main' END AS src_sheet, l_partkey::INT AS k, l_linenumber::INT AS col FROM lineitem)
+  SELECT CASE WHEN src_sheet = 'Ledger' THEN 'Report' ELSE src_sheet END AS sheet, (CASE WHEN src_sheet = 'Ledger' THEN k + 10 ELSE k END)::INT AS row, col, src_sheet, k AS src_row, src_sheet = 'Ledger' AS is_calculated,
+    CASE WHEN src_sheet = 'Ledger' THEN '=SUMIFS($J$6001:$J$9000,A' || (k + 10) || ',"Ledger!A1")+B$' || (k + 10) || '*''Rates 2026''!C4'
+    ELSE '=SUMIFS(Report!$J$6001:$J$9000,Report!A' || (k + 10) || ',"Ledger!A1")+B$' || k || '*''Rates 2026''!C4' END AS value FROM c""")
 def a1_translate(spark, d):
     """Formulas over two sheets, made from the lines, moved onto one stacked sheet."""
     moves = {"Ledger": refs.Move("Report", 10, 11, 5000), "Detail 62": refs.Move("Report", 6000, 6001, 9000)}
