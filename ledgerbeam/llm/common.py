@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+#: Folders that `cut` has written and nothing has deleted yet.
+_WRITTEN: set[str] = set()
 
 #: ASCII white space (tab to carriage return, and space) ends a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where none is set."""
+    """The folder that driver and executors share; one of its own only on a single machine where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ledgerbeam-")
+        atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -29,12 +42,55 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends here.
 
-    The files outlive lost executors, and Parquet keeps them smaller than a checkpoint.
+    The files outlive lost executors, and Parquet keeps them smaller than a checkpoint. `release` deletes them
+    once nothing reads them; those behind a result stay for as long as the result may be read, until `clear`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    _WRITTEN.add(path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables from `cut` that no later work reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.cut_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all files that `cut` has left in this session, once its results have been used."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
+def by_text(df: DataFrame, keep: list[str], added: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The columns `keep` of `df` as they are, and those in the schema `added` that are made from `text`.
+
+    `make` is called once in a task and gives a function from the texts of a batch to lists, one for each added
+    column. The other columns stay Arrow arrays, so whole numbers beside nulls keep every digit.
+    """
+    kept = StructType([df.schema[k] for k in keep])
+    more = StructType.fromDDL(added)
+    kinds = [to_arrow_type(f.dataType) for f in more]
+    names = [*keep, *more.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
+        for b in batches:
+            columns = find(b.column(len(keep)).to_pylist())
+            made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + made, names)
+
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.col("text")).mapInArrow(run, StructType([*kept, *more]))
 
 
 def word_count(text: Column) -> Column:

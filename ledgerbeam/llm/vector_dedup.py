@@ -2,57 +2,83 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import cut, split_hot, tasks
+from ledgerbeam.llm.common import cut, release, tasks
 from ledgerbeam.llm.components import components
-from ledgerbeam.llm.vectors import cosine, matrix, unit, usable
+from ledgerbeam.llm.vectors import cosine, unit, usable
 
-#: Hash tables; each code joins FOLDS cross-polytope hashes.
-TABLES, FOLDS = 10, 2
 #: Buckets that a vector goes to in each table: its own and the likeliest others.
-PROBES = 3
-#: Rows of one bucket that one task compares with each other, at most about.
-CAP = 4000
+PROBES = 4
+#: Codes of a table for each vector of the whole input, at least: folds are added until there are as many.
+ROOM = 16
+#: Folds of a code, at most.
+MOST_FOLDS = 8
+#: A pair right at the threshold meets in no table with this probability, about; tables are added until then.
+MISSED = 1e-5
+#: Rows of one bucket that one task holds against each other, at most about.
+CAP = 2000
+#: Runs of up to so many rows go pair by pair at equal distances, longer ones as products of matrices.
+SHORT = 32
 #: Products of unit vectors this near the threshold are taken again in the exact order.
 EDGE = 1e-9
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of the rows, whose length is a power of two; orthonormal."""
+    """Walsh-Hadamard transform of the rows, whose length is a power of two; orthonormal. Sixteen at a time."""
     n, d = x.shape
-    x = x.copy()
     step = 1
     while step < d:
-        x = x.reshape(n, d // (2 * step), 2, step)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2)
-        step *= 2
-        x = x.reshape(n, d)
+        radix = min(16, d // step)
+        small = np.array([[1.0]])
+        while len(small) < radix:
+            small = np.block([[small, small], [small, -small]])
+        if step == 1:
+            x = (x.reshape(-1, radix) @ small).reshape(n, d)
+        else:
+            x = np.matmul(small, x.reshape(-1, radix, step)).reshape(n, d)
+        step *= radix
     return x / np.sqrt(d)
 
 
-def codes(units: np.ndarray, seed: int = 5) -> np.ndarray:
-    """(rows, TABLES, PROBES) codes: first the own bucket, then the likeliest neighbours.
+def folds_for(rows: int, dim: int) -> int:
+    """Cross-polytope hashes in a code, so that a table has ROOM codes for each of `rows` vectors."""
+    base = 2 * _width(dim)
+    return min(MOST_FOLDS, max(2, math.ceil(math.log(max(2, ROOM * rows)) / math.log(base))))
+
+
+def _width(dim: int) -> int:
+    """Components of a padded vector: below sixteen there are too few different rotations by signs."""
+    return max(16, 1 << (dim - 1).bit_length())
+
+
+def codes(units: np.ndarray, tables: int, folds: int, seed: int = 5) -> np.ndarray:
+    """(rows, tables, PROBES) codes: first the own bucket, then the likeliest neighbours.
 
     A rotation is three rounds of random signs and a Hadamard transform. The hash is the coordinate of largest
-    size and its sign, the nearest vertex of the cross-polytope. Multiprobe: the second-nearest vertex of one
-    fold at a time, in order of how little nearer the nearest one is.
+    size and its sign, the nearest vertex of the cross-polytope. Multiprobe: the second-nearest vertex in some
+    of the folds, in order of how little nearer the nearest ones are in sum.
     """
     n, dim = units.shape
-    width = max(2, 1 << (dim - 1).bit_length())
+    width = _width(dim)
     padded = np.zeros((n, width))
     padded[:, :dim] = units
     rng = np.random.default_rng(seed)
-    out = np.zeros((n, TABLES, PROBES), np.int64)
+    swaps = np.array(list(itertools.product((False, True), repeat=folds)))
+    out = np.zeros((n, tables, PROBES), np.int64)
     rows = np.arange(n)
-    for t in range(TABLES):
-        first, second, loss = [], [], []
-        for _ in range(FOLDS):
+    for t in range(tables):
+        first, second, loss = (np.empty((n, folds), kind) for kind in (np.int64, np.int64, np.float64))
+        for k in range(folds):
             x = padded
             for _ in range(3):
                 x = hadamard(x * rng.choice([-1.0, 1.0], width))
@@ -61,102 +87,242 @@ def codes(units: np.ndarray, seed: int = 5) -> np.ndarray:
             top = size[rows, i]
             size[rows, i] = -1.0
             j = size.argmax(axis=1)
-            first.append(2 * i + (x[rows, i] < 0))
-            second.append(2 * j + (x[rows, j] < 0))
-            loss.append(top - size[rows, j])
-        base = 2 * width
-        own = np.zeros(n, np.int64)
-        for f in first:
-            own = own * base + f
-        out[:, t, 0] = own
-        order = np.argsort(np.stack(loss, axis=1), axis=1, kind="stable")
-        for p in range(1, PROBES):
-            swap = order[:, p - 1]
-            other = np.zeros(n, np.int64)
-            for k in range(FOLDS):
-                other = other * base + np.where(swap == k, second[k], first[k])
-            out[:, t, p] = other
+            first[:, k], second[:, k] = 2 * i + (x[rows, i] < 0), 2 * j + (x[rows, j] < 0)
+            loss[:, k] = top - size[rows, j]
+        order = np.argsort(loss @ swaps.T, axis=1, kind="stable")[:, :PROBES]
+        for p in range(PROBES):
+            chosen = np.where(swaps[order[:, p]], second, first)
+            for k in range(folds):
+                out[:, t, p] = out[:, t, p] * (2 * width) + chosen[:, k]
     return out
 
 
-def _rows(packed, dim: int) -> np.ndarray:
-    """Vectors as doubles, from single or double precision bytes."""
-    sizes = {len(p) for p in packed}
-    if sizes == {4 * dim}:
-        return np.frombuffer(b"".join(packed), np.float32).reshape(-1, dim).astype(np.float64)
-    return np.array([np.frombuffer(p, np.float32 if len(p) == 4 * dim else np.float64) for p in packed], np.float64)
+@lru_cache(maxsize=64)
+def tables_for(dim: int, folds: int, least: float) -> int:
+    """Tables after which a pair of cosine `least` is missed with probability MISSED: from pairs drawn at it."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 300, dim))
+    a = unit(a)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    size = np.sqrt((b * b).sum(axis=1, keepdims=True))
+    b = least * a + math.sqrt(max(0.0, 1.0 - least * least)) * np.divide(b, size, out=np.zeros_like(b), where=size > 1e-9)
+    x, y = codes(a, 4, folds), codes(unit(b), 4, folds)
+    met = (x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)
+    p = min(max(met.mean() - 0.02, 0.05), 0.999)
+    return math.ceil(math.log(MISSED) / math.log(1.0 - p))
+
+
+def _mixed(label: np.ndarray, dim: int, found: np.ndarray) -> np.ndarray:
+    """Bucket keys (rows, tables x PROBES) from label, length, table and code."""
+    key = label[:, None].astype(np.uint64) ^ np.uint64(dim * 0x9E3779B97F4A7C15 % 2**64)
+    for part in (np.repeat(np.arange(found.shape[1], dtype=np.uint64), PROBES)[None, :], found.reshape(len(found), -1).astype(np.uint64)):
+        key = (key ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+class Forest:
+    """Components of numbered rows under pairs that come in batches."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.up[i], self.up[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+            while len(i):
+                higher = self.up[self.up]
+                if (higher == self.up).all():
+                    break
+                self.up = higher
+
+
+class Verifier:
+    """Links among the rows of some buckets, whose vectors are of one length.
+
+    A pair that meets in several buckets is counted in the first of them only: the lowest table, there the own
+    bucket of the row of smaller node if that is shared. So rows of one own bucket in table 0 are compared
+    there and nowhere else.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, dim: int, least: float):
+        pdf = pdf.sort_values(["key", "lo", "hi", "node"], kind="stable")
+        self.least = least
+        node, at, self.row = np.unique(pdf["node"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        one = pdf.iloc[at]
+        self.node, self.weight = node, one["n"].to_numpy(np.float64)
+        self.label = pd.factorize(one["label"])[0]
+        self.data = np.frombuffer(b"".join(one["data"]), np.float64).reshape(-1, dim)
+        self.keys = np.concatenate(one["keys"].to_list()).astype(np.int64).reshape(len(one), -1, PROBES)
+        self.units = unit(self.data)
+        self.linked = np.zeros(len(node))
+        self.forest = Forest(len(node))
+        self.key = pdf["key"].to_numpy(np.int64)
+        self.block = pdf["block"].to_numpy(np.int64)
+        lo, hi = pdf["lo"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64)
+        self.crossing = lo != hi
+        fresh = np.r_[True, (self.key[1:] != self.key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+        self.start = np.flatnonzero(fresh)
+        self.length = np.diff(np.r_[self.start, len(fresh)])
+        self.own = (self.keys[self.row, :, 0] == self.key[:, None]).any(axis=1)
+        self.home = self.keys[self.row, 0, 0] == self.key
+
+    def take(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Count those of the pairs (i, j) of rows, near by their products, that are links first met here."""
+        x, y = np.minimum(self.row[i], self.row[j]), np.maximum(self.row[i], self.row[j])
+        ok = (self.own[i] | self.own[j]) & (self.label[x] == self.label[y]) & (x != y)
+        ok &= ~self.crossing[i] | (self.block[i] != self.block[j])
+        same = self.keys[x, 0, 0] == self.keys[y, 0, 0]
+        ok &= ~same | self.home[i]
+        i, x, y, same = i[ok], x[ok], y[ok], same[ok]
+        first = np.ones(len(x), bool)
+        for s in range(0, len(x), 65536):
+            some = s + np.flatnonzero(~same[s : s + 65536])
+            kx, ky = self.keys[x[some]], self.keys[y[some]]
+            x_in_y = (kx[:, :, :1] == ky).any(axis=2)
+            y_in_x = (ky[:, :, :1] == kx).any(axis=2)
+            table = (x_in_y | y_in_x).argmax(axis=1)
+            at = np.arange(len(some))
+            first[some] = np.where(x_in_y[at, table], kx[at, table, 0], ky[at, table, 0]) == self.key[i[some]]
+        x, y = x[first], y[first]
+        near = np.einsum("ij,ij->i", self.units[x], self.units[y])
+        close = np.flatnonzero(np.abs(near - self.least) <= 2 * EDGE)  # only here rounding could decide
+        linked = near >= self.least
+        linked[close] = cosine(self.data[x[close]], self.data[y[close]]) >= self.least
+        x, y = x[linked], y[linked]
+        n = len(self.node)
+        self.linked += np.bincount(x, self.weight[y], n) + np.bincount(y, self.weight[x], n)
+        self.forest.join(x, y)
+
+    def short(self) -> None:
+        """All runs of few rows at once: each row with the next one, the one after that, and so on."""
+        some = np.repeat(self.length <= SHORT, self.length)
+        end = np.repeat(self.start + self.length, self.length)
+        live = np.flatnonzero(some)
+        for gap in range(1, SHORT):
+            live = live[live + gap < end[live]]
+            for s in range(0, len(live), 50_000):
+                i = live[s : s + 50_000]
+                j = i + gap
+                near = np.einsum("ij,ij->i", self.units[self.row[i]], self.units[self.row[j]]) >= self.least - EDGE
+                self.take(i[near], j[near])
+
+    def core(self, run: np.ndarray) -> np.ndarray:
+        """Rows of a run that lie so near a pivot that all of them are links of each other; counted without products."""
+        home = run[self.home[run]]
+        none = np.zeros(len(run), bool)
+        if not len(home):
+            return none
+        pivot = self.row[home[0]]
+        half = math.cos(math.acos(min(1.0, self.least)) / 2.0) + 1e-7
+        inside = self.home[run] & (self.label[self.row[run]] == self.label[pivot])
+        inside &= self.units[self.row[run]] @ self.units[pivot] >= half
+        if inside.sum() < 3:
+            return none
+        at, block, w = self.row[run[inside]], self.block[run[inside]], self.weight[self.row[run[inside]]]
+        if self.crossing[run[0]]:
+            of = block == block[0]
+            np.add.at(self.linked, at, np.where(of, w[~of].sum(), w[of].sum()))
+            if of.all():
+                return inside
+        else:
+            np.add.at(self.linked, at, w.sum() - w)
+        self.forest.join(np.full(len(at) - 1, at[0]), at[1:])
+        return inside
+
+    def long(self) -> None:
+        for s, n in zip(self.start[self.length > SHORT].tolist(), self.length[self.length > SHORT].tolist()):
+            run = np.arange(s, s + n)
+            core = self.core(run)
+            run = np.r_[run[~core], run[core]]  # of the pairs, those within the core are settled
+            others = self.units[self.row[run]]
+            for a in range(0, n - int(core.sum()), 512):
+                b = min(a + 512, n - int(core.sum()))
+                i, j = np.nonzero(others[a:b] @ others[a:].T >= self.least - EDGE)
+                later = i < j
+                self.take(run[a + i[later]], run[a + j[later]])
+
+    def found(self) -> pd.DataFrame:
+        root = self.forest.up
+        some = (self.linked > 0) | (root != np.arange(len(root)))
+        return pd.DataFrame({"node": self.node[some], "other": self.node[root[some]], "n": self.linked[some].astype(np.int64)})
 
 
 def _verified(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links inside the buckets of one group: for each class, links found here for the first time, and a root.
+    """(node, other, n): `n` vectors linked to `node` that are met first here; (node, other) join components."""
+    out = [pd.DataFrame({"node": [], "other": [], "n": []}).astype("int64")]
+    for dim, part in pdf.groupby("dim"):
+        v = Verifier(part, int(dim), least)
+        v.short()
+        v.long()
+        out.append(v.found())
+    return pd.concat(out)
+
 
-    Two classes meet in a bucket if it is the own one of either. A pair that meets in several is counted in the
-    first of them only: the lowest table, there the own bucket of the smaller class if that is shared.
-    Returns rows (node, other, n): `n` vectors linked to `node`; (node, other) join the bucket's components.
+def hashed(classes: DataFrame, rows: int, least: float) -> DataFrame:
+    """(node, label, n, dim, data, keys) for each class of equal vectors: its bytes and the keys of its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(b.schema.get_field_index("embedding"))
+            length = np.diff(lists.offsets.to_numpy())
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            start = np.r_[0, np.cumsum(length)]
+            mark = b.column(b.schema.get_field_index("mark")).to_numpy(zero_copy_only=False)
+            for dim in np.unique(length).tolist():
+                folds = folds_for(rows, dim)
+                tables = tables_for(dim, folds, least)
+                for at in np.array_split(own := np.flatnonzero(length == dim), -(-len(own) // 1000)):
+                    data = values[start[at][:, None] + np.arange(dim)]
+                    keys = _mixed(mark[at], dim, codes(unit(data), tables, folds))
+                    kept = b.select(["node", "label", "n"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *kept.columns,
+                            pa.array(np.full(len(at), dim, np.int32)),
+                            pa.array([d.tobytes() for d in data], pa.binary()),
+                            pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.reshape(-1)),
+                        ],
+                        ["node", "label", "n", "dim", "data", "keys"],
+                    )
+
+    given = classes.select("node", "label", "n", "embedding", F.xxhash64("label").alias("mark"))
+    return given.mapInArrow(run, "node long, label string, n long, dim int, data binary, keys array<long>")
+
+
+def _candidates(table: DataFrame, cap: int) -> DataFrame:
+    """(node, key, block, lo, hi): rows of buckets that are the own one of a row and hold another, hot ones in pieces.
+
+    Rows of a bucket with over `cap` are dealt into blocks by a hash, and each row goes to every pair of blocks
+    that its own is in. Only numbers move here, not vectors.
     """
-    nodes, others, counts = [], [], []
-    for _, g in pdf.groupby(["label", "dim", "tab", "code", "lo", "hi"], sort=False):
-        if len(g) < 2:
-            continue
-        g = g.sort_values("node")
-        node, weight, block = g["node"].to_numpy(np.int64), g["n"].to_numpy(np.int64), g["block"].to_numpy()
-        rows = _rows(g["data"], int(g["dim"].iloc[0]))
-        units = unit(rows)
-        all_codes = np.frombuffer(b"".join(g["codes"]), np.int32).reshape(len(g), TABLES, PROBES)
-        tab, code, crossing = int(g["tab"].iloc[0]), int(g["code"].iloc[0]), g["lo"].iloc[0] != g["hi"].iloc[0]
-        own = all_codes[:, tab, 0] == code
-        linked = np.zeros(len(g), np.int64)
-        root = np.arange(len(g))
-        for s in range(0, len(g), 512):
-            near = units[s : s + 512] @ units.T
-            i, j = np.nonzero(near >= least - EDGE)
-            ok = (i + s < j) & (own[i + s] | own[j])
-            if crossing:
-                ok &= block[i + s] != block[j]
-            i, j = i[ok], j[ok]
-            close = np.flatnonzero(near[i, j] < least + EDGE)  # only here rounding could decide
-            i += s
-            ok = np.ones(len(i), bool)
-            ok[close] = cosine(rows[i[close]], rows[j[close]]) >= least
-            i, j = i[ok], j[ok]
-            for a in range(0, len(i), 65536):
-                x, y = i[a : a + 65536], j[a : a + 65536]
-                cx, cy = all_codes[x], all_codes[y]
-                x_in_y = (cx[:, :, :1] == cy).any(axis=2)
-                y_in_x = (cy[:, :, :1] == cx).any(axis=2)
-                meet = x_in_y | y_in_x
-                table = meet.argmax(axis=1)
-                at = np.arange(len(x))
-                bucket = np.where(x_in_y[at, table], cx[at, table, 0], cy[at, table, 0])
-                first = (table == tab) & (bucket == code)
-                np.add.at(linked, x[first], weight[y[first]])
-                np.add.at(linked, y[first], weight[x[first]])
-            # each class hangs on the smallest class linked to it: chains keep the bucket's components whole
-            np.minimum.at(root, j, i)
-            extra = i != root[j]
-            if extra.any():  # a class with several smaller neighbours joins all of their chains, once each
-                e = np.unique(np.stack([root[j[extra]], i[extra]], axis=1), axis=0)
-                nodes.append(node[e[:, 1]])
-                others.append(node[e[:, 0]])
-                counts.append(np.zeros(len(e), np.int64))
-        nodes.append(node)
-        others.append(node[root])
-        counts.append(linked)
-    if not nodes:
-        return pd.DataFrame({"node": [], "other": [], "n": []})
-    found = pd.DataFrame({"node": np.concatenate(nodes), "other": np.concatenate(others), "n": np.concatenate(counts)})
-    return found.groupby(["node", "other"], as_index=False)["n"].sum()
+    entries = table.select("node", F.posexplode("keys").alias("pos", "key")).select("node", "key", (F.col("pos") % PROBES == 0).alias("own"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("own").alias("owned")).where("owned and rows > 1")
+    blocks = buckets.select("key", F.ceil(F.col("rows") / cap).cast("int").alias("blocks"))
+    dealt = entries.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least("block", other).alias("lo"), F.greatest("block", other).alias("hi")),
+    )
+    return dealt.select("node", "key", "block", F.inline(pieces))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, cap: int = CAP) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`.
 
     Rows link when their labels are equal and not null and their cosine, in doubles, is at least `least`.
-    Candidates come from shared buckets of the hash tables and are verified, so no link is false; a pair at
-    0.98 is missed with a probability well under one in ten thousand. Equal vectors of one label form a class
-    that is compared once. Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing, and neither do vectors of different length. Rows of one vec_id count as one vector each for
-    n_links and share their row of the result. An empty table gives an empty result.
+    Candidates come from shared buckets of the hash tables and are verified, so no link is false; a pair right
+    at the threshold is missed with a probability of about MISSED, nearer ones far less often. Folds grow with
+    the table and tables with what folds lose, so buckets hold near vectors and few others at any size.
+    Equal vectors of one label form a class that is compared once; vectors move to the tasks that compare them,
+    and of a hot bucket those near its pivot count without products. Vectors that are null, empty, zero or hold
+    null or non-finite components link with nothing, and neither do vectors of different length. Rows of one
+    vec_id count as one vector each for n_links and each get a row of the result, with their own links. An empty
+    table gives an empty result. Other columns, whatever their names, are ignored.
     """
     given = vectors.select("vec_id", "embedding", "label")
     fine = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -164,43 +330,29 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, cap: int = CAP) ->
         "vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")
     )
     classes = cut(rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")))
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for dim, b in whole.groupby(whole["embedding"].map(len)):
-                for i in range(0, len(b), 500):
-                    part = b.iloc[i : i + 500]
-                    data = matrix(part["embedding"])
-                    found = codes(unit(data))
-                    flat = found.reshape(len(part), -1)
-                    at = np.repeat(np.arange(len(part)), TABLES * PROBES)
-                    packed = [c.tobytes() for c in flat.astype(np.int32)]
-                    short = data.astype(np.float32)
-                    raw = [d.tobytes() for d in (short if (short == data).all() else data)]
-                    yield pd.DataFrame({
-                        "label": part["label"].to_numpy()[at],
-                        "dim": np.int32(dim),
-                        "tab": np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), PROBES), len(part)),
-                        "code": flat.reshape(-1),
-                        "node": part["node"].to_numpy()[at],
-                        "n": part["n"].to_numpy()[at],
-                        "data": [raw[k] for k in at],
-                        "codes": [packed[k] for k in at],
-                    })
-
-    copies = classes.mapInPandas(
-        spread, "label string, dim int, tab int, code long, node long, n long, data binary, codes binary"
-    ).withColumn("bucket", F.xxhash64("label", "dim", "tab", "code"))
-    dealt = split_hot(copies, "bucket", "node", cap)
-    groups = max(tasks(vectors.sparkSession), classes.count() * TABLES * PROBES // 20_000)
-    by = F.pmod(F.xxhash64("bucket", "piece.lo", "piece.hi"), F.lit(groups))
+    shared = classes.groupBy("node").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("node").alias("_shared"))
+    several = not shared.isEmpty()
+    if several:  # ids of several vectors: these classes go by a hash until the components are known
+        given_id, other_id = F.col("node").alias("first"), F.xxhash64("label", "embedding")
+        marked = classes.join(shared, F.col("node") == F.col("_shared"), "left")
+        classes = cut(marked.select("label", "embedding", "n", given_id, F.when(F.col("_shared").isNull(), F.col("node")).otherwise(other_id).alias("node")))
+    table = cut(hashed(classes, classes.count(), least))
+    candidates = cut(_candidates(table, cap))
+    groups = max(tasks(vectors.sparkSession), candidates.count() // 20_000)
+    by = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(groups))
     found = cut(
-        dealt.select("label", "dim", "tab", "code", "node", "n", "data", "codes", "block", "piece.lo", "piece.hi", by.alias("grp"))
+        candidates.join(table, "node")
+        .select("node", "key", "block", "lo", "hi", "label", "n", "dim", "data", "keys", by.alias("grp"))
         .groupBy("grp")
-        .applyInPandas(lambda pdf: _verified(pdf.drop(columns="grp"), least), "node long, other long, n long")
+        .applyInPandas(lambda pdf: _verified(pdf, least), "node long, other long, n long")
     )
+    release(table, candidates)
     links = found.groupBy("node").agg(F.sum("n").alias("others"))
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    if several:
+        ends = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+        least_id = ends.groupBy("root").agg(F.min("first").alias("least"))
+        roots = ends.join(least_id, "root").select("node", F.col("least").alias("root"))
     members = rows.join(
         classes.withColumnRenamed("n", "alike"),
         (rows["label"] == classes["label"]) & (rows["embedding"] == classes["embedding"]),

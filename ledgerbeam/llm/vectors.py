@@ -31,6 +31,12 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1] if len(a) else np.empty(0)
 
 
+def _scaled(a: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to about 1: no digit changes, no square overflows."""
+    return np.ldexp(a, -np.frexp(np.abs(a).max(axis=1, keepdims=True))[1]) if a.size else a
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of `a` with the same row of `b`, in doubles."""
+    """Cosine of each row of `a` with the same row of `b`, in doubles, whatever their size."""
+    a, b = _scaled(a), _scaled(b)
     return np.clip(_dot(a, b) / (np.sqrt(_dot(a, a)) * np.sqrt(_dot(b, b))), -1.0, 1.0)

@@ -85,3 +85,49 @@ def test_dedup_matches_brute_force(spark, cap):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(4, 8))
     assert np.allclose((vector_dedup.hadamard(x) ** 2).sum(axis=1), (x**2).sum(axis=1))
+
+
+@pytest.mark.parametrize("dim", [2, 8, 24, 64, 384, 768])
+def test_pairs_right_at_the_threshold_meet(dim):
+    rng = np.random.default_rng(11)
+    n = 1500 if dim < 100 else 200
+    a = unit(rng.normal(size=(n, dim)))
+    b = rng.normal(size=(n, dim))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b
+    folds = vector_dedup.folds_for(50_000, dim)
+    tables = vector_dedup.tables_for(dim, folds, 0.98)
+    x, y = vector_dedup.codes(a, tables, folds), vector_dedup.codes(unit(b), tables, folds)
+    assert ((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).any(axis=1).all()
+
+
+@pytest.mark.parametrize("cap", [2000, 7])
+@pytest.mark.parametrize("noise", [1e-4, 0.02])
+def test_hot_group_of_near_copies(spark, cap, noise):
+    """A group far longer than the runs that go pair by pair, tight enough for a pivot or not, beside looser ones."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(scale=noise, size=(70, 16)), rng.normal(size=16) + rng.normal(scale=0.08, size=(50, 16))])
+    labels = [0] * 110 + [1] * 10
+    got = {r["vec_id"]: r for r in vector_dedup.near_duplicates(frame(spark, x, labels=labels), cap=cap).collect()}
+    n, comp = brute(x, labels)
+    assert [got[i]["n_links"] for i in range(120)] == n and [got[i]["component_id"] for i in range(120)] == comp
+
+
+def test_ids_of_several_vectors_and_clashing_columns(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 1), (5, b, 1), (5, a, 1), (3, [0.0, 1.0, 0.01], 1), (9, [1.0, 0.01, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for c in ("key", "node", "block", "n", "lo", "hi", "shard", "root", "first"):
+        df = df.selectExpr("*", f"'x' as {c}")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False)]
+
+
+def test_cosines_of_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1, 8))
+    assert cosine(x * 2.0**600, x * 2.0**-600)[0] == cosine(x, x)[0]
+    rows = [(1, [1e200, 1e199], 1), (2, [1e-200, 1e-201], 1), (3, [-1e300, 1e10], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert [r["n_links"] for r in vector_dedup.near_duplicates(df).orderBy("vec_id").collect()] == [1, 1, 0]
+    assert [r["vec_id"] for r in ann.nearest(df, df.where("vec_id = 1"), 2).orderBy("rank").collect()] == [2, 3]
