@@ -93,6 +93,14 @@ def by_text(df: DataFrame, keep: list[str], added: str, make: Callable[[], Calla
     return df.select(*[F.col(f"`{k}`") for k in keep], F.col("text")).mapInArrow(run, StructType([*kept, *more]))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores after it as it takes to clash with no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space-separated words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
