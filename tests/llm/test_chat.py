@@ -29,3 +29,11 @@ def test_machine_segments_and_read_back(spark):
     assert (out[3]["bad_turn"], [t["text"] for t in out[3]["turns"]]) == (1, ["a", "b"])
     assert out[4]["bad_turn"] == 1 and out[None]["bad_turn"] == 0
     assert chat.format_chats(turns.where("false")).count() == 0
+
+
+def test_the_role_machine_shows_in_the_query(spark, tmp_path):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "a"), (3, 0, "user", "x"), (3, 1, "user", "y"), (4, 0, None, None)]
+    turns += [(5, i, "user" if i % 2 == 0 else "assistant", "long [turn] " * 200) for i in range(400)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: (r["valid"], r["bad_turn"]) for r in chat.op6_format_chats(spark, str(tmp_path)).collect()}
+    assert got == {-7: (True, None), 1: (True, None), 2: (False, 0), 3: (False, 1), 4: (False, 0), 5: (True, None)}
