@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import logging
 import math
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import cut
+from ledgerbeam.llm.common import by_text, free_name
 
 LOG = logging.getLogger(__name__)
 
@@ -23,16 +26,21 @@ ASSIGN = re.compile(rf"""({_WORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32}[0-9a-f]*")
 HINTS = ("passw", "secret", "token", "api")
-DIGIT = re.compile("[0-9]")
-#: Tokens that the automata score: long runs of the characters of credentials, with a digit in them.
-TOKEN = re.compile("[A-Za-z0-9+/_.=-]{16,}")
-#: Credentials of each kind, and other tokens, that the automata are fitted on, at most.
+#: Candidates, all of which the automata score: runs of the characters of credentials, as long as base patterns ask of one.
+TOKEN = re.compile("[A-Za-z0-9+/_.=-]{8,}")
+#: Least length of a candidate.
+SHORTEST = 8
+#: Distinct pieces of the credentials of each kind, and of other tokens of each shape, that the automata are fitted on, at most.
 SAMPLE = 400
-#: Characters of a credential that count for its format; longer ones are scored by this many at a time.
+#: Tokens of a shape that are enough for an automaton of their own.
+ENOUGH = 20
+#: Credentials are learned, and tokens scored, in pieces of this many characters; only the last one ends.
 DEPTH = 48
+#: Tokens that a worker remembers the gains of.
+REMEMBERED = 200_000
 
 
-def _long_words(text: str, least: int = 16) -> list[tuple[int, str]]:
+def _long_words(text: str, least: int = SHORTEST) -> list[tuple[int, str]]:
     """(start, word) of the words between white space that are long enough to hold a token."""
     at, out = 0, []
     for word in [w for w in text.split() if len(w) >= least]:
@@ -74,46 +82,91 @@ def symbol(c: str) -> str:
     return c
 
 
+#: Probability that a state keeps for what it has never seen.
+UNSEEN = 0.02
+SURE = math.log(1 - UNSEEN)
+#: Ends a sample that is a piece of a token and not its last one; no credential holds it.
+GOES_ON = "\n"
+
+
+def pieces(token: str) -> list[tuple[str, bool]]:
+    """(piece, whether the token ends with it): DEPTH characters at a time."""
+    body = token.removesuffix(GOES_ON)
+    return [(body[i : i + DEPTH], i + DEPTH >= len(body) and body == token) for i in range(0, len(body), DEPTH)]
+
+
 @dataclass
 class Automaton:
-    """A deterministic automaton with a probability for each symbol and for ending, by state."""
+    """A deterministic automaton with a probability for each symbol, and for ending, in each state.
+
+    What was never seen in a state gets a small share, as if by chance among `ALPHABET` symbols and the end.
+    """
 
     moves: list[dict[str, int]]
     ways: list[dict[str, float]]
-
-    def score(self, text: str, alphabet: int = 12) -> float:
-        """Mean log-likelihood of a character. Symbols never seen in a state get a small share."""
-        state, total, n = 0, 0.0, 0
-        for c in text:
-            s = symbol(c)
-            total += math.log(self.ways[state].get(s, 0.0) * 0.98 + 0.02 / alphabet)
-            state = self.moves[state].get(s, 0)
-            n += 1
+    ends: list[float]
+    #: What all samples begin with, letter by letter; the states come after it.
+    prefix: str = ""
+
+    ALPHABET = 12
+
+    def __post_init__(self) -> None:
+        smooth = lambda p: math.log(p * (1 - UNSEEN) + UNSEEN / (self.ALPHABET + 1))
+        self.steps = [{s: smooth(p) for s, p in out.items()} for out in self.ways]
+        self.stops = [smooth(p) for p in self.ends]
+        self.unseen = smooth(0.0)
+
+    def score(self, text: str) -> float:
+        """Mean log-likelihood of a symbol, the end being one: that of all pieces over their number."""
+        total, n, unseen = 0.0, 0, self.unseen
+        for piece, last in pieces(text):
+            state, fixed = 0, len(self.prefix)
+            for c, want in zip(piece, self.prefix):
+                total += SURE if c == want else unseen
+            for s in map(SYMBOL.__getitem__, piece[fixed:]):
+                total += self.steps[state].get(s, unseen)
+                state = self.moves[state].get(s, 0)
+            n += len(piece)
+            if last:
+                total += self.stops[state]
+                n += 1
         return total / max(n, 1)
 
 
+class _Symbols(dict):
+    def __missing__(self, c: str) -> str:
+        found = self[c] = symbol(c)
+        return found
+
+
+SYMBOL = _Symbols()
+
+
 def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
-    """Merge statistically compatible states of the prefix tree of `samples` into an automaton.
+    """Merge statistically compatible states of the prefix tree of the pieces of `samples` into an automaton.
 
     Blue states, next to the red ones that are settled, merge with the first red state whose counts of
-    symbols, and those of the states that follow, agree within Hoeffding's bound; others turn red.
+    symbols and ends, and those of the states that follow, agree within Hoeffding's bound; others turn red. Symbols
+    are classes of characters, but for a beginning that all samples share.
     """
+    prefix = os.path.commonprefix(samples) if len(samples) > 2 else ""
     kids: list[dict[str, int]] = [{}]
-    seen: list[int] = [0]
+    flow: list[Counter] = [Counter()]  # pieces that leave a state by each symbol
     ends: list[int] = [0]
-    for text in samples:
+    cuts: list[int] = [0]  # pieces that go on elsewhere: neither an end nor a symbol follows here
+    for piece, last in (p for text in samples for p in pieces(text)):
         at = 0
-        seen[0] += 1
-        for c in text[:DEPTH]:
-            s = symbol(c)
+        for s in map(SYMBOL.__getitem__, piece.removeprefix(prefix)):
             if s not in kids[at]:
                 kids[at][s] = len(kids)
                 kids.append({})
-                seen.append(0)
+                flow.append(Counter())
                 ends.append(0)
+                cuts.append(0)
+            flow[at][s] += 1
             at = kids[at][s]
-            seen[at] += 1
-        ends[at] += 1
+        (ends if last else cuts)[at] += 1
+    seen = [sum(f.values()) + e + c for f, e, c in zip(flow, ends, cuts)]
     width = math.sqrt(0.5 * math.log(2 / alpha))
 
     def agree(a: int, na: int, b: int, nb: int) -> bool:
@@ -123,28 +176,28 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
         todo = [(p, q)]
         while todo:
             a, b = todo.pop()
-            if seen[a] == 0 or seen[b] == 0:
+            if not seen[a] or not seen[b]:
                 continue
             if not agree(ends[a], seen[a], ends[b], seen[b]):
                 return False
             for s in kids[a].keys() | kids[b].keys():
-                x, y = kids[a].get(s), kids[b].get(s)
-                if not agree(seen[x] if x is not None else 0, seen[a], seen[y] if y is not None else 0, seen[b]):
+                if not agree(flow[a][s], seen[a], flow[b][s], seen[b]):
                     return False
-                if x is not None and y is not None and min(seen[x], seen[y]) > 1:
-                    todo.append((x, y))
+                if min(flow[a][s], flow[b][s]) > 1:
+                    todo.append((kids[a][s], kids[b][s]))
         return True
 
     def fold(p: int, q: int) -> None:
+        """Add the tree under q to what p leads to."""
         todo = [(p, q)]
         while todo:
             a, b = todo.pop()
-            seen[a] += seen[b]
-            ends[a] += ends[b]
+            flow[a].update(flow[b])
+            for counts in (seen, ends, cuts):
+                counts[a] += counts[b]
             for s, y in kids[b].items():
                 if s in kids[a]:
-                    if kids[a][s] != y:
-                        todo.append((kids[a][s], y))
+                    todo.append((kids[a][s], y))
                 else:
                     kids[a][s] = y
 
@@ -162,77 +215,101 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
             kids[parent][s] = into
             fold(into, state)
     name = {state: i for i, state in enumerate(red)}
-    moves = [{s: name[t] for s, t in kids[r].items()} for r in red]
-    ways = []
-    for r in red:
-        out = {s: 0.0 for s in kids[r]}
-        for s, t in kids[r].items():
-            out[s] = float(seen[t])
-        whole = sum(out.values()) or 1.0
-        ways.append({s: v / whole for s, v in out.items()})
-    return Automaton(moves, ways)
+    out_of = [max(1, sum(flow[r].values()) + ends[r]) for r in red]
+    ways = [{s: n / whole for s, n in flow[r].items()} for r, whole in zip(red, out_of)]
+    return Automaton([{s: name[t] for s, t in kids[r].items()} for r in red], ways, [ends[r] / n for r, n in zip(red, out_of)], prefix)
+
+
+def chain(samples: list[str]) -> Automaton:
+    """The automaton whose state is the last symbol: coarse, but few odd strings among the samples can't shape it."""
+    counts: dict[str, Counter] = {"": Counter()}
+    for piece, last in (p for text in samples for p in pieces(text)):
+        state = ""
+        for s in map(SYMBOL.__getitem__, piece):
+            counts[state][s] += 1
+            counts.setdefault(s, Counter())
+            state = s
+        if last:
+            counts[state][""] += 1
+    name = {s: i for i, s in enumerate(counts)}
+    whole = [max(1, sum(out.values())) for out in counts.values()]
+    ways = [{s: v / n for s, v in out.items() if s} for out, n in zip(counts.values(), whole)]
+    return Automaton([{s: i for s, i in name.items() if s}] * len(name), ways, [out[""] / n for out, n in zip(counts.values(), whole)])
+
+
+def shape(token: str) -> str:
+    """Which kinds of characters a token has: `a` for lower case, `A` for upper case, `9` for digits, `-` for others."""
+    return "".join(sorted({"a" if c in "az" else "A" if c in "AZ" else "9" if c == "9" else "-" for c in set(map(SYMBOL.__getitem__, token))}))
 
 
 @dataclass
 class Model:
-    """Automata of credentials by kind, one of ordinary tokens, and the least gain of each kind that marks a secret."""
+    """Automata of credentials by kind, of ordinary tokens by shape, and the least gain of each kind that marks a secret.
+
+    The ordinary automaton of shape "" is that of all shapes; it stands in where a shape has too few tokens.
+    """
 
     formats: list[Automaton]
-    ordinary: Automaton | None
+    ordinary: dict[str, Automaton]
     thresholds: list[float]
 
-    def gains(self, token: str) -> list[float]:
-        """Log-likelihood ratios by character: each format against ordinary tokens."""
-        if self.ordinary is None:
-            return []
-        plain = self.ordinary.score(token)
-        return [a.score(token) - plain for a in self.formats]
+    def plain(self, token: str) -> float:
+        return (self.ordinary.get(shape(token)) or self.ordinary[""]).score(token)
+
+    def gain(self, token: str) -> float | None:
+        """The largest log-likelihood ratio by symbol, of a format against ordinary tokens, over its kind's threshold.
+
+        A token is marked from 0 on; null where no format was learned.
+        """
+        if not self.formats:
+            return None
+        plain = self.plain(token)
+        return max(a.score(token) - plain - t for a, t in zip(self.formats, self.thresholds))
 
     def marks(self, token: str) -> bool:
         """Whether the token passes the threshold of a kind."""
-        return any(g >= t for g, t in zip(self.gains(token), self.thresholds))
+        found = self.gain(token)
+        return found is not None and found >= 0
+
+
+class _Gains(dict):
+    """Gain by token, for a worker's life; tokens longer than a piece are scored each time."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> float | None:
+        found = self.model.gain(token)
+        if len(token) <= DEPTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = found
+        return found
 
 
 def _tokens(long_words: list[tuple[int, str]], taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Candidate tokens that no base span touches."""
+    """Candidate tokens that no base span touches. Words and spans come in order of their starts, so one sweep does."""
+    k = reach = 0
     for at, word in long_words:
-        if not DIGIT.search(word):
-            continue
         for m in TOKEN.finditer(word):
             s, e = at + m.start(), at + m.end()
-            if DIGIT.search(m[0]) and not any(a < e and s < b for a, b, _ in taken):
+            while k < len(taken) and taken[k][0] < e:
+                reach = max(reach, taken[k][1])
+                k += 1
+            if reach <= s:
                 yield s, e
 
 
-def chain(samples: list[str]) -> Automaton:
-    """The automaton whose state is the last symbol: coarse, but few odd strings among the samples can't shape it."""
-    counts: dict[str, dict[str, float]] = {"": {}}
-    for text in samples:
-        last = ""
-        for c in text[:DEPTH]:
-            s = symbol(c)
-            counts[last][s] = counts[last].get(s, 0.0) + 1.0
-            counts.setdefault(s, {})
-            last = s
-    name = {s: i for i, s in enumerate(counts)}
-    ways = [{s: v / sum(out.values()) for s, v in out.items()} for out in counts.values()]
-    return Automaton([name] * len(name), ways)
-
-
-def _edge(model: Automaton, ordinary: Automaton, kept_back: list[str]) -> float:
-    """The gain that nine tenths of the kept-back credentials reach."""
-    gains = sorted(model.score(x) - ordinary.score(x) for x in kept_back)
-    return gains[len(gains) // 10]
-
-
 def separate(known: dict[str, list[str]], others: list[str]) -> Model:
     """Formats of the known credentials, ordinary tokens without those that score as credentials, and thresholds.
 
     Other tokens are unlabelled, and some may be secrets that no base pattern knows. By chains of symbols, those
-    as likely a kind's as ordinary, or likelier, leave the ordinary ones, whose chain is counted anew until none leaves. A
-    kind's threshold then lies half way from what 39 of 40 of the rest stay below to what nine tenths of its
-    kept-back credentials gain, by the inferred automata; it is at least 0, where either is as likely. A kind
-    that over half of the other tokens are likelier in can't be told from them; it is left out, and logged.
+    as likely a kind's as ordinary, or likelier, leave the ordinary ones, whose chain is counted anew until none
+    leaves. A third of the credentials of a kind, and of the ordinary tokens of each shape, are kept back from the
+    inference. A kind's threshold lies half way from the largest gain of the ordinary ones kept back to what nine
+    tenths of its own gain; it is at least 0, where either is as likely. A kind that over half of the other tokens are likelier in can't be told from them; it is left out,
+    and logged.
     """
     parts = {k: (v[len(v) // 3 :], v[: len(v) // 3]) for k, v in known.items()}
     chains = {k: chain(train) for k, (train, _) in parts.items()}
@@ -248,98 +325,129 @@ def separate(known: dict[str, list[str]], others: list[str]) -> Model:
             rest, passed = others, {k: set() for k in parts}
             continue
         fewer = [x for x in others if not any(x in p for p in passed.values())]
-        if len(fewer) < 20:
-            LOG.warning("formats are off: under 20 other tokens look ordinary")
-            break
         if len(fewer) == len(rest):
-            model = Model([infer(train) for train, _ in parts.values()], infer(rest), [])
-            for a, (_, back) in zip(model.formats, parts.values()):
-                low = sorted(a.score(x) - model.ordinary.score(x) for x in rest)
-                edge = _edge(a, model.ordinary, back)
-                bad = min(low[len(low) * 39 // 40], edge)
-                model.thresholds.append(max(0.0, bad + 0.5 * (edge - bad)))
-            return model
+            break
         rest = fewer
-    return Model([], None, [])
+    if not parts or len(rest) < 3:
+        LOG.warning("formats are off: no kind of credentials differs from the other tokens")
+        return Model([], {}, [])
+    shapes: dict[str, list[str]] = {}
+    for x in rest:
+        shapes.setdefault(shape(x), []).append(x)
+    back = {k: v[: len(v) // 3] for k, v in shapes.items()}
+    train = {k: v[len(v) // 3 :] for k, v in shapes.items()}
+    ordinary = {k: infer(v) for k, v in train.items() if len(v) >= ENOUGH} | {"": infer([x for v in train.values() for x in v])}
+    model = Model([infer(own) for own, _ in parts.values()], ordinary, [])
+    for a, (_, own) in zip(model.formats, parts.values()):
+        gains = lambda v: sorted(a.score(x) - model.plain(x) for x in v)  # noqa: B023, E731
+        mine = gains(own)
+        edge = mine[len(mine) // 10]
+        bad = min(edge, max((g for v in back.values() for g in gains(v)), default=edge))
+        model.thresholds.append(max(0.0, bad + 0.5 * (edge - bad)))
+    return model
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn formats from the credentials that the base patterns label, in all of `docs`.
 
-    For each kind, and for tokens outside base spans, the `sample` distinct strings with the smallest hashes
-    are fitted on; finding them reads every text. A third of each credential kind is kept back. `separate` finds
-    the thresholds. Where a class has under 20 strings the automata mark nothing, which is logged.
+    For each kind, and for each shape of the tokens outside base spans, the `sample` distinct pieces with the
+    smallest hashes are fitted on; finding them reads every text. `separate` finds the thresholds. A kind with under
+    three pieces has no format. Without a kind, or with under three other tokens, the automata mark nothing, which
+    is logged; so an empty table, or one of null texts, gives a model without formats.
     """
 
-    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = set()
-            for text in batch["text"]:
+            for text in batch.column(0).to_pylist():
                 text = text or ""
                 words = _long_words(text)
                 spans = base_spans(text, words)
-                rows.update((k, (ASSIGN.match(text, s)[2] if k == "assign" else text[s:e])[:DEPTH]) for s, e, k in spans)
-                rows.update(("other", text[s:e][:DEPTH]) for s, e in _tokens(words, spans))
-            yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
-
-    found = cut(docs.select("text").mapInPandas(labelled, "kind string, value string").distinct())
+                found = [(k, ASSIGN.match(text, s)[2] if k == "assign" else text[s:e]) for s, e, k in spans]
+                found += [("other", text[s:e]) for s, e in _tokens(words, spans)]
+                rows.update((k, p if last else p + GOES_ON) for k, v in found for p, last in pieces(v))
+            made = [(k, "" if k != "other" else shape(v), v) for k, v in sorted(rows)]
+            columns = zip(*made) if made else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "shape", "value"])
+
+    found = docs.select("text").mapInArrow(labelled, "kind string, shape string, value string").distinct()
+    first = W.partitionBy("kind", "shape").orderBy(F.xxhash64("value"), "value")
     values: dict[str, list[str]] = {}
-    for kind in ("assign", "access", "hex", "other"):
-        first = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
-        values[kind] = [r["value"] for r in first.collect()]
-    known = {k: v for k, v in values.items() if k != "other" and len(v) >= 20}
-    if not known or len(values["other"]) < 20:
-        LOG.warning("formats are off: under 20 credentials of every kind, or under 20 other tokens")
-        return Model([], None, [])
-    return separate(known, values["other"])
-
-
-def all_spans(text: str, model: Model) -> list[tuple[int, int, str]]:
-    """Base spans and those tokens whose format is likelier a credential's than an ordinary token's."""
+    # at most `sample` rows for each of three kinds and fifteen shapes
+    for r in found.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).orderBy("kind", "shape", "nth").collect():
+        values.setdefault(r["kind"], []).append(r["value"])
+    others = values.pop("other", [])
+    known = {k: values[k] for k in KINDS if len(values.get(k, ())) >= 3}
+    if not known or len(others) < 3:
+        LOG.warning("formats are off: under three credentials of every kind, or under three other tokens")
+        return Model([], {}, [])
+    return separate(known, others)
+
+
+def all_spans(text: str, model: Model, gains: dict | None = None) -> list[tuple[int, int, str, float | None]]:
+    """Base spans, and those tokens whose format is likelier a credential's than an ordinary token's, with their gains.
+
+    Base spans are scored too (of an assignment, what is assigned), and stay whatever their gain.
+    """
+    gains = _Gains(model) if gains is None else gains
     words = _long_words(text)
     spans = base_spans(text, words)
-    more = [(s, e, "format") for s, e in _tokens(words, spans) if model.marks(text[s:e])]
-    return sorted(spans + more, key=lambda x: (x[0], KINDS.index(x[2]))) if more else spans
+    found = [(s, e, k, gains[ASSIGN.match(text, s)[2] if k == "assign" else text[s:e]]) for s, e, k in spans]
+    if model.formats:
+        more = [(s, e, gains[text[s:e]]) for s, e in _tokens(words, spans)]
+        marked = [(s, e, "format", g) for s, e, g in more if g >= 0]
+        found = sorted(found + marked, key=lambda x: (x[0], KINDS.index(x[2]))) if marked else found
+    return found
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, spans) for each row: spans is an array of (start, end, kind), in code points, end exclusive.
+    """(doc_id, spans) for each row: spans is an array of (start, end, kind, gain), in code points, end exclusive.
 
-    Null text counts as empty and has no spans; rows stay as many as they are; other columns are ignored.
+    Null and empty texts have no spans; rows stay as many as they are, repeated ones too, and ids keep their type;
+    an empty table gives an empty result; other columns, whatever their names, are ignored. Very long texts are
+    scanned whole, in time that follows their length.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = [[{"start": s, "end": e, "kind": k} for s, e, k in all_spans(t or "", model)] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans})
+    def make():
+        gains = _Gains(model)
+        tell = lambda t: [{"start": s, "end": e, "kind": k, "gain": g} for s, e, k, g in all_spans(t, model, gains)] if t else []
+        return lambda texts: [[tell(t) for t in texts]]
+
+    return by_text(docs, ["doc_id"], "spans array<struct<start:int,end:int,kind:string,gain:double>>", make)
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, spans array<struct<start:int,end:int,kind:string>>")
+def masked(text: str, spans: list, mask: str) -> str:
+    """`text` with each stretch that spans cover replaced by one mask."""
+    out, at = [], 0
+    for s, e, *_ in spans:
+        if e > at:
+            out += [text[at:s], mask] if s >= at else []
+            at = e
+    return "".join(out) + text[at:]
 
 
 def redact(docs: DataFrame, model: Model, mask: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns, each secret in `text` replaced by `mask`; n_chars, if there, follows."""
+    """The same rows and columns, each secret in `text` replaced by `mask`; n_chars, if there, follows.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for text in batch["text"]:
-                spans = all_spans(text, model) if text else []
-                out, at = [], 0
-                for s, e, _ in spans:
-                    if e > at:
-                        out += [text[at:s], mask] if s >= at else []
-                        at = e
-                texts.append("".join(out) + text[at:] if spans else text)
-            yield batch.assign(text=texts)
-
-    clean = docs.mapInPandas(run, docs.schema)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean
+    Null and empty texts stay, repeated rows too; other columns keep their values, types and names; an empty
+    table stays empty. Where spans overlap, one mask stands for all of them.
+    """
+    names = docs.columns
+    new = free_name(docs, "masked")
+
+    def make():
+        gains = _Gains(model)
+        clean = lambda t: masked(t, spans, mask) if t and (spans := all_spans(t, model, gains)) else t
+        return lambda texts: [[clean(t) for t in texts]]
+
+    found = by_text(docs, [c for c in names if c != "text"], f"`{new}` string", make)
+    count = lambda c: F.length(F.col(f"`{new}`")).cast(docs.schema[c].dataType).alias(c)
+    keep = {"text": F.col(f"`{new}`").alias("text")} | ({"n_chars": count("n_chars")} if "n_chars" in names else {})
+    return found.select(*[keep.get(c, F.col(f"`{c}`")) for c in names])
 
 
 def op2_scan_secrets(spark, sf_dir):
-    """Contract query: counts and digests of the secrets of every document."""
+    """Contract query: counts and digests of the secrets of every document, and the gains of all its spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs, fit(docs))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -352,6 +460,5 @@ def op2_scan_secrets(spark, sf_dir):
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "format")), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
         count("format"),
+        F.transform("spans", lambda s: F.round(s["gain"], 6)).alias("gains"),
     )
-
-

@@ -84,3 +84,51 @@ def test_a_fifth_of_unknown_secrets_does_not_switch_the_scan_off(spark):
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.fit(docs)).collect()}
     assert sum(clean[1000 + i] == "bare [SECRET] here" for i in range(30)) >= 27
     assert sum(bool(re.search("[0-9]{16} end", clean[i])) for i in range(120)) >= 117
+
+
+def test_formats_that_no_base_pattern_knows(spark):
+    """Bare credentials among words, names, numbers and paths: precision and recall of the added spans."""
+    rng = random.Random(21)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = lambda: draw("aeiou", 1).join(draw("bcdfgklmnprst", 1) for _ in range(rng.randint(4, 8)))
+    plain = lambda: rng.choice([word(), word(), word().capitalize(), word().upper(), draw(num, 16), f"{word()}/{word()}.html", f"20{draw(num, 2)}-{draw(num, 2)}-{draw(num, 2)}"])
+    rows, planted = [], {}
+    for i in range(400):
+        words = [plain() for _ in range(30)]
+        if i % 2:
+            words[3] = f"token={draw(low + up + num, rng.randint(20, 40))}"
+        elif i % 4:
+            planted[i] = words[7] = draw(low + up + num, rng.randint(20, 40))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, secrets.fit(docs)).collect()}
+    text = dict(rows)
+    marked = {(i, text[i][s["start"] : s["end"]]) for i, spans in found.items() for s in spans if s["kind"] == "format"}
+    hit = marked & set(planted.items())
+    assert len(hit) >= 0.9 * len(planted) and len(hit) >= 0.9 * len(marked)
+    assert all(s["gain"] is not None for spans in found.values() for s in spans)
+
+
+def test_ends_and_prefixes_count():
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    a = secrets.infer([draw(16) for _ in range(200)])
+    assert a.score(draw(16)) > a.score(draw(13)) and a.score(draw(16)) > a.score(draw(24))
+    b = secrets.infer(["AKIA" + draw(12) for _ in range(50)])
+    assert b.score("AKIA" + draw(12)) > b.score("BKIB" + draw(12)) + 0.5
+    long = "ab9" * 100
+    assert [len(p) for p, _ in secrets.pieces(long)] == [48] * 6 + [12] and [e for _, e in secrets.pieces(long)] == [False] * 6 + [True]
+
+
+def test_ids_columns_and_long_texts_come_back_exactly(spark):
+    big = 2**53 + 1
+    rows = [(big, "secret=abcdefgh12345", 7, big, "q"), (None, None, None, None, None), (3, "0f" * 300_000 + " x" * 100_000, 1, 2, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, spans long, masked string")
+    model = secrets.fit(docs)
+    got = secrets.scan(docs, model).collect()
+    assert [r["doc_id"] for r in got] == [big, None, 3] and [len(r["spans"]) for r in got] == [1, 0, 1]
+    clean = secrets.redact(docs, model)
+    assert clean.columns == docs.columns and clean.dtypes == docs.dtypes
+    assert [tuple(r) for r in clean.collect()] == [(big, "[SECRET]", 8, big, "q"), (None, None, None, None, None), (3, "[SECRET]" + " x" * 100_000, 200_008, 2, "r")]
+    assert secrets.redact(docs.where("false"), model).count() == 0
