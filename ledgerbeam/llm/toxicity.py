@@ -13,17 +13,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import cut
-
-WORD = re.compile(r"[^\W\d_]+")
-#: A quotation of up to 300 characters in one kind of marks.
-QUOTED = re.compile('"[^"\n]{1,300}"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“\n]{1,300}“')
+from ledgerbeam.llm.common import by_text, cut, free_name, release, tasks
+
+#: Words are letters, with single digits or signs that may stand for one between them.
+WORD = re.compile(r"[^\W\d_]+(?:[\d@$*!|+][^\W\d_]+)*")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: What opens a quotation, and what closes it; a paragraph's end closes all.
+CLOSES = {'"': '"', "“": "”", "«": "»", "„": "“"}
+MARK = re.compile(r'["“”«»„]|\n\s*\n')
 #: Labelled documents that lexicon and weights are fitted on, at most, of either label.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 #: An entry of the lexicon must be this many times as common in toxic documents, and be in this many of them.
 RATIO, SUPPORT = 40.0, 5
-#: Entries and candidates for them, at most.
-ENTRIES, CANDIDATES = 400, 4000
 #: Letters of an entry that may hold one misspelling.
 FUZZY = 5
 #: Words on either side that a hit's context spans.
@@ -129,6 +130,8 @@ class _Hits(dict):
 
     def __missing__(self, word: str) -> tuple[float, float] | None:
         found = self.automaton.match(word)
+        if not (found[0] or found[1]) and len(parts := LETTERS.findall(word)) > 1:
+            found = max(map(self.automaton.match, parts), key=lambda x: (x[0] + x[1], x))
         found = found if found[0] or found[1] else None
         if len(self) >= REMEMBERED:
             self.clear()
@@ -137,6 +140,25 @@ class _Hits(dict):
         return found
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands in quotation marks, of any length and over line ends, in one pass.
+
+    Inside one kind of marks the others don't count. A paragraph break ends a quotation that nothing has closed, which
+    is then none, so that an odd mark does not turn the rest of the text inside out.
+    """
+    spans, opened, at = [], None, 0
+    for m in MARK.finditer(text):
+        mark = m[0]
+        if mark[0] == "\n":
+            opened = None
+        elif opened is None:
+            opened, at = CLOSES.get(mark), m.start()
+        elif mark == opened:
+            spans.append((at, m.end()))
+            opened = None
+    return spans
+
+
 def describe(text: str | None, hits: _Hits) -> list[float]:
     """Features of a whole text from its hits and their contexts.
 
@@ -149,7 +171,7 @@ def describe(text: str | None, hits: _Hits) -> list[float]:
     at = [i for i, v in enumerate(marks) if v is not None]
     if not at:
         return [0.0] * 7
-    spans = [m.span() for m in QUOTED.finditer(lower)]
+    spans = quotations(lower)
     inside: set[int] = set()
     if spans:
         k = 0
@@ -212,33 +234,38 @@ def _select(found: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
         return ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
 
     ranked = sorted(found, key=lambda x: (-x[1] * math.log(ratio(x[1], x[2])), -len(x[0]), x[0]))
-    taken: dict[str, tuple[int, int]] = {}
+    taken: dict[str, float] = {}
+    under: dict[str, tuple[int, int]] = {}  # most documents of an entry taken that begins so
     for entry, a, b in ranked:
         stem = entry.rstrip("*")
-        if any(stem.startswith(t.rstrip("*")) and t.endswith("*") for t in taken):
+        if any(stem[:k] + "*" in taken for k in range(1, len(stem) + 1)):
             continue
-        under = [taken[t] for t in taken if entry.endswith("*") and t.startswith(stem)]
-        a2, b2 = a - max([0, *(u[0] for u in under)]), b - max([0, *(u[1] for u in under)])
-        if a2 >= SUPPORT and ratio(a2, b2) >= RATIO:
-            taken[entry] = (a, b)
-        if len(taken) >= ENTRIES:
-            break
-    return {t: math.log(ratio(a, b)) for t, (a, b) in taken.items()}
+        below = under.get(stem, (0, 0)) if entry.endswith("*") else (0, 0)
+        if a - below[0] >= SUPPORT and ratio(a - below[0], b - below[1]) >= RATIO:
+            taken[entry] = math.log(ratio(a, b))
+            for k in range(1, len(stem) + 1):
+                x = under.get(stem[:k], (0, 0))
+                under[stem[:k]] = max(x[0], a), max(x[1], b)
+    return taken
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_rows: int = FIT_CLEAN) -> Model:
     """Learn lexicon and weights from labelled documents, `toxic_rows` and `clean_rows` of them at most.
 
-    These are the ones whose ids have the smallest hashes among those with a label to learn from. Candidates
-    for the lexicon are words and their beginnings of four letters or more. Without toxic or without clean
-    documents the model scores everything 0.
+    These are the ones whose ids have the smallest hashes among those with a label to learn from; of rows that
+    share such an id one counts, the one whose text has the smallest hash. Candidates for the lexicon are words and
+    their beginnings of four letters or more in these documents; all that pass RATIO and SUPPORT are considered.
+    Without toxic or without clean documents, so for empty tables too, the model scores everything 0.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & trained_on(F.col("doc_id")))
     known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     near = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = near(known.where("toxic = 1"), toxic_rows).union(near(known.where("toxic = 0"), clean_rows))
     # at most toxic_rows + clean_rows pairs of numbers
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min_by(F.struct("text", F.col("toxic").cast("int").alias("toxic")), F.struct(F.xxhash64("text"), "text")).alias("one")
+    spread = met.groupBy("doc_id").agg(one).select("one.*").repartition(tasks(docs.sparkSession))
+    rows = cut(spread)
     counts = dict(rows.groupBy("toxic").count().collect())
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     nothing = Model({}, np.array([-30.0] + [0.0] * 7))
@@ -255,14 +282,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
             yield pd.DataFrame({"entry": keys, "a": [seen[1][k] for k in keys], "b": [seen[0][k] for k in keys]})
 
     sums = (
-        rows.repartition(6)
-        .mapInPandas(prefixes, "entry string, a long, b long")
+        rows.mapInPandas(prefixes, "entry string, a long, b long")
         .groupBy("entry")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where((F.col("a") >= SUPPORT) & ((F.col("a") + 0.5) * (clean + 1) >= RATIO * (F.col("b") + 0.5) * (toxic + 1)))
     )
-    best = sums.orderBy(F.desc("a"), "b", "entry").limit(CANDIDATES).collect()
-    model = Model(_select([tuple(r) for r in best], toxic, clean))
+    # words that five of at most `toxic_rows` documents share: bounded by the sample
+    model = Model(_select([tuple(r) for r in sums.collect()], toxic, clean))
     if not model.entries:
         return nothing
 
@@ -272,35 +298,30 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
             yield pd.DataFrame({"x": [describe(t, hits) for t in b["text"]], "toxic": b["toxic"]})
 
     found = rows.mapInPandas(features, "x array<double>, toxic int").collect()
+    release(rows)
     model.weights = _logistic(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float))
     return model
 
 
 def _scored(model: Model):
     hits = _Hits(Automaton(model.entries))
-    return lambda texts: model.scores(np.array([describe(t, hits) for t in texts], float).reshape(-1, 7))
+    return lambda texts: [model.scores(np.array([describe(t, hits) for t in texts], float).reshape(-1, 7))]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for each row: from 0 to 1, higher for likelier toxic. Null counts as empty text."""
+    """(doc_id, score) for each row: from 0 to 1, higher for likelier toxic.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = _scored(model)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores(b["text"])})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    Null counts as empty text, which scores what no hits score. Repeated rows each keep their row, ids their type;
+    an empty table gives an empty result; other columns, whatever their names, are ignored. Texts are read whole, in
+    time that follows their length.
+    """
+    return by_text(docs, ["doc_id"], "score double", lambda: _scored(model))
 
 
 def keep_clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text scores under `below`."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = _scored(model)
-        for b in batches:
-            yield b[scores(b["text"]) < below]
-
-    return docs.mapInPandas(run, docs.schema)
+    """The rows, with all their columns as they are, whose text scores under `below`; null texts as `score` has it."""
+    name = free_name(docs, "score")
+    return by_text(docs, docs.columns, f"`{name}` double", lambda: _scored(model)).where(F.col(f"`{name}`") < below).drop(name)
 
 
 def op1_score_toxicity(spark, sf_dir):

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from ledgerbeam.llm import toxicity as tox
@@ -95,3 +96,46 @@ def test_many_hits_count_their_neighbours():
     at = [i for i, w in enumerate(words) if w == "idiot"]
     want = sum(5.0 * (sum(abs(i - j) <= tox.WINDOW for j in at) - 1) for i in at)
     assert len(at) > 250 and tox.describe(" ".join(words), hits)[3] == pytest.approx(math.log1p(want))
+
+
+def test_context_counts_follow_brute_force_at_any_number_of_hits():
+    hits = tox._Hits(tox.Automaton({"idiot": 2.0}))
+    for n, gap in ((199, 40), (200, 40), (250, 100), (300, 5), (250, 13)):
+        text = " ".join(" ".join(["word"] * (gap - 1) + ["idiot"]) for _ in range(n))
+        at = [i for i, w in enumerate(text.split()) if w == "idiot"]
+        near = sum(2.0 * sum(abs(a - b) <= tox.WINDOW for b in at if b != a) for a in at)
+        assert abs(tox.describe(text, hits)[3] - np.log1p(near)) < 1e-9
+
+
+def test_long_quotations_and_odd_marks():
+    hits = tox._Hits(tox.Automaton({"idiot": 2.0}))
+    quoted = lambda text: tox.describe(text, hits)[2] > 0
+    filler = "so it went on and on " * 60
+    assert quoted(f'he said "{filler} idiot {filler}" and left') and quoted(f"« {filler}\n{filler} idiot »")
+    assert not quoted(f'an odd mark " here\n\n{filler} idiot {filler} "') and quoted(f'an odd mark " here\n\nthen "you idiot" again')
+    assert not quoted("idiot") and tox.quotations('"' * 5) == [(0, 2), (2, 4)]
+
+
+def test_misspellings_with_digits_and_signs_inside():
+    hits = tox._Hits(tox.Automaton({"idiot": 2.0, "trash*": 1.0}))
+    for text in ("you idi0t", "an !d!ot", "m idi*t", "such tr@sh"):
+        assert (sum(tox.describe(text, hits)[:2]) > 0) == (text != "an !d!ot")
+    assert tox.describe("idiot@mail.com", hits)[0] > 0
+
+
+def test_exact_ids_and_clashing_columns(spark):
+    big = 2**53 + 1
+    rows = [(big, "fine words", big), (None, None, None), (4, "you idiot " * 30_000, 1), (4, "you idiot " * 30_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score long")
+    model = tox.Model({"idiot": 3.0}, np.array([-4.0, 2, 0, 0, 1, 1, 0, 0]))
+    assert [r["doc_id"] for r in tox.score(docs, model).collect()] == [big, None, 4, 4]
+    kept = tox.keep_clean(docs, model)
+    assert kept.dtypes == docs.dtypes and [tuple(r) for r in kept.collect()] == [rows[0], rows[1]]
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs = spark.createDataFrame([(i, f"you moron {i}" if i % 2 else f"a quiet day {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    a = tox.fit(docs, labels)
+    b = tox.fit(docs.union(docs.where("doc_id = 7")).union(docs.where("doc_id = 7")), labels.union(labels))
+    assert a.entries == b.entries and np.allclose(a.weights, b.weights)
