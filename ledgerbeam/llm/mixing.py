@@ -1,9 +1,10 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Everything here is DataFrame work. Targets come from a water-filling over the sources; the documents each
-source gives are a prefix of a seeded permutation, so reruns agree; a binary tree then parts the exact
-per-source quotas among the output shards, each split a draw from the multivariate hypergeometric
-distribution; each shard takes its own run of the permutation and is ordered by a hash of its own.
+source gives are a prefix of a seeded permutation, so reruns agree, and lie in blocks along it; a binary tree
+then parts the exact quotas of blocks by source among the output shards, each split a draw from the multivariate
+hypergeometric distribution; each shard takes its own run of permuted blocks, disjoint from all others, and is
+ordered by a hash of its own.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import cut, word_count
+from ledgerbeam.llm.common import cut, free_name, word_count
 
 #: Weights of the sources in order of name, repeating.
 WEIGHTS = (3, 1, 2)
+#: Documents of a block, the unit that the splitting tree deals out.
+BLOCK = 16
 #: Rows of one source in one bucket of its permutation, about.
 BUCKET_ROWS = 4096
 #: Documents of one source that one row goes through in order, between runs that go by sums.
@@ -33,20 +36,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def sized_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, key, nth): one small row for each document row.
 
-    Null text has size 0. Rows of one key differ in `nth`, so repeated rows stay apart.
+    Null text has size 0. Rows of one key differ in `nth`, so repeated rows stay apart; they are counted, and the
+    count is spelled out, so that no task gathers them.
     """
     small = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(1)).alias("digest")
-    ).withColumn("key", F.xxhash64("doc_id", "source", "digest"))
-    same = W.partitionBy("key").orderBy("doc_id", "source", "digest")
-    return small.withColumn("nth", F.row_number().over(same)).drop("digest")
+    )
+    counted = small.groupBy("doc_id", "source", "size", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select(
+        "doc_id", "source", "size", F.xxhash64("doc_id", "source", "digest").alias("key"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth")
+    )
 
 
 def targets(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, n_docs, source_size, target): weighted shares, none above `most` times its source.
 
     Sources count in code-point order, null last. What a capped source can't take is shared by weight among
-    the others until none is above its cap. One row for each source, so windows over all sources are small.
+    the others until none is above its cap. The windows over all sources, and the arrays of the splitting tree, hold one
+    number or two for each source: they take sources by the million, not by the billion.
     """
     sums = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
@@ -306,7 +313,8 @@ def draws(rows: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 20,
     `rows` is what `sized_rows` gives. A source gives all its documents as often as its target is a whole
     multiple of its size; the rest is the longest prefix of its permutation that fits, and then every document
     after it that still fits into the gap, first come first served. So no document is taken more
-    than twice at the default caps, and no source goes over its target.
+    than twice at the default caps, and no source goes over its target. What a source gives lies in blocks of
+    BLOCK documents, pass after pass, and the splitting tree says which of them go to which shard.
     Returns the columns of `rows` with source_size, target and `copies`, an array of (shard, spot), empty for
     documents that the mix leaves out. `spot` orders a shard's documents: its local shuffle.
     """
@@ -335,7 +343,8 @@ def draws(rows: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 20,
     extras = filled.groupBy("source_no").agg(F.count(F.lit(1)).alias("n_extra"))
     quotas = cut(
         sources.join(extras, "source_no", "left")
-        .withColumn("quota", F.col("full_") * F.col("n_docs_") + F.col("n_fit") + F.coalesce("n_extra", F.lit(0)))
+        .withColumn("drawn", F.col("full_") * F.col("n_docs_") + F.col("n_fit") + F.coalesce("n_extra", F.lit(0)))
+        .withColumn("quota", F.expr(f"(drawn + {BLOCK - 1}) div {BLOCK}"))
         .select("s", "n_fit", "source_no", "quota")
     )
     plan = quotas.join(splitting_tree(quotas, shards, seed), "source_no")
@@ -354,7 +363,7 @@ def draws(rows: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 20,
     copies = F.transform(
         F.concat(passes, last),
         lambda no: F.struct(
-            F.size(F.filter("ends", lambda e: e <= no)).alias("shard"),
+            F.size(F.filter("ends", lambda e: e * BLOCK <= no)).alias("shard"),
             F.xxhash64(no, F.col("source_no"), F.lit(seed + 1)).alias("spot"),
         ),
     )
@@ -365,22 +374,31 @@ def mix(docs: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 20) -
     """The mixed documents: every column of `docs`, a row for each copy taken, with mix_shard and mix_spot.
 
     Null sources form one source, null texts count as empty and are taken with whole passes only, an empty
-    table gives an empty mix. Column names other than doc_id, text and source are free.
+    table gives an empty mix. Rows equal in doc_id, text and source are told apart by number, and each counts. Where
+    `docs` has a column mix_shard or mix_spot, the new one takes an underscore more.
     """
-    kept = [F.col(f"doc.`{c}`") for c in docs.columns]
+    kept = [F.col(f"_doc.`{c}`") for c in docs.columns]
     chosen = draws(sized_rows(docs), share, shards, seed).where(F.size("copies") > 0).select("key", "nth", "copies")
-    rows = _keyed(docs.select("doc_id", "source", "text", F.struct("*").alias("doc")))
+    rows = _keyed(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc")))
     # a condition on nth beside the key lets the join keep the partitions of the window that made nth
     met = rows.join(chosen, (rows["key"] == chosen["key"]) & (rows["nth"] - chosen["nth"] == 0))
-    return met.select(*kept, F.explode("copies").alias("_copy")).select(
-        *[f"`{c}`" for c in docs.columns], F.col("_copy.shard").alias("mix_shard"), F.col("_copy.spot").alias("mix_spot")
-    )
+    placed = met.select("_doc", F.explode("copies").alias("_copy"))
+    names = {part: free_name(docs, f"mix_{part}") for part in ("shard", "spot")}
+    return placed.select(*kept, *[F.col(f"_copy.{part}").alias(name) for part, name in names.items()])
 
 
 def op7_mix_sources(spark, sf_dir):
-    """Contract query: what the mix takes of every document."""
+    """Contract query: what the mix takes of every document, and the shards and places that its copies go to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     drawn = draws(sized_rows(docs))
+    listed = lambda part: F.array_join(F.transform("copies", lambda c: c[part].cast("string")), ",")
     return drawn.select(
-        "doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken")
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.size("copies") * F.col("size")).cast("long").alias("taken"),
+        F.size("copies").alias("n_copies"),
+        listed("shard").alias("shards"),
+        listed("spot").alias("spots"),
     )

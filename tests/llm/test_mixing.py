@@ -95,3 +95,33 @@ def test_a_giant_document_leaves_no_gap(spark):
             assert gap >= 0 and not any(r["size"] <= gap for r in own if len(r["copies"]) == least and least < own[0]["target"] / own[0]["source_size"])
             spots = [tuple(c) for r in own for c in r["copies"]]
             assert len(spots) == len(set(spots))
+
+
+def test_shards_hold_the_blocks_that_the_tree_gives_them(spark, docs):
+    """Blocks by source and shard are the tree's quotas, and the query's columns follow them."""
+    rows = mixing.draws(mixing.sized_rows(docs), shards=8).collect()
+    drawn, by_shard = Counter(), defaultdict(Counter)
+    for r in rows:
+        for c in r["copies"]:
+            drawn[r["source"]] += 1
+            by_shard[r["source"]][c["shard"]] += 1
+    names = sorted([s for s in drawn if s is not None]) + [None]
+    quotas = spark.createDataFrame([(i, -(-drawn[s] // mixing.BLOCK)) for i, s in enumerate(names, 1)], "source_no int, quota long")
+    ends = {r["source_no"]: r["ends"] for r in mixing.splitting_tree(quotas, 8, 20).collect()}
+    for i, s in enumerate(names, 1):
+        left = drawn[s]
+        for shard in range(8):
+            blocks = ends[i][shard] - (ends[i][shard - 1] if shard else 0)
+            want = min(left, blocks * mixing.BLOCK)
+            assert by_shard[s][shard] == want
+            left -= want
+    per_shard = [sum(-(-c[k] // mixing.BLOCK) for c in by_shard.values()) for k in range(8)]
+    assert max(per_shard) - min(per_shard) <= 2 and sum(drawn.values()) > 300
+
+
+def test_columns_named_like_the_new_ones_and_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 150}", 1, 2) for i in range(900)] + [(1000, "w " * 5000, "s1", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_shard int, mix_spot int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix_shard_", "mix_spot_"] and mixed.where("mix_shard <> 1").count() == 0
+    assert mixed.select("mix_shard_").distinct().count() == 16
