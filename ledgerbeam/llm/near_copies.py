@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,32 +45,36 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     Null and empty texts have an empty set and no band.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        names = ["doc_id", "node", "n", "keys", "hashes"]
-        rows: list[tuple] = []
-        size = 0
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+        def given(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+            made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            return pa.RecordBatch.from_arrays([ids, *made], ["doc_id", "node", "n", "keys", "hashes"])
+
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+            ids, rows, size, at = batch.column(0), [], 0, 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 h = np.unique(shingle_hashes(text, words))
                 node = xxhash.xxh64_intdigest(h.tobytes())
                 node -= (node >> 63) << 64
                 if node in seen:
-                    rows.append((doc_id, node, len(h), None, None))
+                    rows.append((node, len(h), None, None))
                 else:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(node)
-                    rows.append((doc_id, node, len(h), bands(h) if len(h) else None, h.view(np.int64)))
+                    rows.append((node, len(h), bands(h) if len(h) else None, h.view(np.int64)))
                     size += h.nbytes
                 if size >= HANDED:
-                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-                    rows, size = [], 0
+                    yield given(ids.slice(at, i + 1 - at), rows)
+                    rows, size, at = [], 0, i + 1
             if rows:
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-                rows, size = [], 0
+                yield given(ids.slice(at), rows)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, node long, n int, keys array<long>, hashes array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, keys array<long>, hashes array<long>")
 
 
 def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:

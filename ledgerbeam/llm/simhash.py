@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import cut, split_hot, tasks
+from ledgerbeam.llm.common import by_text, cut, split_hot, tasks
 from ledgerbeam.llm.components import components
 
 #: (lowest bit, number of bits) of the three blocks of a fingerprint.
@@ -54,12 +54,10 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp): the SimHash of every whole text as a signed long; null and empty texts get 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [majority(shingle_hashes(t, words)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array(found, np.uint64).view(np.int64)})
+    def make():
+        return lambda texts: [np.array([majority(shingle_hashes(t, words)) for t in texts], np.uint64).view(np.int64)]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return by_text(docs, ["doc_id"], "fp long", make)
 
 
 def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -370,10 +371,14 @@ def _cut_out(length: int):
     """Per document: join its ranges, take them out, and describe the rest."""
     reach = length - GRAM
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    runs = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), runs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, text, at, starts, stops in zip(b["doc_id"], b["text"], b["at"], b["starts"], b["stops"]):
+            lists = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 5))
+            for text, at, starts, stops in zip(b.column(1).to_pylist(), *lists):
                 data = text.encode("utf-8", "surrogatepass") if text else b""
                 begin, end = np.empty(0, np.int64), np.empty(0, np.int64)
                 if at is not None and len(at):
@@ -394,10 +399,10 @@ def _cut_out(length: int):
                     kept.update(view[p:s])
                     p = e
                 kept.update(view[p:])
-                rows.append((doc_id, len(data), int((end - begin).sum()), len(begin), kept.hexdigest(), list(zip(begin.tolist(), end.tolist()))))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-            out["spans"] = [[{"start": s, "stop": e} for s, e in x] for x in out["spans"]]
-            yield out
+                spans = [{"start": s, "stop": e} for s, e in zip(begin.tolist(), end.tolist())]
+                rows.append((len(data), int((end - begin).sum()), len(begin), kept.hexdigest(), spans))
+            made = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return run
 
@@ -446,9 +451,10 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     parts = ranges.groupBy(*key).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     whole = found.where("bucket < 0").groupBy(*key).agg(F.collect_list("pos").alias("at"))
     ready = texts.join(whole, key, "left").join(parts, key, "left")
-    return ready.select("doc_id", "text", "at", "starts", "stops").mapInPandas(
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return ready.select("doc_id", "text", "at", "starts", "stops").mapInArrow(
         _cut_out(length),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>",
+        f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>",
     )
 
 

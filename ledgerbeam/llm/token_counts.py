@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerbeam.llm import unigram
+from ledgerbeam.llm.common import by_text
 from ledgerbeam.llm.unigram import NONE, PRE_TOKEN, Pieces, normalize
 
 #: Nodes that a worker's trie holds before it starts anew; this bounds its memory.
@@ -108,22 +106,22 @@ def len_of_long(pieces: Pieces, token: str) -> int:
 def count_tokens(docs: DataFrame, model: str = unigram.DEFAULT_MODEL) -> DataFrame:
     """(doc_id, n_tokens): tokens of every whole text under the unigram model in the file `model`.
 
-    Null and empty texts have none; every row keeps its row; other columns are ignored. No shuffle: each
-    worker keeps one trie of the distinct pre-tokens it has seen, up to a bound.
+    Null and empty texts have none; every row keeps its row, ids keep their type; other columns, whatever their
+    names, are ignored; an empty table gives an empty result. No shuffle: each worker keeps one trie of the
+    distinct pre-tokens it has seen, up to a bound; pre-tokens of over a quarter of it, which share no prefix
+    worth keeping, go through the same recurrence in a window as long as the longest piece.
     """
     shared = docs.sparkSession.sparkContext.broadcast(unigram.load(model))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         pieces = shared.value
         trie = pieces.__dict__.get("trie") or pieces.__dict__.setdefault("trie", Trie(pieces))  # for the worker's life
-        for batch in batches:
-            counts = [trie.total(t) if t else 0 for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts})
+        return lambda texts: [[trie.total(t) if t else 0 for t in texts]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long")
+    return by_text(docs, ["doc_id"], "n_tokens long", make)
 
 
 def op8_count_tokens(spark, sf_dir):
-    """Contract-free query: every document with its tokens and its characters."""
+    """Query: every document with its tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return count_tokens(docs).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
