@@ -33,9 +33,15 @@ SHALLOW = 40
 PIECE = 1 << 20
 #: Bytes of text to a bucket of anchors, about.
 PER_BUCKET = 48 << 20
+#: Contexts of one anchor that are compared in one group; of an anchor with more, in groups that share more bytes.
+HOT = 2000
+#: Offsets of strings from a hot anchor that one group looks at.
+OFFSETS = 12
+#: Added to the buckets of hot anchors.
+HOT_MARK = 1 << 40
 
 ANCHOR = np.dtype([("h", "<u4"), ("c", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4")])
-NEED = np.dtype([("h", "<u4"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4"), ("left", "<u1"), ("right", "<u1")])
+NEED = np.dtype([("g", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4"), ("left", "<u1"), ("right", "<u1"), ("low", "<u1"), ("high", "<u1")])
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -195,7 +201,7 @@ def _anchor_rows(length: int, buckets: int):
     return run
 
 
-def _classes(buckets: int):
+def _classes(buckets: int, hot: int):
     """Per bucket: repeats of a whole context, and first contexts of anchors that have several."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,38 +213,52 @@ def _classes(buckets: int):
         new_h = np.r_[True, a["h"][1:] != a["h"][:-1]]
         new_class = new_h | np.r_[True, a["c"][1:] != a["c"][:-1]]
         group = np.cumsum(new_h) - 1
-        several = np.bincount(group, weights=new_class)[group] > 1
+        contexts = np.bincount(group, weights=new_class)[group]
+        several = contexts > 1
         # one row met twice is one document
         twin = np.r_[False, (a[1:] == a[:-1])]
         keep = (~new_class & ~twin) | (new_class & several)
+        mark = np.where(contexts[keep] > hot, HOT_MARK, 0)
         a, first = a[keep], new_class[keep]
         return pd.DataFrame({
             "doc": a["doc"], "tie": a["tie"].astype(np.int64), "pos": a["pos"].astype(np.int64),
-            "bucket": np.where(first, bucket, -1), "h": a["h"].astype(np.int64),
+            "bucket": np.where(first, bucket + mark, -1), "h": a["h"].astype(np.int64),
         })
 
     return run
 
 
-def _context_rows(length: int):
-    """Per batch of documents with anchors to look at: their context bytes, packed by bucket."""
+def _context_rows(length: int, buckets: int):
+    """Per batch of documents with anchors to look at: their context bytes, packed by bucket.
+
+    A string that begins r bytes before an anchor, low <= r <= high, holds the `low` bytes before it and the
+    `length - high` from it on. So the contexts of a hot anchor go, for each stretch of offsets, to a group of
+    those that share these bytes: however common the anchor's own gram is, what surrounds it parts them.
+    """
     reach = length - GRAM
+    parts = [(low, min(low + OFFSETS - 1, reach)) for low in range(0, reach + 1, OFFSETS)]
+    digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             by: dict[int, list] = {}
-            for doc, tie, text, at, buckets, hs in zip(b["doc"], b["tie"], b["text"], b["at"], b["buckets"], b["hs"]):
+            for doc, tie, text, at, owners, hs in zip(b["doc"], b["tie"], b["text"], b["at"], b["buckets"], b["hs"]):
                 data = text.encode("utf-8", "surrogatepass")
-                for p, k, h in zip(at.tolist(), buckets.tolist(), hs.tolist()):
+                for p, k, h in zip(at.tolist(), owners.tolist(), hs.tolist()):
                     before, after = data[max(0, p - reach) : p], data[p : p + length]
-                    by.setdefault(k, []).append((h, doc, tie, p, len(before), len(after), before[::-1], after))
+                    packed = before[::-1].ljust(reach, b"\0"), after.ljust(length, b"\0")
+                    sides = doc, tie, p, len(before), len(after)
+                    if k < HOT_MARK:
+                        by.setdefault(k, []).append(((h, *sides, 0, reach), *packed))
+                        continue
+                    for low, high in parts:
+                        if len(before) >= low and len(after) >= length - high:
+                            g = digest(data[p - low : p + length - high], low)
+                            by.setdefault(g % buckets, []).append(((g, *sides, low, high), *packed))
             rows = []
             for k, found in by.items():
-                head = np.array([x[:6] for x in found], dtype=object)
-                r = np.empty(len(found), NEED)
-                for i, name in enumerate(("h", "doc", "tie", "pos", "left", "right")):
-                    r[name] = head[:, i].astype(np.int64)
-                rows.append((k, r.tobytes(), b"".join(x[6].ljust(reach, b"\0") for x in found), b"".join(x[7].ljust(length, b"\0") for x in found)))
+                head = np.array([x[0] for x in found], NEED)
+                rows.append((k, head.tobytes(), b"".join(x[1] for x in found), b"".join(x[2] for x in found)))
             yield pd.DataFrame(rows, columns=["bucket", "head", "before", "after"])
 
     return run
@@ -296,23 +316,51 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, begin, size): rows of words sorted within each group, and the runs that are equal in all words.
+
+    Each stretch of rows that agree in their first words takes a pivot and parts in three by the next word: less,
+    equal and greater; the equal ones go on with the word after. All stretches of a round part at once.
+    """
+    n, width = words.shape
+    order = np.argsort(group, kind="stable")
+    start = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]) if n else np.empty(0, np.int64)
+    stop = np.r_[start[1:], n] if n else start
+    depth = np.zeros(len(start), np.int64)
+    begin, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(start):
+        long = stop - start > 1
+        tied = long & (depth == width)
+        begin.append(start[tied])
+        size.append((stop - start)[tied])
+        start, stop, depth = (x[long & ~tied] for x in (start, stop, depth))
+        if not len(start):
+            break
+        rows = stop - start
+        first = np.cumsum(rows) - rows
+        own = np.repeat(np.arange(len(start)), rows)
+        at = np.arange(len(own)) - first[own] + start[own]
+        word = words[order[at], depth[own]]
+        pivot = word[first + rows // 2][own]
+        side = 3 * own + (word >= pivot) + (word > pivot)
+        order[at] = order[at][np.argsort(side, kind="stable")]
+        ends = start[:, None] + np.cumsum(np.bincount(side, minlength=3 * len(start)).reshape(-1, 3), axis=1)
+        start, stop = np.c_[start, ends[:, :2]].ravel(), ends.ravel()
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+    return order, np.concatenate(begin), np.concatenate(size)
+
+
 def deep_shallow(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): rows of bytes sorted within each group, and the common prefix of each with the one before.
 
-    Multikey sorting by group and eight bytes at a time down to a shallow depth; what is still equal there has
+    Multikey quicksort, eight bytes at a time, down to a shallow depth; what is still equal there has
     long common prefixes and goes through blind tries. lcp is -1 where a group begins.
     """
     n, width = rows.shape
-    shallow = min(SHALLOW, width)
-    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    words[:, :width] = rows
-    keys = words.view(">u8").astype(np.uint64)
-    top = shallow // 8
-    order = np.lexsort((*(keys[:, k] for k in range(top - 1, -1, -1)), group))
-    tied = np.r_[False, (group[order][1:] == group[order][:-1]) & (keys[order][1:, :top] == keys[order][:-1, :top]).all(axis=1)]
-    begin = np.flatnonzero(~tied)
-    length = np.diff(np.r_[begin, n])
-    for s, m in zip(begin[length > 1].tolist(), length[length > 1].tolist()):
+    shallow = min(SHALLOW, width) // 8 * 8
+    words = np.ascontiguousarray(rows[:, :shallow]).view(">u8").astype(np.uint64).reshape(n, -1)
+    order, begin, length = multikey_quicksort(group, words)
+    for s, m in zip(begin.tolist(), length.tolist()):
         own = order[s : s + m]
         deep = rows[own, shallow:]
         if m == 2:
@@ -338,8 +386,10 @@ def _ranges(length: int):
         head = np.frombuffer(b"".join(pdf["head"]), NEED)
         after = np.frombuffer(b"".join(pdf["after"]), np.uint8).reshape(-1, length)
         before = np.frombuffer(b"".join(pdf["before"]), np.uint8).reshape(-1, reach) if reach else np.zeros((len(head), 0), np.uint8)
+        head, once = np.unique(head, return_index=True)  # equal rows are one document, whose contexts came once for each
+        after, before = after[once], before[once]
         n = len(head)
-        group = head["h"].astype(np.int64)
+        group = head["g"]
         right_order, right_lcp = deep_shallow(group, after)
         left_order, left_lcp = deep_shallow(group, before) if reach else (right_order, np.where(right_lcp < 0, -1, 0))
         right_at, left_at = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -350,7 +400,7 @@ def _ranges(length: int):
         for r in range(reach + 1):
             right_at[right_order] = np.cumsum(right_lcp < length - r)
             left_at[left_order] = np.cumsum(left_lcp < r)
-            live = np.flatnonzero((head["left"] >= r) & (head["right"] >= length - r))
+            live = np.flatnonzero((head["left"] >= r) & (head["right"] >= length - r) & (head["low"] <= r) & (r <= head["high"]))
             key = right_at[live] * (n + 1) + left_at[live]
             order = np.lexsort((age[live], key))
             later = order[np.r_[False, key[order][1:] == key[order][:-1]]] if len(order) else order
@@ -407,14 +457,17 @@ def _cut_out(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row of `docs`.
 
     Each byte in a string of `length` UTF-8 bytes (33 to 255) that also starts earlier, in a document of smaller
     doc_id or earlier in the same one, is removed; strings never cross documents and are judged on the input.
     spans are the maximal removed ranges, ends exclusive. Null text counts as empty; texts shorter than `length`
     stay. A null doc_id comes after all others. Rows that share a doc_id count as documents in order of a hash
-    of their text; rows that share both are one document, and each gets its result. Other columns are ignored.
+    of their text; rows that share both are one document, and each gets its result. Other columns, whatever their
+    names, are ignored; an empty table gives an empty result. Very long texts are hashed a piece at a time and held
+    whole by one task. That two whole contexts are equal is told by 96 bits of hashes of anchor and context; other
+    strings are compared by their bytes.
     """
     if not GRAM < length <= 255:
         raise ValueError("length must be from 33 to 255")
@@ -430,7 +483,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     anchors = given.select("doc", "tie", "text").mapInPandas(_anchor_rows(length, buckets), "bucket long, data binary")
     found = cut(
         anchors.groupBy("bucket").applyInPandas(
-            _classes(buckets), "doc long, tie long, pos long, bucket long, h long"
+            _classes(buckets, hot), "doc long, tie long, pos long, bucket long, h long"
         )
     )
     # both joins below deal the texts out alike, so Spark shuffles them once
@@ -444,7 +497,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     ranges = (
         texts.join(needed, key)
         .select("doc", "tie", "text", "at", "buckets", "hs")
-        .mapInPandas(_context_rows(length), "bucket long, head binary, before binary, after binary")
+        .mapInPandas(_context_rows(length, buckets), "bucket long, head binary, before binary, after binary")
         .groupBy("bucket")
         .applyInPandas(_ranges(length), "doc long, tie long, start long, stop long")
     )

@@ -118,3 +118,64 @@ def test_a_document_a_little_over_a_piece_is_not_its_own_repeat(spark):
         if extra == 150:
             row = sd.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
             assert row["n_removed"] == 0 and row["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def letters(rng, n):
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+
+def test_lengths_around_a_piece_remove_what_repeats_and_no_more(spark):
+    rng = random.Random(31)
+    rows, want = [], {}
+    for i, extra in enumerate((0, 99, 100, 150, 200, 201)):
+        text = letters(rng, sd.PIECE + extra)
+        rows.append((2 * i, text))
+        want[2 * i] = (0, 0, text)
+        copy = text[5000:5150]
+        rest = letters(rng, sd.PIECE + extra - 151) + ("#" if text[4999] != "#" else "+")
+        rows.append((2 * i + 1, rest + copy))
+        want[2 * i + 1] = (150, 1, rest)
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == {
+        k: (n, s, hashlib.sha256(t.encode()).hexdigest()) for k, (n, s, t) in want.items()
+    }
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 5])
+def test_equal_rows_are_one_document(spark, partitions):
+    rng = random.Random(32)
+    text, other = letters(rng, 500), letters(rng, 300)
+    rows = [(7, text)] * 3 + [(9, other + text[100:250]), (None, other), (None, other)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("7", 0)] * 3 + [("9", 150)] + [("None", 300)] * 2
+
+
+@pytest.mark.parametrize("hot", [0, 3, 2000])
+def test_hot_anchors_with_ever_new_surroundings(spark, hot):
+    rng = random.Random(33)
+    line, shorter = letters(rng, 90), letters(rng, 40)
+    rows = [(i, letters(rng, rng.randint(0, 150)) + rng.choice([line, shorter, line[:60]]) + letters(rng, rng.randint(0, 150))) for i in range(120)]
+    rows += [(200 + i, rows[i][1][: 40 + 5 * i] + rows[i + 1][1][20:] + rows[i][1][10:]) for i in range(40)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    want = {doc: tuple(found) for doc, _, *found in brute(rows, 100)}
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    assert sum(n for n, _, _ in want.values()) > 2000
+
+
+def test_multikey_quicksort_sorts_each_group_and_names_ties():
+    rng = np.random.default_rng(5)
+    for n, kinds in ((0, 2), (1, 2), (400, 2), (400, 50), (3000, 3)):
+        words, group = rng.integers(0, kinds, (n, 4)).astype(np.uint64), rng.integers(0, 5, n)
+        order, begin, size = sd.multikey_quicksort(group, words)
+        key = [(int(group[i]), *words[i].tolist()) for i in order]
+        assert key == sorted(key) and sorted(order.tolist()) == list(range(n))
+        runs = [(s, m) for s, m in zip(begin.tolist(), size.tolist())]
+        assert all(len(set(key[s : s + m])) == 1 for s, m in runs)
+        assert sum(m for _, m in runs) == sum(key.count(k) for k in set(key) if key.count(k) > 1)
+
+
+def test_exact_ids_beside_nulls(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "x" * 300, "q"), (None, None, "r"), (big + 1, "x" * 300, "s")], "doc_id long, text string, bucket string").coalesce(1)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in sd.remove_repeats(docs).collect()}
+    assert got == {big: (300, 299), None: (0, 0), big + 1: (300, 300)}
