@@ -72,10 +72,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     _WRITTEN.discard(path)
 
 
-def by_text(df: DataFrame, keep: list[str], added: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def by_text(df: DataFrame, keep: list[str], added: str, make: Callable[[], Callable[[list], list]], rows: int = 2048) -> DataFrame:
     """The columns `keep` of `df` as they are, and those in the schema `added` that are made from `text`.
 
-    `make` is called once in a task and gives a function from the texts of a batch to lists, one for each added
+    `make` is called once in a task and gives a function from up to `rows` texts to lists, one for each added
     column. The other columns stay Arrow arrays, so whole numbers beside nulls keep every digit.
     """
     kept = StructType([df.schema[k] for k in keep])
@@ -85,10 +85,11 @@ def by_text(df: DataFrame, keep: list[str], added: str, make: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = make()
-        for b in batches:
-            columns = find(b.column(len(keep)).to_pylist())
-            made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + made, names)
+        for whole in batches:
+            for b in (whole.slice(s, rows) for s in range(0, whole.num_rows, rows)):
+                columns = find(b.column(len(keep)).to_pylist())
+                made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + made, names)
 
     return df.select(*[F.col(f"`{k}`") for k in keep], F.col("text")).mapInArrow(run, StructType([*kept, *more]))
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerbeam.llm import unigram
+from ledgerbeam.llm.common import by_text, cut, tasks
 from ledgerbeam.llm.unigram import (
     NONE,
     PRE_TOKEN,
@@ -28,6 +32,8 @@ from ledgerbeam.llm.unigram import (
 ROWS = 512
 #: Characters of a chunk. Texts of up to two chunks are encoded whole.
 CHUNK = 32_768
+#: Chunks of a run, whose matrices one task multiplies.
+RUN = 64
 
 
 class Chunk:
@@ -118,49 +124,92 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
+def chain_of_maps(maps: list[np.ndarray]) -> np.ndarray:
+    """One map of states for several in a row, the last applied first: from the exit state to the entry state."""
+    out = np.arange(len(maps[0]))
+    for come in reversed(maps):
+        out = come[out]
+    return out
+
+
+def _chunks(docs: DataFrame, w: int, chunk: int) -> DataFrame:
+    """(row, no, run, part, n): the normalized text in chunks, each with what pieces begun in it may reach into the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in zip(*(c.to_pylist() for c in b.columns)):
+                t = normalize(text)
+                for s in range(0, len(t), 64 * chunk):
+                    at = range(s, min(len(t), s + 64 * chunk), chunk)
+                    made = ([row] * len(at), [a // chunk for a in at], [a // chunk // RUN for a in at], [t[a : a + chunk + w - 1] for a in at], [min(chunk, len(t) - a) for a in at])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()))], ["row", "no", "run", "part", "n"])
+
+    return docs.select("row", "text").mapInArrow(run, "row string, no long, run long, part string, n int")
+
+
 def _long_texts(docs: DataFrame, pieces: Pieces, shared, chunk: int) -> DataFrame:
-    """(row, ids) of texts that are cut into chunks."""
+    """(row, ids) of texts that are cut into chunks.
+
+    The scan has two levels: the matrices of a run of chunks give one product, the products of a text's runs give the
+    states at the start of each run, and from there each run scans its own chunks. Exit states come back the same
+    way, as maps of states.
+    """
     w = pieces.longest
-    whole = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    cut_up = (
-        docs.select("row", whole.alias("t"), (F.length("text") + 1).alias("len"))
-        .select("row", "t", "len", F.explode(F.sequence(F.lit(0), F.expr(f"(len - 1) div {chunk}"))).alias("no"))
-        .select(
-            "row",
-            F.col("no").cast("long").alias("no"),
-            F.substring("t", F.col("no") * chunk + 1, F.lit(chunk + w - 1)).alias("part"),
-            F.least(F.lit(chunk).cast("long"), F.col("len") - F.col("no") * chunk).cast("int").alias("n"),
-        )
-    )
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [Chunk(shared.value, t, n).transfer().tobytes() for t, n in zip(b["part"], b["n"])]
-            yield b[["row", "no"]].assign(m=found)
+            yield b.assign(m=[Chunk(shared.value, t, n).transfer().tobytes() for t, n in zip(b["part"], b["n"])])
 
-    def prefix(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Scores of the states before each chunk: matrices in order, applied to the one start state."""
-        pdf = pdf.sort_values("no")
-        state, out = np.full((1, w), NONE), []
-        state[0, 0] = 0.0
+    square = lambda m: np.frombuffer(m).reshape(w, w)
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = reduce(max_plus, map(square, pdf.sort_values("no")["m"]))
+        return pdf[["row", "run"]].iloc[:1].assign(m=whole.tobytes())
+
+    def scan(pdf: pd.DataFrame, state: np.ndarray) -> list[bytes]:
+        """The scores of the states before each matrix, given those before the first."""
+        out = []
         for m in pdf["m"]:
             out.append(state.tobytes())
-            state = max_plus(state, np.frombuffer(m).reshape(w, w))
-        return pdf[["row", "no"]].assign(entry=out)
+            state = max_plus(state, square(m))
+        return out
+
+    def over_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("run")
+        begin = np.full((1, w), NONE)
+        begin[0, 0] = 0.0
+        return pdf[["row", "run"]].assign(begin=scan(pdf, begin))
+
+    def in_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("no")
+        return pdf[["row", "no"]].assign(entry=scan(pdf, np.frombuffer(pdf["begin"].iloc[0]).reshape(1, w)))
 
     def sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [Chunk(shared.value, t, n).entered(np.frombuffer(e).tolist()) for t, n, e in zip(b["part"], b["n"], b["entry"])]
-            yield b[["row", "no"]].assign(come=found)
+            yield b[["row", "no", "run"]].assign(come=[np.array(x, np.int64).tobytes() for x in found])
 
-    def leaving(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The exit state of each chunk, last to first: maps of states, composed."""
-        pdf = pdf.sort_values("no", ascending=False)
-        state, out = 0, []
+    states = lambda come: np.frombuffer(come, np.int64)
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = chain_of_maps(list(map(states, pdf.sort_values("no")["come"])))
+        return pdf[["row", "run"]].iloc[:1].assign(come=whole.tobytes())
+
+    def leaving(pdf: pd.DataFrame, state: int) -> list[int]:
+        """The exit state of each map, last to first, given that of the last."""
+        out = []
         for come in pdf["come"]:
             out.append(state)
-            state = int(come[state])
-        return pdf[["row", "no"]].assign(leave=out)
+            state = int(states(come)[state])
+        return out
+
+    def runs_left(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("run", ascending=False)
+        return pdf[["row", "run"]].assign(end=leaving(pdf, 0))
+
+    def chunks_left(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("no", ascending=False)
+        return pdf[["row", "no"]].assign(leave=leaving(pdf, int(pdf["end"].iloc[0])))
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -170,18 +219,16 @@ def _long_texts(docs: DataFrame, pieces: Pieces, shared, chunk: int) -> DataFram
             ]
             yield b[["row", "no"]].assign(ids=found)
 
-    key = ["row", "no"]
-    entries = (
-        cut_up.mapInPandas(matrices, "row string, no long, m binary")
-        .groupBy("row")
-        .applyInPandas(prefix, "row string, no long, entry binary")
-    )
-    ready = cut_up.join(entries, key)
-    exits = (
-        ready.mapInPandas(sources, "row string, no long, come array<int>")
-        .groupBy("row")
-        .applyInPandas(leaving, "row string, no long, leave int")
-    )
+    key, runs = ["row", "no"], ["row", "run"]
+    dealt = _chunks(docs, w, chunk).repartition(tasks(docs.sparkSession), *key)
+    table = cut(dealt.mapInPandas(matrices, "row string, no long, run long, part string, n int, m binary"))
+    products = table.select("row", "no", "run", "m").groupBy(*runs).applyInPandas(product, "row string, run long, m binary")
+    begins = products.groupBy("row").applyInPandas(over_runs, "row string, run long, begin binary")
+    entries = table.select("row", "no", "run", "m").join(begins, runs).groupBy(*runs).applyInPandas(in_run, "row string, no long, entry binary")
+    ready = cut(table.select("row", "no", "run", "part", "n").join(entries, key))
+    come = cut(ready.mapInPandas(sources, "row string, no long, run long, come binary"))
+    ends = come.groupBy(*runs).applyInPandas(composed, "row string, run long, come binary").groupBy("row").applyInPandas(runs_left, "row string, run long, end int")
+    exits = come.join(ends, runs).groupBy(*runs).applyInPandas(chunks_left, "row string, no long, leave int")
     ids = ready.join(exits, key).mapInPandas(traced, "row string, no long, ids array<int>")
     return ids.groupBy("row").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids")
@@ -199,32 +246,37 @@ def _packer(m: Pieces) -> Remembered:
 def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) for each row: the best segmentation of every whole text, as piece ids.
 
-    A text of over two chunks is cut. Its chunks give transfer matrices between boundary states, which a
-    max-plus product combines along the text; the scores at each boundary then let every chunk name the state
-    it is entered by, and, these composed from the end, trace its own piece of the one best path. What a text's
-    chunks send is 2 KB for each 32,768 characters, so the scan of one text, itself one row, stays small.
-    Null and empty texts have no ids; repeated rows each keep their row; other columns are ignored. With
-    `decoded` a third column holds the text that the ids decode to.
+    A text of over two chunks is cut. Its chunks give transfer matrices between boundary states, which max-plus
+    products combine, runs of chunks first; the scores at each boundary then let every chunk name the state it is
+    entered by, and, these composed from the end, trace its own piece of the one best path. A run sends 2 KB for each
+    of its chunks to one task, a text 2 KB for each of its runs. Segmentations are the same on either side of two
+    chunks; scores that are no whole numbers may round differently there, which could tell only between equals.
+    Null and empty texts have no ids; repeated rows each keep their row, ids of rows their type; an empty table gives
+    an empty result; other columns, whatever their names, are ignored. With `decoded` a third column holds the text
+    that the ids decode to.
     """
     pieces = unigram.load(model)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     given = docs.select("doc_id", "text")
     is_long = F.coalesce(F.length("text") > 2 * chunk, F.lit(False))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = shared.value
         pack = _packer(m).__getitem__
-        for whole in batches:
-            for s in range(0, len(whole), ROWS):
-                b = whole.iloc[s : s + ROWS]
-                ids = []
-                for t in b["text"]:
-                    ids.append(np.frombuffer(b"".join(map(pack, PRE_TOKEN.findall(normalize(t or "")))), "<i4"))
-                out = pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
-                yield out.assign(text=[unigram.decode(m, i) for i in ids]) if decoded else out
-
-    more = ", text string" if decoded else ""
-    short = given.where(~is_long).mapInPandas(run, "doc_id long, ids array<int>" + more)
+
+        def find(texts: list) -> list[pa.Array]:
+            packed = [b"".join(map(pack, PRE_TOKEN.findall(normalize(t)))) if t else b"" for t in texts]
+            flat = np.frombuffer(b"".join(packed), "<i4")
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+            found = [pa.ListArray.from_arrays(ends, flat)]
+            if decoded:
+                flat = flat.tolist()
+                found.append(pa.array([unigram.decode(m, flat[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string()))
+            return found
+
+        return find
+
+    short = by_text(given.where(~is_long), ["doc_id"], "ids array<int>" + (", text string" if decoded else ""), make, ROWS)
     # equal texts have equal ids, so a digest of the text can stand for the row
     giant = given.where(is_long).withColumn("row", F.sha2("text", 256))
     found = _long_texts(giant.dropDuplicates(["row"]), pieces, shared, chunk)
@@ -233,14 +285,20 @@ def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHU
 
 
 def decode(encoded: DataFrame, model: str = unigram.DEFAULT_MODEL) -> DataFrame:
-    """The rows of `encoded` with `text`, decoded from `ids`; null ids give null, none give an empty text."""
+    """The rows of `encoded`, all columns as they are, with `text` decoded from `ids`; null ids give null, none an empty text.
+
+    A column `text` that is there already is replaced.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(unigram.load(model))
+    kept = encoded.drop("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(text=[None if i is None else unigram.decode(shared.value, i) for i in b["ids"]])
+            ids = b.column(b.schema.get_field_index("ids")).to_pylist()
+            text = pa.array([None if i is None else unigram.decode(shared.value, i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, "text"])
 
-    return encoded.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", text string")
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField("text", StringType())]))
 
 
 def op3_sentencepiece(spark, sf_dir):

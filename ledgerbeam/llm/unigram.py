@@ -156,20 +156,9 @@ def encode_pre_token(m: Pieces, token: str) -> list[int]:
 
 def decode(m: Pieces, ids) -> str:
     """The text of an array or list of ids: the inverse of encoding, but that U+2581 comes back as a space."""
-    text = m.text
+    found = m.__dict__.get("bytes_of")
+    if found is None:
+        plain = [t.replace(SPACE, " ").encode("utf-8") for t in m.text]
+        found = m.bytes_of = [bytes([m.byte_of[i]]) if i in m.byte_of else b for i, b in enumerate(plain)]
     ids = ids.tolist() if hasattr(ids, "tolist") else ids
-    if m.byte_of.keys().isdisjoint(ids):
-        joined = "".join(map(text.__getitem__, ids))
-    else:
-        out: list[str] = []
-        run = bytearray()
-        for i in ids:
-            if i in m.byte_of:
-                run.append(m.byte_of[i])
-            else:
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                out.append(text[i])
-        joined = "".join(out) + run.decode("utf-8", "replace")
-    return joined.replace(SPACE, " ")[1:]
+    return b"".join(map(found.__getitem__, ids)).decode("utf-8", "replace")[1:]
