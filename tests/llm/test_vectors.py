@@ -131,3 +131,38 @@ def test_cosines_of_very_large_and_very_small_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert [r["n_links"] for r in vector_dedup.near_duplicates(df).orderBy("vec_id").collect()] == [1, 1, 0]
     assert [r["vec_id"] for r in ann.nearest(df, df.where("vec_id = 1"), 2).orderBy("rank").collect()] == [2, 3]
+
+
+def test_a_factor_below_one_keeps_most_neighbours(spark):
+    x = sample(1200, 12, 8)
+    df = frame(spark, x)
+    exact, rough = (
+        {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id % 10 = 0"), 5, factor, shard=150).collect()} for factor in (1.0, 0.9)
+    )
+    assert len(exact) == 600 and len(exact & rough) >= 0.9 * len(exact)
+
+
+def test_regions_that_lie_too_far_are_left_out():
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(8, 16)) * 5
+    x = unit(np.concatenate([m + rng.normal(size=(100, 16)) * 0.3 for m in middles]))
+    regions = ann.Regions(x[::4], np.arange(0, 800, 4), 8)
+    home = regions.place(x)
+    assert len(set(home)) >= 8
+    asked = np.arange(0, 800, 7)
+    limit = regions.reach(x[asked], asked, 5) + ann.SLACK
+    met = {r: asked[q] for r, q in regions.aim(x[asked], limit)}
+    assert sum(map(len, met.values())) < 0.5 * len(asked) * len(met)
+    for q in asked:
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        assert all(q in met[home[i]] for i in np.argsort(d)[:5])
+
+
+def test_several_vectors_of_an_id_and_clashing_columns_in_the_search(spark):
+    rows = [(50, [1.0, 0.0], 1), (50, [0.0, 1.0], 1), (7, [1.0, 0.1], 1), (8, [0.1, 1.0], 1), (8, [0.1, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for c in ("shard", "region", "piece", "slab", "dim", "data", "nth"):
+        df = df.selectExpr("*", f"'x' as {c}")
+    got = [(r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 50"), 2).orderBy("rank").collect()]
+    assert got == [(1, 7), (2, 8)]
