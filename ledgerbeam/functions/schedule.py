@@ -23,6 +23,12 @@ def lease_closed_form(rows: DataFrame, by: str, k: str, payment: str, opening: s
     )
 
 
+def with_opening_row(body: DataFrame, rows: DataFrame, by: str, k: str, opening: str) -> DataFrame:
+    """`body` and a row k = 0 for each schedule: the opening value as its closing balance, and no flow."""
+    first = rows.groupBy(by).agg(F.max(opening).alias("balance_close")).withColumn(k, F.lit(0).cast("long"))
+    return body.unionByName(first, allowMissingColumns=True)
+
+
 def loan_running(rows: DataFrame, by: str, k: str, capital: str, opening: str, rate: str) -> DataFrame:
     """Add balance_close, balance_open and interest where capital is given: no recurrence at all."""
     running = W.partitionBy(by).orderBy(k).rowsBetween(W.unboundedPreceding, 0)

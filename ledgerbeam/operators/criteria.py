@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +49,7 @@ def _like(word: Column, pattern: str) -> Column:
     if not re.search(r"[*?]", pattern):
         return word == pattern
     body = pattern.strip("*")
-    if not re.search(r"[*?~]", body):  # the plain forms push down to scans
+    if not re.search(r"[*?~]", body):  # the plain forms need no pattern; on upper(...) they run after the scan
         if pattern == body + "*":
             return word.startswith(body)
         if pattern == "*" + body:
@@ -75,15 +76,19 @@ def sum_if(value: str, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0))
 
 
+#: How an aggregate that adds up begins when it is shown.
+_ADDS_UP = re.compile(r"Column<'(coalesce\()?(sum|count|count_if)\(")
+
+
 def attach(spine: DataFrame, facts: DataFrame, on: list[str], **aggregates: Column) -> DataFrame:
     """`spine` with aggregates of `facts` by key: one aggregation and one left join for all of them.
 
-    Counts and sums of keys without facts are 0; others stay null.
+    Counts and sums of keys without facts are 0; others, such as maxima and means, stay null.
     """
     summed = facts.groupBy(*on).agg(*[a.alias(name) for name, a in aggregates.items()])
     joined = spine.join(summed, on, "left")
     kinds = dict(summed.dtypes)
-    numbers = {n for n in aggregates if kinds[n].startswith(("decimal", "double", "bigint", "int"))}
+    numbers = {n for n, a in aggregates.items() if _ADDS_UP.match(str(a))}
     return joined.select(
         *[F.coalesce(c, F.lit(0)).cast(kinds[c]).alias(c) if c in numbers else F.col(c) for c in joined.columns]
     )
@@ -109,10 +114,11 @@ def max_then_sum_after(
 ) -> DataFrame:
     """`amount` summed strictly after each key's last row that `marks` holds for; all of it where none does.
 
-    Both aggregations combine before they shuffle, so a key with very many rows stays cheap.
+    The facts are read once and summed by key and date before anything else, so a key with very many rows is short.
     """
-    latest = facts.groupBy(*on).agg(F.max(F.when(marks, F.col(date))).alias(last))
-    after = facts.join(latest, on).where(F.col(last).isNull() | (F.col(date) > F.col(last)))
-    sums = after.groupBy(*on).agg(F.sum(amount).alias(name))
-    found = spine.join(latest, on, "left").join(sums, on, "left")
+    daily = facts.groupBy(*on, date).agg(F.max(F.coalesce(marks, F.lit(False))).alias("_mark"), F.sum(amount).alias("_sum"))
+    latest = F.max(F.when(F.col("_mark"), F.col(date))).over(W.partitionBy(*on))
+    after = F.col(last).isNull() | (F.col(date) > F.col(last))
+    sums = daily.withColumn(last, latest).groupBy(*on).agg(F.max(last).alias(last), F.sum(F.when(after, F.col("_sum"))).alias(name))
+    found = spine.join(sums, on, "left")
     return found.withColumn(name, F.coalesce(name, F.lit(0)).cast(sums.schema[name].dataType))

@@ -293,14 +293,21 @@ def max_abs_diff(spark, d):
     return ledger(spark, d).groupBy("account").agg(F.max(F.abs(F.col("debit") - F.col("credit"))).cast("double").alias("max_abs"))
 
 
-@query()
+@query(_LINES.replace("WITH ledger", "WITH RECURSIVE ledger") + """, t AS (SELECT obligation_id, sum(payment) AS total, list(payment ORDER BY k) AS pays FROM s GROUP BY 1),
+  f AS (SELECT obligation_id, list_concat([-total * 0.6], pays) AS flows FROM t),
+  z AS (SELECT *, sign(list_sum(list_transform(flows, lambda x, i: x * power(10.0, i - 1)))) AS s_low, sign(list_sum(list_transform(flows, lambda x, i: x * power(1 / 11.0, i - 1)))) AS s_high FROM f),
+  b AS (SELECT obligation_id, flows, s_low, -0.9::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0 AS i FROM z UNION ALL
+    SELECT obligation_id, flows, s_low, CASE WHEN v = s_low THEN mid ELSE lo END, CASE WHEN v = s_low THEN hi ELSE mid END, i + 1
+    FROM (SELECT *, (lo + hi) / 2 AS mid, sign(list_sum(list_transform(flows, lambda x, j: x * power(1 / (1 + (lo + hi) / 2), j - 1)))) AS v FROM b WHERE i < 60)),
+  g AS (SELECT z.obligation_id, len(z.flows)::INT AS n_flows, CASE WHEN z.s_low * z.s_high < 0 THEN (lo + hi) / 2 END AS irr FROM z JOIN b ON b.obligation_id = z.obligation_id AND b.i = 60)
+  SELECT obligation_id, n_flows, round(irr, 8) AS irr, round(power(1 + irr, 12) - 1, 6) AS irr_ea FROM g""")
 def irr_bisection(spark, d):
     """Internal rate of each order's lines against its principal: 60 % of their sum, so that a rate exists."""
     rows = _lines(spark, d).groupBy("obligation_id").agg(F.array_sort(F.collect_list(F.struct("k", "payment"))).alias("s"), F.sum("payment").alias("total"))
     flows = F.concat(F.array(-F.col("total") * 0.6), F.transform("s", lambda x: x["payment"]))
     with_flows = rows.select("obligation_id", flows.alias("flows"))
     return with_flows.select("obligation_id", F.size("flows").alias("n_flows"), finance.irr(F.col("flows")).alias("irr")).select(
-        "obligation_id", "n_flows", F.round("irr", 8).alias("irr"), finance.period_rate_to_ea(F.col("irr"), F.lit("MENSUAL")).alias("irr_ea")
+        "obligation_id", "n_flows", F.round("irr", 8).alias("irr"), F.round(finance.period_rate_to_ea(F.col("irr"), F.lit("MENSUAL")), 6).alias("irr_ea")
     )
 
 

@@ -140,8 +140,9 @@ def sumifs_range(spark, d):
   coalesce(debits, 0)::BIGINT AS debit_lines FROM orders LEFT JOIN s ON obligation_id = o_orderkey""")
 def countif_presence(spark, d):
     """Absent is not zero: obligations without lines against those without debits."""
-    found = lookup.presence(register(spark, d).select("obligation_id"), ledger(spark, d), ["obligation_id"], "present")
-    counted = criteria.countifs(found, ledger(spark, d), ["obligation_id"], "debit_lines", debit=">0")
+    spine, debits = register(spark, d).select("obligation_id"), criteria.all_of({"debit": ">0"})
+    counted = criteria.attach(spine, ledger(spark, d), ["obligation_id"], n=F.count(F.lit(1)), debit_lines=F.count_if(debits))
+    counted = counted.withColumn("present", F.col("n") > 0)
     status = F.when(~F.col("present"), "absent").when(F.col("debit_lines") == 0, "zero").otherwise("some")
     return counted.select("obligation_id", "present", status.alias("status"), "debit_lines")
 

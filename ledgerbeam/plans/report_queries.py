@@ -145,7 +145,7 @@ def schedule_summary(spark, d):
     return sinks.schedule_summary(rows, PARAMS.cutoff)
 
 
-@query()
+@query(_LINES + """ SELECT obligation_id AS id, CAST(to_json(struct_pack(filas := list(struct_pack(k := k, fecha := CAST(entry_date AS VARCHAR), pago := payment) ORDER BY k))) AS VARCHAR) AS json FROM s GROUP BY 1""")
 def schedule_json(spark, d):
     """Each order's schedule as one JSON document."""
     lines = _lines(spark, d).groupBy(F.col("obligation_id").alias("id")).agg(

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerbeam.functions.text import strip
-from ledgerbeam.operators.lookup import last_rows, normal_number
-from ledgerbeam.operators.ordered import take_body
+from ledgerbeam.operators.lookup import first_rows, last_rows, normal_number
+from ledgerbeam.operators.ordered import forward_fill, take_body
 from ledgerbeam.schema import LEDGER, MONEY, check_schema
 from ledgerbeam.sources.workbook import cell, grid
 
@@ -37,7 +37,7 @@ def trial_balance(rows: DataFrame, layout: int, version: str) -> DataFrame:
     What isn't a number counts as 0; of an account's rows the last wins.
     """
     at = LAYOUTS[layout]
-    amount = lambda i, name: F.coalesce(F.col(f"c{i}").try_cast("double"), F.lit(0.0)).cast(MONEY).alias(name)
+    amount = lambda i, name: F.coalesce(F.col(f"c{i}").try_cast(MONEY), F.lit(0).cast(MONEY)).alias(name)
     named = rows.select(
         "src_row",
         strip(F.col(f"c{at[0]}")).alias("account"),
@@ -52,18 +52,21 @@ def register_rows(rows: DataFrame, banks: list[str], numbers: DataFrame, total_l
 
     `rows` has (src_row, label, balance, ...) in one sheet's order; `numbers` has (number, obligation_id). Bank
     names head sections, unlabelled rows with a balance are subtotals, numbers match exactly or without leading
-    zeros. A register is one sheet, so its order is one small window.
+    zeros; of a number that is listed several times the smallest obligation_id counts, of those alike but for zeros
+    the one of the shortest number.
     """
     named = rows.withColumn("label", F.when(F.col("label").isNotNull(), strip(F.col("label"))))
     is_bank = F.upper("label").isin(*[b.upper() for b in banks])
     bare = normal_number(F.col("label"))
-    ids = numbers.select(F.col("number").alias("_n"), "obligation_id")
-    bare_ids = numbers.select(normal_number(F.col("number")).alias("_b"), F.col("obligation_id").alias("_bare")).dropDuplicates(["_b"])
+    listed = numbers.select(F.col("number").alias("_n"), F.col("obligation_id").alias("_own"), normal_number(F.col("number")).alias("_b"))
+    ids = first_rows(listed.select("_n", "_own"), ["_n"], ["_own"])
+    shortest = F.struct(F.length("_n").alias("length"), "_n", "_own")
+    bare_ids = listed.groupBy("_b").agg(F.min(shortest)["_own"].alias("_bare"))
     joined = (
         named.withColumn("_key", bare)
-        .join(F.broadcast(ids), F.col("label") == F.col("_n"), "left")  # one register's numbers
-        .join(F.broadcast(bare_ids), F.col("_key") == F.col("_b"), "left")
-        .withColumn("obligation_id", F.coalesce("obligation_id", "_bare"))
+        .join(ids, F.col("label") == F.col("_n"), "left")
+        .join(bare_ids, F.col("_key") == F.col("_b"), "left")
+        .withColumn("obligation_id", F.coalesce("_own", "_bare"))
     )
     kind = (
         F.when(is_bank, "bank")
@@ -72,8 +75,8 @@ def register_rows(rows: DataFrame, banks: list[str], numbers: DataFrame, total_l
         .when(F.col("label").isNull() & F.col("balance").isNotNull(), "subtotal")
         .otherwise("other")
     )
-    bank = F.last(F.when(is_bank, F.col("label")), ignorenulls=True).over(W.orderBy("src_row").rowsBetween(W.unboundedPreceding, 0))
-    return joined.withColumn("row_kind", kind).withColumn("bank", bank).drop("_key", "_n", "_b", "_bare")
+    marked = joined.withColumn("row_kind", kind).withColumn("_head", F.when(is_bank, F.col("label")))
+    return forward_fill(marked, "src_row", "_head", "bank").drop("_key", "_n", "_b", "_bare", "_own", "_head")
 
 
 def opening_rows(rows: DataFrame, first: int = 68, last: int = 263) -> DataFrame:
@@ -107,7 +110,7 @@ def lease_tables(cells: DataFrame, ids: DataFrame) -> DataFrame:
     TIR; the body is what follows the last header with Meses and Saldo inicial, up to the first row whose period
     or balance is no number. A sheet without header has no rows.
     """
-    own = cells.join(F.broadcast(ids.select("sheet")), "sheet")
+    own = cells.join(ids.select("sheet"), "sheet")
     heads = cell(own, {"banco": (11, 2), "contrato": (12, 2)}).join(ids, "sheet")
     params = (
         grid(own.where(F.col("row").between(14, 29)), {2: "k", 3: "v"})
@@ -142,7 +145,7 @@ def loan_tables(cells: DataFrame, ids: DataFrame, first: int = 26) -> DataFrame:
 
     An opening balance is the closing one before it, in the first row the principal.
     """
-    own = cells.join(F.broadcast(ids.select("sheet")), "sheet")
+    own = cells.join(ids.select("sheet"), "sheet")
     places = {"banco": (4, 3), "contrato": (5, 3), "capital": (6, 3), "plazo": (7, 3), "tasa": (8, 3), "spread": (9, 3), "desembolso": (10, 3), "tir": (11, 3)}
     heads = cell(own, places).join(ids, "sheet").withColumn("tir", _number(F.col("tir")))
     names = ["capital", "plazo", "tasa", "spread", "desembolso"]
