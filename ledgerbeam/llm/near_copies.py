@@ -1,4 +1,8 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands bring pairs together, whole sets decide."""
+"""SimHash near-dedup at a Jaccard similarity of word shingles: anchors and bands bring pairs together, whole sets decide.
+
+The anchors of `simhash` reach four differing bits, which pairs at 0.95 or more mostly keep to and pairs at 0.8, about
+ten bits apart, hardly ever. So bands of least hashes bring the others together.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ledgerbeam.llm.common import cut, split_hot
 from ledgerbeam.llm.components import components
-from ledgerbeam.llm.simhash import shingle_hashes
+from ledgerbeam.llm.simhash import links as anchor_links
+from ledgerbeam.llm.simhash import majority, shingle_hashes
 
 #: Bands of a sketch and least hashes in each: a pair at 0.8 meets in no band once in 20 million times.
 BANDS, DEEP = 32, 4
@@ -39,19 +44,19 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, n, keys, hashes): the shingle set of every whole text, named by its hash.
+    """(doc_id, node, n, fp, keys, hashes): the shingle set of every whole text, named by its hash, and its SimHash.
 
-    keys (the bands) and hashes (the sorted set) are null where the task has given them for the same node.
+    fp, keys (the bands) and hashes (the sorted set) are null where the task has given them for the same node.
     Null and empty texts have an empty set and no band.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
         def given(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
             made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-            return pa.RecordBatch.from_arrays([ids, *made], ["doc_id", "node", "n", "keys", "hashes"])
+            return pa.RecordBatch.from_arrays([ids, *made], ["doc_id", "node", "n", "fp", "keys", "hashes"])
 
         for batch in batches:
             ids, rows, size, at = batch.column(0), [], 0, 0
@@ -60,12 +65,13 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 node = xxhash.xxh64_intdigest(h.tobytes())
                 node -= (node >> 63) << 64
                 if node in seen:
-                    rows.append((node, len(h), None, None))
+                    rows.append((node, len(h), None, None, None))
                 else:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(node)
-                    rows.append((node, len(h), bands(h) if len(h) else None, h.view(np.int64)))
+                    fp = majority(h)
+                    rows.append((node, len(h), fp - (fp >> 63 << 64), bands(h) if len(h) else None, h.view(np.int64)))
                     size += h.nbytes
                 if size >= HANDED:
                     yield given(ids.slice(at, i + 1 - at), rows)
@@ -74,7 +80,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 yield given(ids.slice(at), rows)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, keys array<long>, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, fp long, keys array<long>, hashes array<long>")
 
 
 def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -88,13 +94,26 @@ def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").where(alike).select("a", "b")
 
 
+def _by_anchors(marked: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints meet on an anchor within four bits, each fingerprint by its smallest set."""
+    of = cut(marked.where("keys is not null").select("fp", "node").distinct())
+    first = of.groupBy("fp").agg(F.min("node").alias("a"))
+    same = of.join(first, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    ends = lambda fp, node: first.select(F.col("fp").alias(fp), F.col("a").alias(node))
+    near = anchor_links(first.select("fp")).toDF("x", "y").join(ends("x", "p"), "x").join(ends("y", "q"), "y")
+    return same.union(near.select(F.least("p", "q"), F.greatest("p", "q")))
+
+
 def near_copies(docs: DataFrame, words: int = 5, cap: int = CAP) -> DataFrame:
     """(doc_id, node, component_id) for each row of `docs`.
 
     Documents link when the sets of their shingles of `words` words have a Jaccard similarity of 0.8 or more,
     counted on the whole sets; component_id is the smallest doc_id reachable by links, null ids aside. Equal
-    sets are one node. Pairs are looked for where they agree on a band. First each set is held against the
-    smallest node of its band; then, in bands that this leaves in several components, all against all others.
+    sets are one node. Pairs are looked for where their fingerprints meet on an anchor and where they agree on a band:
+    first each set is held against the
+    smallest node of its band; then, in bands that this leaves in several components, all against all others. Null
+    and empty texts are one node and link with nothing else; ids keep their type; an empty table gives an empty result;
+    other columns, whatever their names, are ignored. A very long text is one task's.
     """
     marked = cut(sketches(docs, words))
     spread = marked.where("keys is not null").select("node", "n", F.explode("keys").alias("key"))
@@ -104,6 +123,7 @@ def near_copies(docs: DataFrame, words: int = 5, cap: int = CAP) -> DataFrame:
     star = cut(
         met.where("node <> a and 5 * least(n, an) >= 4 * greatest(n, an)").select("a", F.col("node").alias("b")).distinct()
     )
+    star = cut(star.union(_by_anchors(marked)).distinct())
     links = cut(_verified(star, marked))
     roots = cut(components(links))
     named = met.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
