@@ -1,7 +1,9 @@
 """A training-data pipeline in stages, each of them one of the corpus operators.
 
 Each stage takes (spark, docs, sf_dir), works on every document that the one before kept, and is written as
-Parquet before the next one reads it.
+Parquet before the next one reads it. All of them take empty tables, which stay empty, null and empty texts, which
+are neither toxic nor secret and encode to no ids, repeated rows, each of which counts, very long texts, which are
+read whole, and further columns of any name, which come through as they are but for n_chars, which follows the text.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from ledgerbeam.llm.common import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned score does not reject."""
+    """Documents that the learned score does not reject, null and empty texts among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
@@ -31,17 +33,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with their secrets masked."""
+    """The same documents, rows and ids with their secrets masked; null texts stay null."""
     return secrets.redact(docs, secrets.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, a row for each copy; null sources are one source."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and what they decode to."""
+    """Piece ids of every document, and what they decode to; null and empty texts have none and decode to empty ones."""
     return sentencepiece_scan.encode(docs, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
     )
