@@ -67,29 +67,46 @@ def _value(backwards: Column, discount: Column) -> Column:
     return F.aggregate(backwards, F.lit(0.0), lambda acc, x: acc * discount + x)
 
 
-def irr(flows: Column, low: float = -0.9, high: float = 10.0, rounds: int = 60) -> Column:
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def irr(flows: Column, low: float = -0.9, high: float = 10.0, rounds: int = 80) -> Column:
     """The rate in (low, high) at which `flows`, an array of doubles, are worth nothing.
 
-    Bisection with built-in functions; sixty halvings leave nothing that a double could tell. Null if the values
-    at both ends have one sign, or there are no flows: with several roots it is one of them, with none it is null.
-    The reversed flows and the sign at the low end are bound once, as a lambda's body is evaluated in each round.
+    Newton's steps on the discount factor, kept in a bracket that every step narrows: a step that leaves it is
+    replaced by its middle. One fold over the flows gives value and slope; when a step moves no more, the rounds left
+    do nothing. Null if the values at both ends have one sign, or there are no flows: with several roots it is one of
+    them, with none it is null.
     """
+    near, far = 1 / (1 + high), 1 / (1 + low)
+    state = lambda a, b, d, s, done: F.struct(a.alias("a"), b.alias("b"), d.alias("d"), s.alias("s"), done.alias("done"))
+
+    def both(f: Column, d: Column) -> Column:
+        """Value and slope at a discount factor, from the last flow on."""
+        start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("g"))
+        return F.aggregate(f, start, lambda acc, x: F.struct((acc["v"] * d + x).alias("v"), (acc["g"] * d + acc["v"]).alias("g")))
 
     def solve(f: Column) -> Column:
-        sign = F.signum(_value(f, F.lit(1 / (1 + low))))
-        start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"), sign.alias("s"))
+        sign = F.signum(_value(f, F.lit(near)))
+        start = state(F.lit(near), F.lit(far), F.lit(min(1.0, far)), sign, F.lit(False))
+
+        def narrow(x: Column, at: Column) -> Column:
+            same = F.signum(at["v"]) == x["s"]
+            a, b = F.when(same, x["d"]).otherwise(x["a"]), F.when(same, x["b"]).otherwise(x["d"])
+            newton = x["d"] - F.try_divide(at["v"], at["g"])
+            to = F.when((newton > a) & (newton < b), newton).otherwise((a + b) / 2)
+            return _let(to, lambda d: state(a, b, d, x["s"], F.abs(d - x["d"]) <= 1e-15 * x["d"]))
 
-        def halve(x: Column, _: Column) -> Column:
-            mid = (x["a"] + x["b"]) / 2
-            same = F.signum(_value(f, 1 / (1 + mid))) == x["s"]
-            up = F.struct(mid.alias("a"), x["b"].alias("b"), x["s"].alias("s"))
-            down = F.struct(x["a"].alias("a"), mid.alias("b"), x["s"].alias("s"))
-            return F.when(same, up).otherwise(down)
+        def step(x: Column, _: Column) -> Column:
+            found = _let(both(f, x["d"]), lambda at: F.when(at["v"] == 0, state(x["a"], x["b"], x["d"], x["s"], F.lit(True))).otherwise(narrow(x, at)))
+            return F.when(x["done"], x).otherwise(found)
 
-        root = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda x: (x["a"] + x["b"]) / 2)
-        return F.when(sign * F.signum(_value(f, F.lit(1 / (1 + high)))) < 0, root)
+        root = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda x: 1 / x["d"] - 1)
+        return F.when(sign * F.signum(_value(f, F.lit(far))) < 0, root)
 
-    return F.element_at(F.transform(F.array(F.reverse(flows)), solve), 1)
+    return _let(F.reverse(flows), solve)
 
 
 def expected_interest(opening: Column, closing: Column, rate: Column, days: Column) -> Column:

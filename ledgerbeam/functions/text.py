@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Interest in a line's free text. The letters SE have to follow the second E; at least two digits.
+#: Fixed value: how ledgers write interest in a line's free text. The letters SE have to follow the second E; at least two digits.
 GLOSS = r"INTE?RE?SES?\s*[:$]?\s*([\d][\d\.,]*\d)"
 
 
@@ -21,14 +21,21 @@ def gloss_text(c: Column) -> Column:
 
 
 def gloss_amount(c: Column) -> Column:
-    """The amount in a line's free text: dots part thousands, but for a last group of one or two digits."""
-    s = gloss_text(c)
-    mixed = s.rlike(r"^\d{1,3}(\.\d{3})+\.\d{1,2}$")
-    whole = s.rlike(r"^\d{1,3}(\.\d{3})+$|^\d+$")
-    digits = F.regexp_replace(s, r"\.", "")
-    cents = F.length(F.regexp_extract(s, r"\.(\d{1,2})$", 1))
-    fraction = F.concat(F.substr(digits, F.lit(1), F.length(digits) - cents), F.lit("."), F.right(digits, cents))
-    return F.when(mixed, fraction.try_cast("double")).when(whole, digits.try_cast("double"))
+    """The amount in a line's free text: dots part thousands, but for a last group of one or two digits.
+
+    The number is split at its dots, and the lengths of its groups tell how to read it: one group is whole, several
+    are up to three digits and then threes, the last of three or more of them also a fraction of one or two digits.
+    """
+    groups = F.split(gloss_text(c), r"\.")
+    n, length = F.size(groups), F.transform(groups, F.length)
+    last = F.element_at(length, -1)
+    plain = F.forall(groups, lambda g: g.rlike("^[0-9]+$"))
+    threes = (F.element_at(length, 1) <= 3) & F.forall(F.slice(length, 2, F.greatest(n - 2, F.lit(0))), lambda x: x == 3)
+    whole = (n == 1) | (threes & (last == 3))
+    fraction = (n > 2) & threes & (last <= 2)
+    joined = F.array_join(groups, "")
+    cents = F.concat(F.array_join(F.slice(groups, 1, n - 1), ""), F.lit("."), F.element_at(groups, -1))
+    return F.when(plain & whole, joined.try_cast("double")).when(plain & fraction, cents.try_cast("double"))
 
 
 def gloss_status(c: Column) -> Column:

@@ -71,12 +71,16 @@ def obligation_kind(obligation: Column) -> Column:
     return F.when(obligation.contains("-L") | obligation.startswith("N/A"), "lease").otherwise("credit")
 
 
-def opening_id(note: Column, account: Column, by_last4: dict[str, str], rules: list[Rule], src_row: Column, overrides: dict[int, str], card_prefix: str = "2195", interest_prefix: str = "2130") -> Column:
+#: Fixed value: how notes write the last four digits of an obligation's number.
+LAST_FOUR = r"(?:CRED|LEAS)[- ]?(\d{4})"
+
+
+def opening_id(note: Column, account: Column, by_last4: dict[str, str], rules: list[Rule], src_row: Column, overrides: dict[int, str], card_prefix: str = "2195", interest_prefix: str = "2130", last_four: str = LAST_FOUR) -> Column:
     """Obligation of an opening line: card, then the last four digits in interest notes, rules, row overrides.
 
     An interest line is settled by its digits alone: without a known number it stays unresolved.
     """
-    digits = F.regexp_extract(note, r"(?:CRED|LEAS)[- ]?(\d{4})", 1)
+    digits = F.regexp_extract(note, last_four, 1)
     known = F.create_map(*[F.lit(x) for pair in by_last4.items() for x in pair]) if by_last4 else None
     by_digits = F.coalesce(F.try_element_at(known, digits), F.lit("SIN-ID")) if by_last4 else F.lit("SIN-ID")
     at_row = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair]) if overrides else None
