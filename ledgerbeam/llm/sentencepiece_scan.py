@@ -95,11 +95,12 @@ class Chunk:
         return forward(self.m, text, entry[: len(text) + 1], stop)
 
     def entered(self, entry: list[float]) -> list[int]:
-        """For each exit state, the entry state that the best path to it comes from."""
+        """For each exit state, the entry state that the best path to it comes from; 0 where no path leads to it."""
         w = self.m.longest
         _, back = self._stretch(entry)
         if self.first is None:
-            return [path(back, self.n + o)[0] if self.n + o <= len(self.text) else 0 for o in range(w)]
+            places = [path(back, self.n + o)[0] if self.n + o <= len(self.text) else 0 for o in range(w)]
+            return [p if p < w else 0 for p in places]
         return [path(back, self.first)[0]] * w
 
     def trace(self, entry: list[float], leave: int) -> list[int]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from ledgerbeam.llm import simhash
@@ -86,3 +87,39 @@ def test_signed_hex(spark):
     docs = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(docs).collect()}
     assert rows[2] == 0 and rows[1] % 2**64 == brute_fingerprint("x y")
+
+
+@pytest.mark.parametrize("n", [255, 256, 257, 600])
+def test_runs_of_an_anchor_on_either_side_of_the_switch(spark, n):
+    """Many fingerprints at one anchor: pair by pair up to 256, breadth first beyond; components are the same."""
+    rng = np.random.default_rng(n)
+    base = np.uint64(0x0123456789ABCDEF)
+    flips = rng.integers(22, 64, (n, 5)).astype(np.uint64)  # the first block stays, so that all share its anchor
+    fps = np.unique(np.bitwise_xor.reduce(np.uint64(1) << flips, axis=1) ^ base)
+    rows = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    want = np.arange(len(fps))
+    while True:
+        lower = np.where(near, want[None, :], len(fps)).min(axis=1)
+        if (lower == want).all():
+            break
+        want = lower
+    place = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+    got = np.arange(len(fps))
+    pairs = [(place[r["a"]], place[r["b"]]) for r in simhash.links(rows).collect()]
+    assert all(near[a, b] for a, b in pairs) or n > 256
+    for _ in range(len(fps)):
+        before = got.copy()
+        for a, b in pairs:
+            got[a] = got[b] = min(got[a], got[b])
+        if (got == before).all():
+            break
+    assert (got == want).all()
+
+
+def test_exact_ids_long_texts_and_clashing_columns(spark):
+    big = 2**53 + 1
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    docs = spark.createDataFrame([(big, long, "x"), (None, None, "y"), (big + 2, long, "z"), (1, "", "q")], "doc_id long, text string, fp string").coalesce(1)
+    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got[big] == (got[big][0], big) and got[big + 2] == (got[big][0], big) and got[None] == (0, 1) and got[1] == (0, 1)

@@ -86,3 +86,41 @@ def test_trie_counts_match_encoding(spark, monkeypatch):
     for _, t in rows:
         assert trie.total(t or "") == len(brute(t or ""))
     assert token_counts.count_tokens(docs.where("false")).count() == 0
+
+
+def test_runs_of_chunks_give_the_same_as_one_scan(spark):
+    """Texts of several runs, with and without places that no piece spans, and at either side of two chunks."""
+    rng = random.Random(17)
+    chunk = 20
+    rows = [(1, "".join(rng.choice("thebrndsao") for _ in range(chunk * scan.RUN * 2 + 7))), (2, " ".join(texts(250, 19))[: chunk * scan.RUN * 3])]
+    rows += [(10 + k, "".join(rng.choice("the ") for _ in range(2 * chunk + k))) for k in (-1, 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in scan.encode(docs, chunk=chunk).collect()} == {i: brute(t) for i, t in rows}
+
+
+def test_products_and_maps_combine_in_any_order():
+    rng = np.random.default_rng(4)
+    ms = [rng.integers(-9, 9, (6, 6)).astype(float) for _ in range(9)]
+    left = ms[0]
+    for m in ms[1:]:
+        left = scan.max_plus(left, m)
+    halves = [scan.max_plus(scan.max_plus(ms[i], ms[i + 1]), ms[i + 2]) for i in (0, 3, 6)]
+    assert (scan.max_plus(halves[0], scan.max_plus(halves[1], halves[2])) == left).all()
+    maps = [rng.integers(0, 6, 6) for _ in range(9)]
+    for end in range(6):
+        state = end
+        for come in reversed(maps):
+            state = come[state]
+        assert scan.chain_of_maps(maps)[end] == state
+        assert scan.chain_of_maps([scan.chain_of_maps(maps[:4]), scan.chain_of_maps(maps[4:])])[end] == state
+
+
+def test_exact_ids_and_clashing_columns(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "a b", "x"), (None, None, "y"), (3, "word " * 60_000, "z")], "doc_id long, text string, ids string").coalesce(1)
+    want = [big, None, 3]
+    assert [r["doc_id"] for r in token_counts.count_tokens(docs).collect()] == want
+    back = scan.encode(docs, decoded=True).collect()
+    assert sorted(map(str, (r["doc_id"] for r in back))) == sorted(map(str, want))
+    assert {r["doc_id"]: r["text"] for r in back} == {big: "a b", None: "", 3: "word " * 60_000}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs).collect()} == {r["doc_id"]: len(r["ids"]) for r in back}
