@@ -254,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
 
     These are the ones whose ids have the smallest hashes among those with a label to learn from; of rows that
     share such an id one counts, the one whose text has the smallest hash. Candidates for the lexicon are words and
-    their beginnings of four letters or more in these documents; all that pass RATIO and SUPPORT are considered.
+    their beginnings of four letters or more in these documents, each different text counted once; all that pass RATIO
+    and SUPPORT are considered.
     Without toxic or without clean documents, so for empty tables too, the model scores everything 0.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & trained_on(F.col("doc_id")))
@@ -266,7 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
     one = F.min_by(F.struct("text", F.col("toxic").cast("int").alias("toxic")), F.struct(F.xxhash64("text"), "text")).alias("one")
     spread = met.groupBy("doc_id").agg(one).select("one.*").repartition(tasks(docs.sparkSession))
     rows = cut(spread)
-    counts = dict(rows.groupBy("toxic").count().collect())
+    # copies of one text say no more about its words than one of them
+    texts = cut(rows.dropDuplicates(["text", "toxic"]))
+    counts = dict(texts.groupBy("toxic").count().collect())
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     nothing = Model({}, np.array([-30.0] + [0.0] * 7))
     if not toxic or not clean:
@@ -282,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
             yield pd.DataFrame({"entry": keys, "a": [seen[1][k] for k in keys], "b": [seen[0][k] for k in keys]})
 
     sums = (
-        rows.mapInPandas(prefixes, "entry string, a long, b long")
+        texts.mapInPandas(prefixes, "entry string, a long, b long")
         .groupBy("entry")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where((F.col("a") >= SUPPORT) & ((F.col("a") + 0.5) * (clean + 1) >= RATIO * (F.col("b") + 0.5) * (toxic + 1)))
@@ -298,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
             yield pd.DataFrame({"x": [describe(t, hits) for t in b["text"]], "toxic": b["toxic"]})
 
     found = rows.mapInPandas(features, "x array<double>, toxic int").collect()
-    release(rows)
+    release(rows, texts)
     model.weights = _logistic(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float))
     return model
 
