@@ -371,10 +371,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "shape", "value"])
 
     found = docs.select("text").mapInArrow(labelled, "kind string, shape string, value string").distinct()
-    first = W.partitionBy("kind", "shape").orderBy(F.xxhash64("value"), "value")
+    found = found.withColumn("hash", F.xxhash64("value")).withColumn("part", F.pmod("hash", F.lit(64)))
+    for by in (("kind", "shape", "part"), ("kind", "shape")):  # the least of each part, then the least of these
+        first = W.partitionBy(*by).orderBy("hash", "value")
+        found = found.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
     values: dict[str, list[str]] = {}
     # at most `sample` rows for each of three kinds and fifteen shapes
-    for r in found.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).orderBy("kind", "shape", "nth").collect():
+    for r in found.select("kind", "shape", "nth", "value").orderBy("kind", "shape", "nth").collect():
         values.setdefault(r["kind"], []).append(r["value"])
     others = values.pop("other", [])
     known = {k: values[k] for k in KINDS if len(values.get(k, ())) >= 3}
