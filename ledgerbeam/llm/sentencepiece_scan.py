@@ -21,6 +21,7 @@ from ledgerbeam.llm.unigram import (
     SPACE,
     Pieces,
     Remembered,
+    core_length,
     encode_pre_token,
     forward,
     ids_of,
@@ -237,10 +238,17 @@ def _long_texts(docs: DataFrame, pieces: Pieces, shared, chunk: int) -> DataFram
 
 
 def _packer(m: Pieces) -> Remembered:
-    """Ids of pre-tokens as bytes; one cache for a worker's whole life."""
+    """Ids of pre-tokens as bytes; one cache for a worker's whole life. A word is looked up apart from the signs after it."""
     found = m.__dict__.get("packer")
     if found is None:
-        found = m.packer = Remembered(lambda token: array("i", encode_pre_token(m, token)).tobytes())
+
+        def make(token: str) -> bytes:
+            n = core_length(m, token)
+            if n < len(token):
+                return b"".join(map(found.__getitem__, (token[:n], *token[n:])))
+            return array("i", encode_pre_token(m, token)).tobytes()
+
+        found = m.packer = Remembered(make)
     return found
 
 

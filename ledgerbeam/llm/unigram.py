@@ -26,6 +26,7 @@ class Pieces:
 
     `tree` spells the pieces: a node is [score, next nodes by character], without a score where no piece ends.
     `ends` also holds every ending of a piece, with no score. So a search for pieces stops where none goes on.
+    `pairs` are the neighbouring characters within pieces: between any others every segmentation has a cut.
     """
 
     score: dict[str, float]
@@ -36,6 +37,7 @@ class Pieces:
     longest: int
     tree: dict[str, list] = field(default_factory=dict)
     ends: dict[str, float] = field(default_factory=dict)
+    pairs: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         for piece, score in self.score.items():
@@ -46,6 +48,7 @@ class Pieces:
             for k in range(1, len(piece)):
                 self.ends.setdefault(piece[k:], NONE)
         self.ends |= self.score
+        self.pairs |= {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
 
 
@@ -154,6 +157,14 @@ def encode_pre_token(m: Pieces, token: str) -> list[int]:
     return out
 
 
+def core_length(m: Pieces, token: str) -> int:
+    """Characters of a pre-token before those that stand alone at its end, as signs after a word mostly do."""
+    n = len(token)
+    while n > 1 and token[n - 2 : n] not in m.pairs:
+        n -= 1
+    return n
+
+
 def decode(m: Pieces, ids) -> str:
     """The text of an array or list of ids: the inverse of encoding, but that U+2581 comes back as a space."""
     found = m.__dict__.get("bytes_of")
