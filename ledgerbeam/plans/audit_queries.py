@@ -269,3 +269,26 @@ def workpaper_sections(spark, d):
     rows = _overview(spark, d).select(F.inline(F.array(*[line(i, *x) for i, x in enumerate(SECTIONS, 1)])))
     own = W.partitionBy("section")
     return rows.select("no", "section", "item", "amount", F.row_number().over(own.orderBy("no")).alias("line"), F.count(F.lit(1)).over(own).alias("lines"))
+
+
+@query(_LINES + """, c AS (SELECT *, power(1 + n, k) * (opening - sum(payment / power(1 + n, k)) OVER (PARTITION BY obligation_id ORDER BY k ROWS UNBOUNDED PRECEDING)) AS close FROM s),
+  d AS (SELECT obligation_id, round((close + payment) / (1 + n) * n - payment * 0.01, 2) AS diff FROM c)
+  SELECT obligation_id, count(*)::BIGINT AS n, max(abs(diff)) AS max_abs, count(*) FILTER (abs(diff) > 1000)::BIGINT AS n_over, CASE WHEN max(abs(diff)) <= 1000 THEN 'OK' ELSE 'DIFERENCIA' END AS verdict FROM d GROUP BY 1""")
+def schedule_differences(spark, d):
+    """Interest recalculated by each schedule against what its lines say, with the largest difference."""
+    from ledgerbeam.functions import schedule
+
+    lines = schedule.lease_closed_form(_lines(spark, d), "obligation_id", "k", "payment", "opening", "n")
+    diffs = lines.select("obligation_id", F.round(F.col("interest") - F.col("payment") * 0.01, 2).alias("diff"))
+    found = diffs.groupBy("obligation_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("diff")).alias("max_abs"), F.count_if(F.abs("diff") > 1000).alias("n_over"))
+    return found.select("*", recon.verdict(F.col("max_abs"), PARAMS.trivial).alias("verdict"))
+
+
+@query(f"""WITH {REGISTER}, {BANKED}, f AS (SELECT bank, {_FAULT} AS fault, balance FROM banked), g AS (SELECT fault, bank, count(*) AS n, sum(balance) AS amount FROM f WHERE fault IS NOT NULL GROUP BY 1, 2),
+  i AS (SELECT bank, count(*) AS n, count(*) FILTER (status <> 'F') AS n_open FROM banked WHERE balance > 200000 GROUP BY 1)
+  SELECT dense_rank() OVER (ORDER BY fault)::INT AS ref, g.bank, g.n::BIGINT AS n, g.amount::DOUBLE AS amount, coalesce(i.n_open, 0)::BIGINT AS n_open_items, i.n IS NOT NULL AS has_items FROM g LEFT JOIN i ON i.bank = g.bank""")
+def finding_links(spark, d):
+    """Findings joined by bank with the open items that they wait for: links between results by key, not by cell."""
+    items = open_items_summary(spark, d).where("bank is not null and owner is null").select("bank", "n_items", F.col("n_open").alias("n_open_items"))
+    found = findings_list(spark, d).select("ref", "bank", "n", "amount").join(items, "bank", "left")
+    return found.select("ref", "bank", "n", "amount", F.coalesce("n_open_items", F.lit(0)).alias("n_open_items"), F.col("n_items").isNotNull().alias("has_items"))

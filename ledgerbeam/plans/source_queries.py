@@ -76,6 +76,19 @@ def source_register(spark, d):
     return readers.register_rows(sheet, banks, known.union(again).union(known)).select("src_row", "bank", "row_kind", "obligation_id")
 
 
+@query("""WITH r AS (SELECT p_partkey % 12 AS src_row, p_brand AS name, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size / 100.0::DOUBLE END AS rate, p_partkey FROM part WHERE p_size % 7 <> 0)
+  SELECT name, round(arg_max(struct_pack(v := rate), (src_row, p_partkey)).v, 6) AS rate FROM r WHERE src_row BETWEEN 2 AND 7 GROUP BY 1""")
+def source_rate_map(spark, d):
+    """The reference rates at a register's head: a window of rows, the last row of a name, no-number values as null."""
+    from ledgerbeam.operators.lookup import last_rows
+
+    value = F.when(F.col("p_size") % 3 == 0, "n/d").otherwise((F.col("p_size") / 100.0).cast("string"))
+    rows = read(spark, d, "part").where("p_size % 7 <> 0").select((F.col("p_partkey") % 12).cast("int").alias("src_row"), F.col("p_brand").alias("_b"), value.alias("value"), "p_partkey")
+    # one row for each place and name, as on a sheet
+    sheet = last_rows(rows, ["src_row", "_b"], ["p_partkey"]).select("src_row", F.concat(F.lit(" "), "_b", F.lit(" ")).alias("label"), "value")
+    return readers.rate_map(sheet).select("name", F.round("rate", 6).alias("rate"))
+
+
 @query("SELECT p_partkey::INT AS src_row, p_brand AS aux_account, p_retailprice AS amount FROM part WHERE p_partkey BETWEEN 68 AND 263 AND p_partkey % 5 <> 0")
 def source_opening(spark, d):
     """A prior year's detail: a window of rows, those without an account left out."""

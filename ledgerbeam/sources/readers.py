@@ -79,6 +79,16 @@ def register_rows(rows: DataFrame, banks: list[str], numbers: DataFrame, total_l
     return forward_fill(marked, "src_row", "_head", "bank").drop("_key", "_n", "_b", "_bare", "_own", "_head")
 
 
+def rate_map(rows: DataFrame, first: int = 2, last: int = 7) -> DataFrame:
+    """(name, rate) from the head of a register: rows (src_row, label, value) of a window, of a name the last one.
+
+    A value that is no number gives a null rate, which is not the same as a name that is missing.
+    """
+    named = rows.where(F.col("src_row").between(first, last) & F.col("label").isNotNull())
+    pairs = named.select("src_row", strip(F.col("label")).alias("name"), F.col("value").try_cast("double").alias("rate"))
+    return last_rows(pairs, ["name"], ["src_row"]).select("name", "rate")
+
+
 def opening_rows(rows: DataFrame, first: int = 68, last: int = 263) -> DataFrame:
     """A prior year's detail: a fixed window of rows with an account."""
     return rows.where(F.col("src_row").between(first, last) & F.col("aux_account").isNotNull())
