@@ -39,6 +39,10 @@ HOT = 2000
 OFFSETS = 12
 #: Added to the buckets of hot anchors.
 HOT_MARK = 1 << 40
+#: Documents that very common anchors are looked for in, about, and how often one has to be there. Results don't depend on it.
+SAMPLE, OFTEN = 20_000, 8
+#: Marks the anchors found so, in the place of their records.
+COMMON = np.uint32(1 << 31)
 
 ANCHOR = np.dtype([("h", "<u4"), ("c", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4")])
 NEED = np.dtype([("g", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4"), ("left", "<u1"), ("right", "<u1"), ("low", "<u1"), ("high", "<u1")])
@@ -169,18 +173,46 @@ class Finder:
     high: list
 
 
-def _anchor_rows(length: int, buckets: int):
-    """Per batch: of equal contexts only the first goes on; the others are repeats already."""
+def _found(length: int, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor records of a batch, and the higher halves of their hashes."""
+    finder = Finder(length)
+    finder.high = []
+    texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in b["text"]]
+    found = finder.batch(b["doc"].tolist(), b["tie"].tolist(), texts)
+    return found, np.concatenate(finder.high).astype(np.uint64) if len(found) else np.empty(0, np.uint64)
+
+
+def _common(given: DataFrame, length: int, sample: int, often: int) -> np.ndarray:
+    """Hashes of the anchors that are at `often` or more places of about `sample` documents, in order."""
+    share = min(1.0, sample / max(1, given.count()))
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found, high = _found(length, b)
+            yield pd.DataFrame({"h": ((high << np.uint64(32)) | found["h"]).view(np.int64)})
+
+    some = given.where(F.pmod(F.xxhash64("doc", "tie", F.lit(9)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    rows = some.select("doc", "tie", "text").mapInPandas(hashes, "h long").groupBy("h").count().where(F.col("count") >= often)
+    # at most an eighth of the sample's anchors
+    return np.sort(np.array([r["h"] for r in rows.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _anchor_rows(length: int, buckets: int, common):
+    """Per batch: of equal contexts only the first goes on; the others are repeats already.
+
+    The contexts of one anchor meet in one bucket, but those of the very common ones are dealt by what they are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            finder = Finder(length)
-            finder.high = []
-            texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in b["text"]]
-            found = finder.batch(b["doc"].tolist(), b["tie"].tolist(), texts)
+            found, high = _found(length, b)
             if not len(found):
                 continue
-            bucket = np.concatenate(finder.high).astype(np.int64) % buckets
+            everywhere, whole = common.value, (high << np.uint64(32)) | found["h"]
+            at = np.searchsorted(everywhere, whole)
+            often = everywhere[np.minimum(at, len(everywhere) - 1)] == whole if len(everywhere) else np.zeros(len(found), bool)
+            found["pos"][often] |= COMMON
+            bucket = (np.where(often, found["c"] ^ high, high) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((found["pos"], found["tie"], found["doc"], found["c"], found["h"], bucket))
             found, bucket = found[order], bucket[order]
             # one place met twice, as when equal rows share a batch, is no repeat
@@ -207,21 +239,23 @@ def _classes(buckets: int, hot: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         a = np.frombuffer(b"".join(pdf["data"]), ANCHOR)
+        place = lambda a: (a["pos"] & ~COMMON).astype(np.int64)
         if bucket >= buckets:
-            return pd.DataFrame({"doc": a["doc"], "tie": a["tie"].astype(np.int64), "pos": a["pos"].astype(np.int64), "bucket": -1, "h": 0})
+            return pd.DataFrame({"doc": a["doc"], "tie": a["tie"].astype(np.int64), "pos": place(a), "bucket": -1, "h": 0})
         a = a[np.lexsort((a["pos"], a["tie"], a["doc"], a["c"], a["h"]))]
         new_h = np.r_[True, a["h"][1:] != a["h"][:-1]]
         new_class = new_h | np.r_[True, a["c"][1:] != a["c"][:-1]]
         group = np.cumsum(new_h) - 1
         contexts = np.bincount(group, weights=new_class)[group]
-        several = contexts > 1
+        common = a["pos"] >= COMMON  # its other contexts lie in other buckets
+        several = (contexts > 1) | common
         # one row met twice is one document
         twin = np.r_[False, (a[1:] == a[:-1])]
         keep = (~new_class & ~twin) | (new_class & several)
-        mark = np.where(contexts[keep] > hot, HOT_MARK, 0)
+        mark = np.where((contexts > hot) | common, HOT_MARK, 0)[keep]
         a, first = a[keep], new_class[keep]
         return pd.DataFrame({
-            "doc": a["doc"], "tie": a["tie"].astype(np.int64), "pos": a["pos"].astype(np.int64),
+            "doc": a["doc"], "tie": a["tie"].astype(np.int64), "pos": place(a),
             "bucket": np.where(first, bucket + mark, -1), "h": a["h"].astype(np.int64),
         })
 
@@ -457,7 +491,7 @@ def _cut_out(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT, sample: int = SAMPLE, often: int = OFTEN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row of `docs`.
 
     Each byte in a string of `length` UTF-8 bytes (33 to 255) that also starts earlier, in a document of smaller
@@ -480,7 +514,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
     )
     total = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(tasks(spark), -(-total // PER_BUCKET))
-    anchors = given.select("doc", "tie", "text").mapInPandas(_anchor_rows(length, buckets), "bucket long, data binary")
+    common = spark.sparkContext.broadcast(_common(given, length, sample, often))
+    anchors = given.select("doc", "tie", "text").mapInPandas(_anchor_rows(length, buckets, common), "bucket long, data binary")
     found = cut(
         anchors.groupBy("bucket").applyInPandas(
             _classes(buckets, hot), "doc long, tie long, pos long, bucket long, h long"

@@ -150,13 +150,13 @@ def test_equal_rows_are_one_document(spark, partitions):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("7", 0)] * 3 + [("9", 150)] + [("None", 300)] * 2
 
 
-@pytest.mark.parametrize("hot", [0, 3, 2000])
-def test_hot_anchors_with_ever_new_surroundings(spark, hot):
+@pytest.mark.parametrize("hot,often", [(0, 10**6), (3, 10**6), (2000, 10**6), (2000, 2), (2000, 8), (0, 1)])
+def test_hot_anchors_with_ever_new_surroundings(spark, hot, often):
     rng = random.Random(33)
     line, shorter = letters(rng, 90), letters(rng, 40)
     rows = [(i, letters(rng, rng.randint(0, 150)) + rng.choice([line, shorter, line[:60]]) + letters(rng, rng.randint(0, 150))) for i in range(120)]
     rows += [(200 + i, rows[i][1][: 40 + 5 * i] + rows[i + 1][1][20:] + rows[i][1][10:]) for i in range(40)]
-    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, often=often).collect()
     want = {doc: tuple(found) for doc, _, *found in brute(rows, 100)}
     assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
     assert sum(n for n, _, _ in want.values()) > 2000
