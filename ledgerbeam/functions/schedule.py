@@ -39,17 +39,23 @@ def loan_running(rows: DataFrame, by: str, k: str, capital: str, opening: str, r
     )
 
 
+#: Periods that one inner fold of a recurrence goes through.
+STRETCH = 64
+
+
 def recurrence(rows: DataFrame, by: str, k: str, payment: str, opening: str, rate: str) -> DataFrame:
     """(by, k, balance_open, interest, balance_close) for rates that change: one fold for each loan.
 
-    A loan's periods are one array, so its size is that of one schedule.
+    A loan's periods are one array, so its size is that of one schedule. Balances round period by period, as a sheet's
+    do, which no running product would. Appending to an array copies it, so a fold over stretches of STRETCH periods
+    holds an inner one over each of them.
     """
     folded = rows.groupBy(by).agg(
         F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(payment).alias("p"), F.col(rate).alias("n")))).alias("s"),
         F.max(opening).alias("j0"),
     )
     line = "struct<k:bigint,balance_open:double,interest:double,balance_close:double>"
-    start = F.struct(F.col("j0").cast("double").alias("j"), F.expr(f"cast(array() as array<{line}>)").alias("out"))
+    start = lambda j, kind: F.struct(j.alias("j"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         interest = a["j"] * x["n"]
@@ -57,7 +63,12 @@ def recurrence(rows: DataFrame, by: str, k: str, payment: str, opening: str, rat
         row = F.struct(x["k"].cast("bigint").alias("k"), a["j"].alias("balance_open"), interest.alias("interest"), close.alias("balance_close"))
         return F.struct(close.alias("j"), F.array_append(a["out"], row).alias("out"))
 
-    lines = F.aggregate("s", start, step, lambda a: a["out"])
+    def stretch(a: Column, i: Column) -> Column:
+        part = F.aggregate(F.slice("s", i * STRETCH + 1, F.lit(STRETCH)), start(a["j"], line), step)
+        return F.element_at(F.transform(F.array(part), lambda p: F.struct(p["j"].alias("j"), F.array_append(a["out"], p["out"]).alias("out"))), 1)
+
+    stretches = F.sequence(F.lit(0), F.expr(f"cast((size(s) - 1) div {STRETCH} as int)"))
+    lines = F.aggregate(stretches, start(F.col("j0").cast("double"), f"array<{line}>"), stretch, lambda a: F.flatten(a["out"]))
     return folded.select(by, F.inline(lines))
 
 

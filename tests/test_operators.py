@@ -132,6 +132,20 @@ def test_closed_form_equals_recurrence(spark):
     assert all(abs(x["balance_close"] - y["balance_close"]) < 1e-8 and abs(x["interest"] - y["interest"]) < 1e-8 for x, y in zip(a, b, strict=True))
 
 
+def test_recurrence_in_stretches_rounds_period_by_period(spark):
+    rows, want = [], {}
+    for n in (1, 63, 64, 65, 130):
+        j = 1000.0
+        for k in range(1, n + 1):
+            p, r = 20.0 + k % 7, 0.01 + k % 5 / 1000
+            rows.append((n, k, p, 1000.0, r))
+            want[n, k] = (j, j * r, j + j * r - p)
+            j = want[n, k][2]
+    df = spark.createDataFrame(rows, "id int, k long, p double, j0 double, n double")
+    got = {(r["id"], r["k"]): tuple(r)[2:] for r in schedule.recurrence(df, "id", "k", "p", "j0", "n").collect()}
+    assert got == want
+
+
 MOVES = {"Old": refs.Move("New", 10, 11, 30), "My Sheet": refs.Move("New", 40, 41, 60)}
 FORMULAS = [
     ("=Old!A1+B2", "Main", "=New!A11+B2"),
