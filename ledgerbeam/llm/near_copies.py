@@ -109,9 +109,9 @@ def near_copies(docs: DataFrame, words: int = 5, cap: int = CAP) -> DataFrame:
 
     Documents link when the sets of their shingles of `words` words have a Jaccard similarity of 0.8 or more,
     counted on the whole sets; component_id is the smallest doc_id reachable by links, null ids aside. Equal
-    sets are one node. Pairs are looked for where their fingerprints meet on an anchor and where they agree on a band:
-    first each set is held against the
-    smallest node of its band; then, in bands that this leaves in several components, all against all others. Null
+    sets are one node. Pairs are looked for where they agree on a band and where their fingerprints meet on an anchor:
+    first each set is held against the smallest node of its band, then what anchors bring together of different
+    components, then, in bands that this leaves in several components, all against all others. Null
     and empty texts are one node and link with nothing else; ids keep their type; an empty table gives an empty result;
     other columns, whatever their names, are ignored. A very long text is one task's.
     """
@@ -123,8 +123,13 @@ def near_copies(docs: DataFrame, words: int = 5, cap: int = CAP) -> DataFrame:
     star = cut(
         met.where("node <> a and 5 * least(n, an) >= 4 * greatest(n, an)").select("a", F.col("node").alias("b")).distinct()
     )
-    star = cut(star.union(_by_anchors(marked)).distinct())
     links = cut(_verified(star, marked))
+    # what the anchors bring together and the bands have not joined
+    roots = components(links)
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    met_there = _by_anchors(marked).join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b")
+    links = cut(links.union(_verified(cut(met_there.join(star, ["a", "b"], "left_anti").distinct()), marked)))
     roots = cut(components(links))
     named = met.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parted = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
