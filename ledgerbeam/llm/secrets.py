@@ -37,7 +37,7 @@ ENOUGH = 20
 #: Credentials are learned, and tokens scored, in pieces of this many characters; only the last one ends.
 DEPTH = 48
 #: Tokens that a worker remembers the gains of.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 def _long_words(text: str, least: int = SHORTEST) -> list[tuple[int, str]]:

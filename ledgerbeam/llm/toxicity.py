@@ -30,7 +30,7 @@ FUZZY = 5
 #: Words on either side that a hit's context spans.
 WINDOW = 12
 #: Words and automaton states that a worker remembers.
-REMEMBERED, STATES = 150_000, 30_000
+REMEMBERED, STATES = 80_000, 20_000
 
 
 def trained_on(doc_id: Column) -> Column:
