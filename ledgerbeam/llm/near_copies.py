@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import cut, split_hot
+from ledgerbeam.llm.common import cut, release, split_hot
 from ledgerbeam.llm.components import components
 from ledgerbeam.llm.simhash import links as anchor_links
 from ledgerbeam.llm.simhash import majority, shingle_hashes
@@ -84,14 +84,16 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have a Jaccard similarity of 0.8 or more."""
+    """The pairs (a, b) whose whole shingle sets have a Jaccard similarity of 0.8 or more, written out."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = cut(marked.where("hashes is not null").select("node", "hashes").join(ends, "node", "left_semi").dropDuplicates(["node"]))
     of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"of_{end}"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     # shared / (all - shared) >= 4 / 5, in whole numbers
     alike = 9 * shared >= 4 * (F.size("of_a") + F.size("of_b"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").where(alike).select("a", "b")
+    found = cut(pairs.join(of("b"), "b").join(of("a"), "a").where(alike).select("a", "b"))
+    release(sets)
+    return found
 
 
 def _by_anchors(marked: DataFrame) -> DataFrame:
@@ -123,13 +125,13 @@ def near_copies(docs: DataFrame, words: int = 5, cap: int = CAP) -> DataFrame:
     star = cut(
         met.where("node <> a and 5 * least(n, an) >= 4 * greatest(n, an)").select("a", F.col("node").alias("b")).distinct()
     )
-    links = cut(_verified(star, marked))
+    links = _verified(star, marked)
     # what the anchors bring together and the bands have not joined
     roots = components(links)
     of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     met_there = _by_anchors(marked).join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b")
-    links = cut(links.union(_verified(cut(met_there.join(star, ["a", "b"], "left_anti").distinct()), marked)))
+    links = links.union(_verified(cut(met_there.join(star, ["a", "b"], "left_anti").distinct()), marked))
     roots = cut(components(links))
     named = met.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parted = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -142,7 +144,8 @@ def near_copies(docs: DataFrame, words: int = 5, cap: int = CAP) -> DataFrame:
         " and (x.lo = x.hi or x.block <> y.block)"
     )
     pairs = x.join(y, [*meet, other]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = cut(_verified(cut(pairs.join(star, ["a", "b"], "left_anti")), marked))
+    more = _verified(cut(pairs.join(star, ["a", "b"], "left_anti")), marked)
+    release(met, star, rows)
     joined = cut(components(links.union(more)))
     first = marked.groupBy("node").agg(F.min("doc_id").alias("first"))
     rooted = cut(first.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
