@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerbeam.llm.chat import ORACLE_OP6
+from ledgerbeam.llm.licenses import ORACLE_OP12
 
 _VECTORS = """v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
@@ -61,4 +62,5 @@ ORACLES = {
     "op5_vector_dedup": OP5,
     "op6_format_chats": ORACLE_OP6,
     "op9_suffix_dedup": OP9,
+    "op12_scan_licenses": ORACLE_OP12,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ledgerbeam.llm import (
     ann,
     chat,
+    licenses,
     mixing,
     secrets,
     sentencepiece_scan,
@@ -29,4 +30,5 @@ QUERIES = {
     "op8_count_tokens": token_counts.op8_count_tokens,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
+    "op12_scan_licenses": licenses.op12_scan_licenses,
 }
