@@ -5,6 +5,7 @@ from __future__ import annotations
 from ledgerbeam.llm import (
     ann,
     chat,
+    chat_repair,
     licenses,
     mixing,
     secrets,
@@ -31,4 +32,5 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
     "op12_scan_licenses": licenses.op12_scan_licenses,
+    "op13_repair_chats": chat_repair.op13_repair_chats,
 }
