@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerbeam.llm.chat import ORACLE_OP6
 from ledgerbeam.llm.chat_repair import ORACLE_OP13
+from ledgerbeam.llm.lexical_search import ORACLE_OP11
 from ledgerbeam.llm.licenses import ORACLE_OP12
 
 _VECTORS = """v AS (
@@ -63,6 +64,7 @@ ORACLES = {
     "op5_vector_dedup": OP5,
     "op6_format_chats": ORACLE_OP6,
     "op9_suffix_dedup": OP9,
+    "op11_rank_documents": ORACLE_OP11,
     "op12_scan_licenses": ORACLE_OP12,
     "op13_repair_chats": ORACLE_OP13,
 }

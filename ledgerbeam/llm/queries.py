@@ -6,6 +6,7 @@ from ledgerbeam.llm import (
     ann,
     chat,
     chat_repair,
+    lexical_search,
     licenses,
     mixing,
     secrets,
@@ -31,6 +32,7 @@ QUERIES = {
     "op8_count_tokens": token_counts.op8_count_tokens,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
+    "op11_rank_documents": lexical_search.op11_rank_documents,
     "op12_scan_licenses": licenses.op12_scan_licenses,
     "op13_repair_chats": chat_repair.op13_repair_chats,
 }
