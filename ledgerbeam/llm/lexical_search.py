@@ -34,7 +34,10 @@ LEVELS = (1, 2, 4)
 HASHES, BITS, WIDEST = 3, 10, 21
 
 #: Documents of a block, and bits of all its signatures.
-BLOCK, BLOCK_BITS = 256, 1 << 22
+BLOCK, BLOCK_BITS = 128, 1 << 21
+
+#: Texts that a task turns into Python objects at a time.
+READ = 64
 
 #: Bytes of queries that go to the tasks at once; further ones take another pass over the index.
 QUERY_BYTES = 1 << 20
@@ -89,7 +92,7 @@ def build(docs: DataFrame) -> DataFrame:
             row = _block(log_width, waiting.pop(log_width))
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], k) for f, k in zip(schema, kinds)], schema.names)
 
-        for b in batches:
+        for b in (whole.slice(s, READ) for whole in batches for s in range(0, whole.num_rows, READ)):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 found = Counter(terms(text))
                 words, counts = list(found), np.fromiter(found.values(), np.int64, len(found))
@@ -111,8 +114,9 @@ def _counted(index: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter()
         for b in batches:
-            for joined in b.column(0).flatten().to_pylist():
-                held.update(vocabulary.intersection(joined.split(b" ")))
+            for i in range(b.num_rows):
+                for joined in b.column(0)[i].as_py():
+                    held.update(vocabulary.intersection(joined.split(b" ")))
         held.pop(b"", None)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
 
@@ -164,7 +168,7 @@ class Scorer:
         return total
 
     def take(self, block: dict) -> None:
-        """Score those documents of a block that may be among the best of some query."""
+        """Score those documents of a block that may be among the best of some query; terms and counts are Arrow arrays."""
         sizes, most = np.array(block["sizes"], np.int64), np.array(block["most"], np.int64)
         n = len(sizes)
         m = 50 + (50 * sizes * self.n_docs) // self.n_terms
@@ -178,7 +182,7 @@ class Scorer:
                 if bounds[k, d] < self.floor[i]:
                     break
                 if d not in lists:
-                    lists[d] = dict(zip(block["terms"][d].split(b" "), np.frombuffer(block["counts"][d], np.uint32).tolist()))
+                    lists[d] = dict(zip(block["terms"][d].as_py().split(b" "), np.frombuffer(block["counts"][d].as_py(), np.uint32).tolist()))
                 self.scored += 1
                 held, size = lists[d], int(m[d])
                 score = sum(w * gain(held[t], size) for t, w in self.queries[i] if t in held)
@@ -225,7 +229,8 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
             if scorer.some:
                 for b in batches:
                     for i in range(b.num_rows):
-                        scorer.take({n: b.column(n)[i].as_py() for n in b.schema.names})
+                        row = {n: b.column(n)[i] for n in b.schema.names}
+                        scorer.take({n: x.values if n in ("terms", "counts") else x.as_py() for n, x in row.items()})
             rows = []
             for i, best in enumerate(scorer.best):
                 scorer._trim(i)

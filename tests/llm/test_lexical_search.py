@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,5 +102,5 @@ def test_bounds_hold_and_leave_documents_out():
             held = dict(zip(r["terms"][d].split(b" "), np.frombuffer(r["counts"][d], np.uint32).tolist()))
             for k, i in enumerate(scorer.some):
                 assert bounds[k, d] >= sum(w * ls.gain(held[t], int(m[d])) for t, w in scorer.queries[i] if t in held)
-        scorer.take(r)
+        scorer.take(r | {n: pa.array(r[n], pa.binary()) for n in ("terms", "counts")})
     assert scorer.scored < scorer.seen / 5
