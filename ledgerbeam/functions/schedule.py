@@ -50,10 +50,16 @@ def recurrence(rows: DataFrame, by: str, k: str, payment: str, opening: str, rat
     do, which no running product would. Appending to an array copies it, so a fold over stretches of STRETCH periods
     holds an inner one over each of them.
     """
-    folded = rows.groupBy(by).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(payment).alias("p"), F.col(rate).alias("n")))).alias("s"),
-        F.max(opening).alias("j0"),
-    )
+    folded = rows.groupBy(by).agg(_periods(k, payment, rate), F.max(opening).alias("j0"))
+    return _lines(folded, by)
+
+
+def _periods(k: str, payment: str, rate: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(payment).alias("p"), F.col(rate).alias("n")))).alias("s")
+
+
+def _lines(folded: DataFrame, *by: str) -> DataFrame:
+    """The lines of each array of periods `s` that opens with `j0`, under the columns `by`."""
     line = "struct<k:bigint,balance_open:double,interest:double,balance_close:double>"
     start = lambda j, kind: F.struct(j.alias("j"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
 
@@ -69,7 +75,50 @@ def recurrence(rows: DataFrame, by: str, k: str, payment: str, opening: str, rat
 
     stretches = F.sequence(F.lit(0), F.expr(f"cast((size(s) - 1) div {STRETCH} as int)"))
     lines = F.aggregate(stretches, start(F.col("j0").cast("double"), f"array<{line}>"), stretch, lambda a: F.flatten(a["out"]))
-    return folded.select(by, F.inline(lines))
+    return folded.select(*by, F.inline(lines))
+
+
+#: Periods of a block of a scanned recurrence, and blocks that one row composes.
+SPAN = 1024
+
+
+def recurrence_scan(rows: DataFrame, by: str, k: str, payment: str, opening: str, rate: str, span: int = SPAN) -> DataFrame:
+    """What `recurrence` gives, with any one schedule spread over tasks.
+
+    A period takes an opening balance J to (1 + n) J - p, and such maps compose. Blocks of `span` periods are composed
+    into one map each, groups of `span` blocks again, and a schedule's groups are folded from its opening balance;
+    then openings go down the same two steps, and each block runs period by period from its own. So one row holds
+    `span` periods or blocks, or a schedule's groups: a thousand for a billion periods. `k` is a whole number that
+    orders a schedule; blocks are cut by its value, so it should have few gaps. Balances differ from those of one
+    long fold in the last digits only, as sums are rounded in another order.
+    """
+    block, group = F.floor(F.col(k) / span).alias("_block"), F.floor(F.col("_block") / span).alias("_group")
+    blocks = rows.groupBy(by, block).agg(_periods(k, payment, rate), F.max(opening).alias("_j0"))
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+
+    def through(m: Column, a: Column, b: Column) -> Column:
+        """First the map m, then J to a J + b."""
+        return F.struct((a * m["a"]).alias("a"), (a * m["b"] + b).alias("b"))
+
+    period = lambda m, x: through(m, 1.0 + x["n"].cast("double"), -x["p"].cast("double"))
+    of_block = F.aggregate("s", one, period)
+    maps = blocks.select(by, group, "_block", of_block.alias("m"), "_j0")
+    part = lambda at, *more: F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "m", *more))).alias("_parts")
+    grouped = maps.groupBy(by, "_group").agg(part("_block"), F.max("_j0").alias("_j0"))
+    of_group = F.aggregate("_parts", one, lambda m, x: through(m, x["m"]["a"], x["m"]["b"]))
+    wholes = grouped.select(by, "_group", of_group.alias("m"), "_j0").groupBy(by).agg(part("_group"), F.max("_j0").alias("_j0"))
+
+    def openings(j: Column) -> Column:
+        """(at, j): the balance that each part opens with."""
+        start = F.struct(j.cast("double").alias("j"), F.expr("cast(array() as array<struct<at:bigint,j:double>>)").alias("out"))
+        step = lambda a, x: F.struct(
+            (x["m"]["a"] * a["j"] + x["m"]["b"]).alias("j"), F.array_append(a["out"], F.struct(x["at"].alias("at"), a["j"].alias("j"))).alias("out")
+        )
+        return F.inline(F.aggregate("_parts", start, step, lambda a: a["out"]))
+
+    of_groups = wholes.select(by, openings(F.col("_j0"))).toDF(by, "_group", "_open")
+    of_blocks = grouped.drop("_j0").join(of_groups, [by, "_group"]).select(by, openings(F.col("_open"))).toDF(by, "_block", "j0")
+    return _lines(blocks.drop("_j0").join(of_blocks, [by, "_block"]), by)
 
 
 def annex_scalars(rows: DataFrame, by: str, date: str, cutoff, year_start, next_year, balance: str, interest: str, capital: str, diff: str) -> DataFrame:
