@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerbeam.functions.text import strip
 from ledgerbeam.operators.lookup import first_rows, last_rows, normal_number
-from ledgerbeam.operators.ordered import forward_fill, take_body
+from ledgerbeam.operators.ordered import forward_fill
 from ledgerbeam.schema import LEDGER, MONEY, check_schema
-from ledgerbeam.sources.workbook import cell, grid
 
 
 def ledger_scan(rows: DataFrame, first: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -106,11 +105,38 @@ def _date(c: Column) -> Column:
     return F.coalesce(F.try_to_date(F.substr(c, F.lit(1), F.lit(10)), "yyyy-MM-dd"), F.date_add(F.lit("1899-12-30").cast("date"), _number(c).cast("int")))
 
 
-def _nested(body: DataFrame, heads: DataFrame, **lines: Column) -> DataFrame:
+def _wide(cells: DataFrame, ids: DataFrame, columns: range, tir: bool = False) -> DataFrame:
+    """One row for each row of the sheets of `ids`: values of `columns` as c2, c3, ..., and whether it has any.
+
+    All that follows goes by sheet, so this is the only time that cells are dealt out. A sheet has at most some
+    million rows, and one task holds it. With `tir` also the row's last cell that reads TIR, the value right of it,
+    and whether the row is a header.
+    """
+    own = cells.join(ids.select("sheet", "id"), "sheet").repartition("sheet")
+    texts = strip(F.col("value"))
+    more = []
+    if tir:
+        right = W.partitionBy("sheet", "id", "row").orderBy("col")
+        beside = F.when(F.lead("col").over(right) == F.col("col") + 1, F.lead("value").over(right))
+        own = own.withColumn("_tir", F.when(texts == "TIR", F.struct("col", beside.alias("v"))))
+        more = [F.max("_tir").alias("_tir"), (F.max(texts == "Meses") & F.max(texts == "Saldo inicial")).alias("_head")]
+    values = [F.max(F.when(F.col("col") == n, F.col("value"))).alias(f"c{n}") for n in columns]
+    return own.groupBy("sheet", "id", "row").agg(*values, F.max(F.col("col").isin(*columns)).alias("_in"), *more)
+
+
+def _sheet():
+    return W.partitionBy("sheet", "id")
+
+
+def _lines(body: Column, **lines: Column) -> Column:
+    """The rows of a sheet that `body` holds for, in order, as structs of all fields of a line."""
     kinds = {"fecha": "date"}
     fields = [lines.get(n, F.lit(None)).cast(kinds.get(n, "double")).alias(n) for n in _LINE]
-    rows = body.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("row", F.struct(*fields).alias("f")))).alias("_r"))
-    return heads.join(rows, "sheet", "left").withColumn("filas", F.transform(F.coalesce("_r", F.array()), lambda x: x["f"])).drop("_r")
+    return F.transform(F.array_sort(F.collect_list(F.when(body, F.struct("row", F.struct(*fields).alias("f"))))), lambda x: x["f"]).alias("filas")
+
+
+def _at(row: int, column: str) -> Column:
+    return F.max(F.when(F.col("row") == row, F.col(column)))
 
 
 def lease_tables(cells: DataFrame, ids: DataFrame) -> DataFrame:
@@ -120,34 +146,24 @@ def lease_tables(cells: DataFrame, ids: DataFrame) -> DataFrame:
     TIR; the body is what follows the last header with Meses and Saldo inicial, up to the first row whose period
     or balance is no number. A sheet without header has no rows.
     """
-    own = cells.join(ids.select("sheet"), "sheet")
-    heads = cell(own, {"banco": (11, 2), "contrato": (12, 2)}).join(ids, "sheet")
-    params = (
-        grid(own.where(F.col("row").between(14, 29)), {2: "k", 3: "v"})
-        .where("k is not null")
-        .groupBy("sheet")
-        .agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(strip(F.col("k")).alias("k"), "v")))).alias("param"))
-    )
-    tir_at = own.where(strip(F.col("value")) == "TIR").groupBy("sheet").agg(F.max(F.struct("row", "col")).alias("t"))
-    beside = own.join(tir_at, "sheet").where((F.col("row") == F.col("t.row")) & (F.col("col") == F.col("t.col") + 1))
-    rate = beside.groupBy("sheet").agg(F.max(_number(F.col("value"))).alias("tir"))
-    header = (
-        own.groupBy("sheet", "row")
-        .agg(F.max(strip(F.col("value")) == "Meses").alias("a"), F.max(strip(F.col("value")) == "Saldo inicial").alias("b"))
-        .where("a and b")
-        .groupBy("sheet")
-        .agg(F.max("row").alias("_header"))
-    )
-    wide = grid(own, {2: "per", 3: "fecha", 4: "ini", 5: "int", 6: "fin"}).join(header, "sheet").where("row > _header")
-    body = take_body(wide, ["sheet"], "row", _number(F.col("per")).isNotNull() & _number(F.col("ini")).isNotNull(), False)
+    wide = _wide(cells, ids, range(2, 7), tir=True).withColumn("_header", F.max(F.when(F.col("_head"), F.col("row"))).over(_sheet()))
+    there = F.col("_in") & F.coalesce(F.col("row") > F.col("_header"), F.lit(False))
+    ok = _number(F.col("c2")).isNotNull() & _number(F.col("c4")).isNotNull()
+    wide = wide.withColumn("_stop", F.min(F.when(there & ~ok, F.col("row"))).over(_sheet()))
+    body = there & (F.col("_stop").isNull() | (F.col("row") < F.col("_stop")))
     zero = lambda c: F.coalesce(_number(F.col(c)), F.lit(0.0))
-    capital = zero("ini") - zero("fin")
-    full = heads.join(params, "sheet", "left").join(rate, "sheet", "left")
-    nested = _nested(
-        body, full, per=_number(F.col("per")), fecha=_date(F.col("fecha")), saldo_ini=zero("ini"), interes=zero("int"),
-        capital=capital, pago=capital + zero("int"), saldo_fin=zero("fin"),
+    capital = zero("c4") - zero("c6")
+    pairs = F.collect_set(F.when(F.col("row").between(14, 29) & F.col("c2").isNotNull(), F.struct(strip(F.col("c2")).alias("k"), F.col("c3").alias("v"))))
+    found = wide.groupBy("sheet", "id").agg(
+        _at(11, "c2").alias("banco"), _at(12, "c2").alias("contrato"), F.array_sort(pairs).alias("_pairs"),
+        F.max(F.when(F.col("_tir").isNotNull(), F.struct("row", F.col("_tir.v").alias("v")))).alias("_tir"),
+        _lines(
+            body, per=_number(F.col("c2")), fecha=_date(F.col("c3")), saldo_ini=zero("c4"), interes=zero("c5"),
+            capital=capital, pago=capital + zero("c5"), saldo_fin=zero("c6"),
+        ),
     )
-    return nested.withColumn("tipo", F.lit("L"))
+    param = F.when(F.size("_pairs") > 0, F.map_from_entries("_pairs")).alias("param")
+    return found.select("sheet", "banco", "contrato", "id", param, _number(F.col("_tir.v")).alias("tir"), "filas", F.lit("L").alias("tipo"))
 
 
 def loan_tables(cells: DataFrame, ids: DataFrame, first: int = 26) -> DataFrame:
@@ -155,23 +171,25 @@ def loan_tables(cells: DataFrame, ids: DataFrame, first: int = 26) -> DataFrame:
 
     An opening balance is the closing one before it, in the first row the principal.
     """
-    own = cells.join(ids.select("sheet"), "sheet")
-    places = {"banco": (4, 3), "contrato": (5, 3), "capital": (6, 3), "plazo": (7, 3), "tasa": (8, 3), "spread": (9, 3), "desembolso": (10, 3), "tir": (11, 3)}
-    heads = cell(own, places).join(ids, "sheet").withColumn("tir", _number(F.col("tir")))
-    names = ["capital", "plazo", "tasa", "spread", "desembolso"]
-    heads = heads.withColumn("param", F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]))
-    wide = grid(own.where(F.col("row") >= first), {2: "per", 3: "fecha", 4: "cuota", 5: "cap", 6: "int", 7: "n", 8: "ibr", 9: "pts", 10: "fin", 11: "ca"})
-    body = take_body(wide, ["sheet"], "row", _number(F.col("per")).isNotNull() & _number(F.col("fin")).isNotNull(), True)
+    wide = _wide(cells, ids, range(2, 12)).withColumn("_p", _number(F.max(F.when(F.col("row") == 6, F.col("c3"))).over(_sheet())))
+    there = F.col("_in") & (F.col("row") >= first)
+    ok = _number(F.col("c2")).isNotNull() & _number(F.col("c10")).isNotNull()
+    wide = wide.withColumn("_start", F.min(F.when(there & ok, F.col("row"))).over(_sheet()))
+    wide = wide.withColumn("_stop", F.min(F.when(there & ~ok & (F.col("row") > F.col("_start")), F.col("row"))).over(_sheet()))
+    body = there & F.coalesce(F.col("row") >= F.col("_start"), F.lit(False)) & (F.col("_stop").isNull() | (F.col("row") < F.col("_stop")))
     zero = lambda c: F.coalesce(_number(F.col(c)), F.lit(0.0))
-    opened = body.join(heads.select("sheet", _number(F.col("capital")).alias("_p")), "sheet").withColumn(
-        "_ini", F.coalesce(F.lag(zero("fin")).over(W.partitionBy("sheet").orderBy("row")), F.col("_p"))
-    )
-    nested = _nested(
-        opened, heads.drop("capital", "plazo", "tasa", "spread", "desembolso"), per=_number(F.col("per")), fecha=_date(F.col("fecha")),
-        saldo_ini=F.col("_ini"), interes=zero("int"), capital=zero("cap"), cuota=zero("cuota"), tasa=zero("n"), ibr=zero("ibr"),
-        puntos=zero("pts"), saldo_fin=zero("fin"), ca_saldo=_number(F.col("ca")),
+    before = _sheet().orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    wide = wide.withColumn("_ini", F.coalesce(F.last(F.when(body, zero("c10")), ignorenulls=True).over(before), F.col("_p")))
+    names = {"capital": 6, "plazo": 7, "tasa": 8, "spread": 9, "desembolso": 10}
+    found = wide.groupBy("sheet", "id").agg(
+        _at(4, "c3").alias("banco"), _at(5, "c3").alias("contrato"), _number(_at(11, "c3")).alias("tir"),
+        F.create_map(*[x for n, r in names.items() for x in (F.lit(n), _at(r, "c3"))]).alias("param"),
+        _lines(
+            body, per=_number(F.col("c2")), fecha=_date(F.col("c3")), saldo_ini=F.col("_ini"), interes=zero("c6"), capital=zero("c5"),
+            cuota=zero("c4"), tasa=zero("c7"), ibr=zero("c8"), puntos=zero("c9"), saldo_fin=zero("c10"), ca_saldo=_number(F.col("c11")),
+        ),
     )
-    return nested.withColumn("tipo", F.lit("C"))
+    return found.select("sheet", "banco", "contrato", "tir", "id", "param", "filas", F.lit("C").alias("tipo"))
 
 
 def schedule_rows(nested: DataFrame) -> DataFrame:

@@ -97,3 +97,25 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     show = lambda df: sorted((str(r["start"]), r["event_type"], r["n"], round(r["net"], 6)) for r in df.collect())
     assert show(got) == show(want) and got.count() > 10
+
+
+def test_schedule_bodies_in_one_pass(spark, tmp_path):
+    """Rows with cells in other columns only end no body; headers, starts and stops of many sheets; few shuffles."""
+    import re
+
+    lease = [("L", 11, 2, "Bank"), ("L", 12, 2, "7"), ("L", 20, 2, " TIR"), ("L", 20, 3, "0.5"), ("L", 25, 5, "TIR"), ("L", 25, 7, "9")]
+    lease += [("L", r, c, v) for r in (30, 34) for c, v in ((2, "Meses"), (4, "Saldo inicial"))]
+    lease += [("L", r, c, str(v)) for r, v in ((31, 1), (35, 1), (36, 2), (38, 3), (40, 4)) for c in (2, 4, 5, 6)] + [("L", 37, 9, "x"), ("L", 39, 2, "stop"), ("M", 1, 1, "no header")]
+    loan = [("C", 4, 3, "Bank"), ("C", 6, 3, "100")] + [("C", r, c, str(v)) for r, v in ((28, 60), (30, 20)) for c in (2, 10)] + [("C", 26, 2, "note"), ("C", 29, 12, "x"), ("C", 31, 2, "end"), ("C", 32, 2, "5"), ("C", 32, 10, "5")]
+    path = str(tmp_path / "cells.parquet")
+    spark.createDataFrame(lease + loan, "sheet string, row int, col int, value string").write.parquet(path)
+    cells = spark.read.parquet(path)
+    ids = spark.createDataFrame([("L", "a"), ("L", "b"), ("M", "m"), ("gone", "g")], "sheet string, id string")
+    got = {r["id"]: r for r in readers.lease_tables(cells, ids).collect()}
+    assert set(got) == {"a", "b", "m"} and [f["per"] for f in got["a"]["filas"]] == [1.0, 2.0, 3.0] == [f["per"] for f in got["b"]["filas"]]
+    assert (got["a"]["tir"], got["m"]["filas"], got["m"]["param"]) == (None, [], None)  # the last TIR has nothing right of it
+    loans = readers.loan_tables(cells, spark.createDataFrame([("C", "c")], "sheet string, id string"))
+    assert [(f["saldo_ini"], f["saldo_fin"]) for f in loans.first()["filas"]] == [(100.0, 60.0), (60.0, 20.0)]
+    for df in (readers.lease_tables(cells, ids), loans):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) <= 3
