@@ -92,6 +92,13 @@ def moved(ref: Column, token: Column, home: Column, table: Column, renamed: Colu
     return F.when(to.isNotNull(), F.when(to["sheet"] == home, body).otherwise(away)).when(ref["named"] & new.isNotNull(), other).otherwise(token)
 
 
+def references_of(formula: Column, here: Column) -> Column:
+    """The references of a formula of sheet `here`, in order, as (token, fields)."""
+    tokens = F.regexp_extract_all(F.substring(formula, F.lit(2), F.length(formula)), F.lit(_TOKEN), 0)
+    found = F.filter(tokens, lambda t: t.rlike(_REFERENCE))
+    return F.transform(found, lambda t: F.struct(t.alias("token"), fields(t, here).alias("fields")))
+
+
 def translate(formula: Column, here: Column, moves: dict[str, Move], renamed: dict[str, str] | None = None) -> Column:
     """A formula of sheet `here` with its references moved; what is no formula, null too, comes back as it is."""
     table, names = moves_table(moves), _table({k: F.lit(v) for k, v in (renamed or {}).items()}, "string")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerbeam.functions import schedule
-from ledgerbeam.operators import hierarchy, ranges, rule_index
+from ledgerbeam.operators import hierarchy, links, ranges, rule_index
 from ledgerbeam.plans.tables import LEDGER, MONEY, REGISTER, ledger, read, register
 
 QUERIES, ORACLES = {}, {}
@@ -121,3 +121,43 @@ def rule_index_classify(spark, d):
     orders = read(spark, d, "orders").join(customer, F.col("o_custkey") == key)
     lines = orders.select("o_orderkey", F.concat(F.lit("PAGO "), name, F.lit(" "), "o_orderpriority").alias("text"))
     return rule_index.classify_indexed(lines, "text", rules, "SIN-ID", "rule_id").select("o_orderkey", "rule_id")
+
+
+def _book(spark, d):
+    """Three sheets of cells: sizes, sums down a tree of rows, and totals over four rows that also name a sheet that isn't there."""
+    key = F.col("p_partkey")
+    a = lambda sheet, k: F.concat(F.lit(sheet), k.cast("string"))
+    value = F.when(key > 1, F.concat(a("=Sizes!A", key), a("+$A", F.floor(key / 2)))).otherwise("=Sizes!A1")
+    total = F.concat(a("=SUM(Calc!A", key), a(":A$", key + 3), F.when(key % 50 == 0, a(',Gone!B', key)).otherwise(""), F.lit(')&"Calc!A1"'))
+    cell = lambda sheet, col, v: F.struct(F.lit(sheet).alias("sheet"), key.cast("int").alias("row"), F.lit(col).alias("col"), v.alias("value"))
+    rows = read(spark, d, "part").select(F.inline(F.array(cell("Sizes", 1, F.col("p_size").cast("string")), cell("Calc", 1, value), cell("Totals", 2, total))))
+    return rows
+
+
+_BOOK = """p AS (SELECT p_partkey AS k, p_size FROM part),
+  refs AS (SELECT 'Calc' AS sheet, k AS row, 1 AS col, 'Sizes' AS to_sheet, greatest(k, 1) AS r1, greatest(k, 1) AS r2, 1 AS c FROM p UNION ALL SELECT 'Calc', k, 1, 'Calc', k // 2, k // 2, 1 FROM p WHERE k > 1
+    UNION ALL SELECT 'Totals', k, 2, 'Calc', k, k + 3, 1 FROM p UNION ALL SELECT 'Totals', k, 2, 'Gone', k, k, 2 FROM p WHERE k % 50 = 0)"""
+
+
+@query(f"WITH {_BOOK} SELECT sheet, row::INT AS row, col, to_sheet, r1::BIGINT AS first_row, r2::BIGINT AS last_row, c AS first_col, c AS last_col FROM refs")
+def cell_references(spark, d):
+    """All references of a book's formulas as rows; the one inside quoted text is none."""
+    return links.references(_book(spark, d)).drop("token")
+
+
+@query(f"""WITH {_BOOK} SELECT sheet, row::INT AS row, col, to_sheet, CASE to_sheet WHEN 'Sizes' THEN 'removed sheet' WHEN 'Gone' THEN 'no sheet' ELSE 'no cell' END AS reason FROM refs
+  WHERE to_sheet IN ('Sizes', 'Gone') OR NOT EXISTS (SELECT 1 FROM p WHERE k BETWEEN r1 AND r2)""")
+def dangling_references(spark, d):
+    """References that lead nowhere once the sheet of sizes is removed."""
+    return links.dangling(_book(spark, d), ["Sizes"]).drop("token")
+
+
+@query(f"""WITH RECURSIVE {_BOOK}, calc AS (SELECT k, 1 AS steps FROM p WHERE p_size = 50 UNION SELECT p.k, steps + 1 FROM calc JOIN p ON p.k // 2 = calc.k AND p.k > 1),
+  least AS (SELECT k, min(steps) AS steps FROM calc GROUP BY 1)
+  SELECT 'Calc' AS sheet, k::INT AS row, 1 AS col, steps::INT AS steps FROM least
+  UNION ALL SELECT 'Totals', p.k::INT, 2, min(steps + 1)::INT FROM p JOIN least ON least.k BETWEEN p.k AND p.k + 3 GROUP BY p.k""")
+def dependent_cells(spark, d):
+    """Every formula that a change of the largest sizes reaches, through chains of formulas and ranges."""
+    book = _book(spark, d)
+    changed = book.where("sheet = 'Sizes' and value = '50'")
+    return links.dependents(book, changed)

@@ -110,3 +110,26 @@ def test_a_hundred_thousand_rules(spark):
     assert got.where("rule <> cast(id as string)").count() == 0 and got.count() == n // 50
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_links_of_a_small_book(spark):
+    from ledgerbeam.operators import links
+
+    rows = [
+        ("In", 1, 1, "5"), ("In", 2, 1, "6"), ("In", 5000, 28, "7"), ("Out", 1, 1, "=In!$A$1*2"), ("Out", 2, 1, "=SUM(In!A:A)+\"In!A1\""), ("Out", 3, 1, "=A1+A2"),
+        ("Out", 4, 1, "=SUM(In!Z4000:AB6000)"), ("Out", 5, 1, "=A6"), ("Out", 6, 1, "=A5+In!C9"), ("Out", 7, 1, "='It''s'!B2"), ("It's", 2, 2, "=Out!A3"), ("Out", 8, 1, None), ("Out", 9, 1, "=SUM(A1:B3,A1)"),
+    ]
+    cells = spark.createDataFrame(rows, "sheet string, row int, col int, value string")
+    refs = {(r["row"], r["token"]): tuple(r)[4:] for r in links.references(cells).where("sheet = 'Out'").collect()}
+    assert refs[1, "In!$A$1"] == ("In", 1, 1, 1, 1) and refs[2, "In!A:A"] == ("In", None, None, 1, 1) and refs[4, "In!Z4000:AB6000"] == ("In", 4000, 6000, 26, 28)
+    assert (2, "In!A1") not in refs and refs[7, "'It''s'!B2"] == ("It's", 2, 2, 2, 2)
+    assert [tuple(r)[:3] + (r["reason"],) for r in links.dangling(cells).collect()] == [("Out", 6, 1, "no cell")]
+    left, broken = links.without_sheets(cells, ["In"])
+    assert left.where("sheet = 'In'").count() == 0 and sorted(r["row"] for r in broken.collect()) == [1, 2, 4, 6]
+    place = lambda *at: spark.createDataFrame(list(at), "sheet string, row int, col int")
+    reach = lambda df: {(r["sheet"], r["row"]): r["steps"] for r in df.collect()}
+    assert reach(links.dependents(cells, place(("In", 1, 1)))) == {("Out", 1): 1, ("Out", 2): 1, ("Out", 3): 2, ("Out", 9): 2, ("It's", 2): 3, ("Out", 7): 4}
+    assert reach(links.dependents(cells, place(("Out", 5, 1)))) == {("Out", 6): 1, ("Out", 5): 2}  # a cycle
+    assert reach(links.dependents(cells, place(("In", 5000, 28)))) == {("Out", 4): 1}
+    assert links.dependents(cells, place(("In", 1, 1)).where("false")).count() == 0
+    assert links.references(cells.where("false")).count() == 0
