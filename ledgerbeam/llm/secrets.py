@@ -85,6 +85,10 @@ def symbol(c: str) -> str:
 #: Probability that a state keeps for what it has never seen.
 UNSEEN = 0.02
 SURE = math.log(1 - UNSEEN)
+#: The same for ends: a format that no sample left at some place hardly ends there.
+ODD_END = 1e-5
+#: Log-odds against a token being a secret before it is looked at: short tokens need more than a good ratio by symbol.
+PRIOR = 12.0
 #: Ends a sample that is a piece of a token and not its last one; no credential holds it.
 GOES_ON = "\n"
 
@@ -107,14 +111,17 @@ class Automaton:
     ends: list[float]
     #: What all samples begin with, letter by letter; the states come after it.
     prefix: str = ""
+    #: Where a symbol leads that was never seen in a state: the way of most samples, so that later places still fit.
+    onward: list[int] | None = None
 
     ALPHABET = 12
 
     def __post_init__(self) -> None:
         smooth = lambda p: math.log(p * (1 - UNSEEN) + UNSEEN / (self.ALPHABET + 1))
         self.steps = [{s: smooth(p) for s, p in out.items()} for out in self.ways]
-        self.stops = [smooth(p) for p in self.ends]
+        self.stops = [math.log(p * (1 - ODD_END) + ODD_END / (self.ALPHABET + 1)) for p in self.ends]
         self.unseen = smooth(0.0)
+        self.onward = self.onward or [0] * len(self.moves)
 
     def score(self, text: str) -> float:
         """Mean log-likelihood of a symbol, the end being one: that of all pieces over their number."""
@@ -125,7 +132,7 @@ class Automaton:
                 total += SURE if c == want else unseen
             for s in map(SYMBOL.__getitem__, piece[fixed:]):
                 total += self.steps[state].get(s, unseen)
-                state = self.moves[state].get(s, 0)
+                state = self.moves[state].get(s, self.onward[state])
             n += len(piece)
             if last:
                 total += self.stops[state]
@@ -145,9 +152,11 @@ SYMBOL = _Symbols()
 def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
     """Merge statistically compatible states of the prefix tree of the pieces of `samples` into an automaton.
 
-    Blue states, next to the red ones that are settled, merge with the first red state whose counts of
-    symbols and ends, and those of the states that follow, agree within Hoeffding's bound; others turn red. Symbols
-    are classes of characters, but for a beginning that all samples share.
+    Layer by layer, a state merges with the first larger one of its depth whose counts of symbols and ends, and those
+    of the states that follow, agree within Hoeffding's bound; others stay. A state with few samples agrees with any,
+    so each layer keeps what the samples can tell apart, with all of its samples behind it. States of different
+    depths stay apart: in a loop, a format would forget its length. Symbols are classes of characters, but for a
+    beginning that all samples share.
     """
     prefix = os.path.commonprefix(samples) if len(samples) > 2 else ""
     kids: list[dict[str, int]] = [{}]
@@ -176,8 +185,6 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
         todo = [(p, q)]
         while todo:
             a, b = todo.pop()
-            if not seen[a] or not seen[b]:
-                continue
             if not agree(ends[a], seen[a], ends[b], seen[b]):
                 return False
             for s in kids[a].keys() | kids[b].keys():
@@ -188,7 +195,7 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
         return True
 
     def fold(p: int, q: int) -> None:
-        """Add the tree under q to what p leads to."""
+        """Add the tree under q to the one under p."""
         todo = [(p, q)]
         while todo:
             a, b = todo.pop()
@@ -201,23 +208,25 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
                 else:
                     kids[a][s] = y
 
-    red = [0]
-    while True:
-        settled = set(red)
-        blue = [(r, s, t) for r in red for s, t in sorted(kids[r].items()) if t not in settled]
-        if not blue:
-            break
-        parent, s, state = max(blue, key=lambda x: (seen[x[2]], -x[2]))
-        into = next((r for r in red if compatible(r, state)), None)
-        if into is None:
-            red.append(state)
-        else:
-            kids[parent][s] = into
-            fold(into, state)
-    name = {state: i for i, state in enumerate(red)}
-    out_of = [max(1, sum(flow[r].values()) + ends[r]) for r in red]
-    ways = [{s: n / whole for s, n in flow[r].items()} for r, whole in zip(red, out_of)]
-    return Automaton([{s: name[t] for s, t in kids[r].items()} for r in red], ways, [ends[r] / n for r, n in zip(red, out_of)], prefix)
+    layer, settled = [0], []
+    while layer:
+        settled += layer
+        kept, into = [], {}
+        for state in sorted((t for r in layer for t in kids[r].values()), key=lambda t: (-seen[t], t)):
+            like = next((k for k in kept if compatible(k, state)), None)
+            if like is None:
+                kept.append(state)
+            else:
+                fold(like, state)
+                into[state] = like
+        for r in layer:
+            kids[r] = {s: into.get(t, t) for s, t in kids[r].items()}
+        layer = kept
+    name = {state: i for i, state in enumerate(settled)}
+    out_of = [max(1, sum(flow[r].values()) + ends[r]) for r in settled]
+    ways = [{s: n / whole for s, n in flow[r].items()} for r, whole in zip(settled, out_of)]
+    onward = [name[kids[r][max(flow[r], key=lambda s: (flow[r][s], s))]] if kids[r] else name[r] for r in settled]  # noqa: B023
+    return Automaton([{s: name[t] for s, t in kids[r].items()} for r in settled], ways, [ends[r] / n for r, n in zip(settled, out_of)], prefix, onward)
 
 
 def chain(samples: list[str]) -> Automaton:
@@ -254,17 +263,21 @@ class Model:
     thresholds: list[float]
 
     def plain(self, token: str) -> float:
-        return (self.ordinary.get(shape(token)) or self.ordinary[""]).score(token)
+        """As ordinary as the automaton of the token's shape, or that of all shapes, finds it."""
+        of_all = self.ordinary[""].score(token)
+        own = self.ordinary.get(shape(token))
+        return max(own.score(token), of_all) if own else of_all
 
     def gain(self, token: str) -> float | None:
-        """The largest log-likelihood ratio by symbol, of a format against ordinary tokens, over its kind's threshold.
+        """The largest log-likelihood ratio by symbol, of a format against ordinary tokens, over what it has to reach.
 
-        A token is marked from 0 on; null where no format was learned.
+        That is its kind's threshold, and as much as outweighs PRIOR over the whole token. A token is marked from 0
+        on; null where no format was learned.
         """
         if not self.formats:
             return None
-        plain = self.plain(token)
-        return max(a.score(token) - plain - t for a, t in zip(self.formats, self.thresholds))
+        plain, least = self.plain(token), PRIOR / (len(token) + 1)
+        return max(a.score(token) - plain - max(t, least) for a, t in zip(self.formats, self.thresholds))
 
     def marks(self, token: str) -> bool:
         """Whether the token passes the threshold of a kind."""
