@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def save_results(results: dict[str, DataFrame], path: str) -> DataFrame:
-    """Write each result as Parquet under `path`, and a manifest (ord, name, rows, columns) that is returned."""
+    """Write each result as Parquet under `path`, and then a manifest (ord, name, rows, columns, folder), which is returned.
+
+    Rows are counted by the write itself. Each run writes to a folder of its own, and the manifest, which says where a
+    result is, comes last: a run that fails leaves the last complete one as it was. `load_results` reads by the manifest.
+    """
     spark: SparkSession = next(iter(results.values())).sparkSession
-    lines = []
+    run, lines = uuid.uuid4().hex, []
     for i, (name, df) in enumerate(results.items()):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        lines.append((i, name, spark.read.parquet(f"{path}/{name}").count(), ", ".join(df.columns)))
-    manifest = spark.createDataFrame(lines, "ord int, name string, rows long, columns string")
+        seen = Observation(f"rows of {name}")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/{run}/{name}")
+        lines.append((i, name, seen.get["rows"], ", ".join(df.columns), run))
+    manifest = spark.createDataFrame(lines, "ord int, name string, rows long, columns string, folder string")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest_table")
     return manifest
 
 
+def load_results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The results of the last complete run under `path`, in order; a manifest is as long as a report has tables."""
+    lines = spark.read.parquet(f"{path}/_manifest_table").orderBy("ord").collect()
+    return {r["name"]: spark.read.parquet(f"{path}/{r['folder']}/{r['name']}") for r in lines}
+
+
 def schedules_json(nested: DataFrame) -> DataFrame:
     """(id, json): one document for each schedule, dates as ISO text, nulls left out."""
     return nested.select("id", F.to_json(F.struct(*[c for c in nested.columns if c != "id"]), {"dateFormat": "yyyy-MM-dd"}).alias("json"))

@@ -133,3 +133,21 @@ def test_links_of_a_small_book(spark):
     assert reach(links.dependents(cells, place(("In", 5000, 28)))) == {("Out", 4): 1}
     assert links.dependents(cells, place(("In", 1, 1)).where("false")).count() == 0
     assert links.references(cells.where("false")).count() == 0
+
+
+def test_versions_compare_by_digests(spark):
+    from ledgerbeam.operators import versions
+
+    a = spark.range(20_000).select("id", F.concat(F.lit("n"), F.col("id") % 7).alias("name"), (F.col("id") * 2).alias("v"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("w"))
+    shuffled = a.repartition(7).orderBy(F.desc("v"))
+    one, two = versions.digests(a, ["id"], ["v", "w"]), versions.digests(shuffled, ["id"], ["v", "w"])
+    assert versions.differing(one, two) == []
+    broken = a.select("id", F.raise_error(F.lit("read")).cast("long").alias("v"), F.lit(1).cast("long").alias("w"))
+    assert versions.changes(broken, broken, ["id"], ["v", "w"], trees=(one, two)).count() == 0  # equal versions read no row
+    b = a.where("id <> 77").withColumn("v", F.when(F.col("id") == 5000, 1).otherwise(F.col("v"))).withColumn("w", F.when(F.col("id") == 10, F.lit(3)).otherwise(F.col("w")))
+    b = b.union(spark.createDataFrame([(99_999, "x", 4, None)], "id long, name string, v long, w long"))
+    got = versions.changes(a, b, ["id"], ["v", "w"])
+    assert sorted((r["id"], r["diff_v"], r["diff_w"], r["status"]) for r in got.collect()) == [(10, 0, -3, "both"), (77, 154, 77, "only in first"), (5000, 9999, 0, "both"), (99_999, -4, 0, "only in second")]
+    assert len(versions.differing(one, versions.digests(b, ["id"], ["v", "w"]))) == 4
+    none = a.where("false")
+    assert versions.changes(none, none, ["id"], ["v", "w"]).count() == 0 and versions.changes(none, a.limit(3), ["id"], ["v"]).count() == 3

@@ -4,6 +4,7 @@ import datetime as dt
 import zipfile
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerbeam.schema import LEDGER
@@ -85,6 +86,34 @@ def test_register_sections(spark):
 def test_manifest(spark, tmp_path):
     m = sinks.save_results({"b": spark.range(3), "a": spark.range(1)}, str(tmp_path / "out"))
     assert [(r["name"], r["rows"]) for r in m.orderBy("ord").collect()] == [("b", 3), ("a", 1)]
+    assert [(n, df.count()) for n, df in sinks.load_results(spark, str(tmp_path / "out")).items()] == [("b", 3), ("a", 1)]
+
+
+def test_a_run_that_fails_leaves_the_last_one(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.save_results({"a": spark.range(4), "none": spark.range(0)}, path)
+    with pytest.raises(Exception, match="broken"):
+        sinks.save_results({"a": spark.range(9), "b": spark.range(1).select(F.raise_error(F.lit("broken")))}, path)
+    assert {n: df.count() for n, df in sinks.load_results(spark, path).items()} == {"a": 4, "none": 0}
+
+
+def test_sums_after_marks_as_lines_arrive(spark, tmp_path):
+    from ledgerbeam.operators.criteria import max_then_sum_after
+    from ledgerbeam.streaming.marks import sums_after_marks
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", F.to_date("ts").alias("day"), "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
+    events.orderBy(F.xxhash64("day", "value")).repartition(5).write.parquet(str(tmp_path / "in"))  # late lines and late marks
+    mark = (F.col("event_type") == "error") & (F.col("value") > 10)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r["user_id"]: (r["last_mark"], r["accrued"]) for r in batch.collect()})
+
+    query = sums_after_marks(stream, "user_id", "day", mark, F.col("value")).writeStream.outputMode("update").foreachBatch(keep)
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
+    want = max_then_sum_after(events.select("user_id").distinct(), events, ["user_id"], "day", mark, F.col("value"), "accrued", "last_mark")
+    assert seen == {r["user_id"]: (r["last_mark"], r["accrued"]) for r in want.collect()} and any(m for m, _ in seen.values())
 
 
 def test_stream_equals_batch(spark, tmp_path):
