@@ -263,21 +263,21 @@ class Model:
     thresholds: list[float]
 
     def plain(self, token: str) -> float:
-        """As ordinary as the automaton of the token's shape, or that of all shapes, finds it."""
-        of_all = self.ordinary[""].score(token)
-        own = self.ordinary.get(shape(token))
-        return max(own.score(token), of_all) if own else of_all
+        """How ordinary the automaton of the token's shape finds it, or that of all shapes where there is none."""
+        return (self.ordinary.get(shape(token)) or self.ordinary[""]).score(token)
 
     def gain(self, token: str) -> float | None:
         """The largest log-likelihood ratio by symbol, of a format against ordinary tokens, over what it has to reach.
 
-        That is its kind's threshold, and as much as outweighs PRIOR over the whole token. A token is marked from 0
-        on; null where no format was learned.
+        That is its kind's threshold, and as much as outweighs PRIOR over the whole token. A token that would be marked
+        has to gain as much on the automaton of all shapes. It is marked from 0 on; null where no format was learned.
         """
         if not self.formats:
             return None
-        plain, least = self.plain(token), PRIOR / (len(token) + 1)
-        return max(a.score(token) - plain - max(t, least) for a, t in zip(self.formats, self.thresholds))
+        least = PRIOR / (len(token) + 1)
+        own = max(a.score(token) - max(t, least) for a, t in zip(self.formats, self.thresholds))
+        found = own - self.plain(token)
+        return found if found < 0 else min(found, own - self.ordinary[""].score(token))
 
     def marks(self, token: str) -> bool:
         """Whether the token passes the threshold of a kind."""
