@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import logging
 import math
 import os
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -360,31 +362,43 @@ def separate(known: dict[str, list[str]], others: list[str]) -> Model:
     return model
 
 
+def _smallest(hashes: dict[str, int], n: int) -> list[tuple[str, int]]:
+    """The `n` pieces with the smallest hashes, as signed numbers, with these."""
+    return heapq.nsmallest(n, hashes.items(), key=lambda x: (x[1] - (x[1] >> 63 << 64), x[0]))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn formats from the credentials that the base patterns label, in all of `docs`.
 
     For each kind, and for each shape of the tokens outside base spans, the `sample` distinct pieces with the
-    smallest hashes are fitted on; finding them reads every text. `separate` finds the thresholds. A kind with under
+    smallest hashes are fitted on; finding them reads every text, and a task hands over no more than these. `separate` finds the thresholds. A kind with under
     three pieces has no format. Without a kind, or with under three other tokens, the automata mark nothing, which
     is logged; so an empty table, or one of null texts, gives a model without formats.
     """
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[str, str], dict[str, int]] = {}  # hashes of the pieces of each kind and shape, the least of the task
         for batch in batches:
-            rows = set()
             for text in batch.column(0).to_pylist():
                 text = text or ""
                 words = _long_words(text)
                 spans = base_spans(text, words)
                 found = [(k, ASSIGN.match(text, s)[2] if k == "assign" else text[s:e]) for s, e, k in spans]
                 found += [("other", text[s:e]) for s, e in _tokens(words, spans)]
-                rows.update((k, p if last else p + GOES_ON) for k, v in found for p, last in pieces(v))
-            made = [(k, "" if k != "other" else shape(v), v) for k, v in sorted(rows)]
-            columns = zip(*made) if made else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "shape", "value"])
-
-    found = docs.select("text").mapInArrow(labelled, "kind string, shape string, value string").distinct()
-    found = found.withColumn("hash", F.xxhash64("value")).withColumn("part", F.pmod("hash", F.lit(64)))
+                for k, v in found:
+                    of = least.setdefault((k, "" if k != "other" else shape(v)), {})
+                    for p, last in pieces(v):
+                        piece = p if last else p + GOES_ON
+                        if piece not in of:
+                            of[piece] = xxhash.xxh64_intdigest(piece.encode(), 42)
+                    if len(of) > 8 * sample:
+                        least[k, "" if k != "other" else shape(v)] = dict(_smallest(of, sample))
+        made = [(k, form, v, h - (h >> 63 << 64)) for (k, form), of in least.items() for v, h in _smallest(of, sample)]
+        columns = list(zip(*made)) if made else [()] * 4
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:3]], pa.array(columns[3], pa.int64())], ["kind", "shape", "value", "hash"])
+
+    found = docs.select("text").mapInArrow(labelled, "kind string, shape string, value string, hash long").distinct()
+    found = found.withColumn("part", F.pmod("hash", F.lit(64)))
     for by in (("kind", "shape", "part"), ("kind", "shape")):  # the least of each part, then the least of these
         first = W.partitionBy(*by).orderBy("hash", "value")
         found = found.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
