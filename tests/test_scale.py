@@ -151,3 +151,24 @@ def test_versions_compare_by_digests(spark):
     assert len(versions.differing(one, versions.digests(b, ["id"], ["v", "w"]))) == 4
     none = a.where("false")
     assert versions.changes(none, none, ["id"], ["v", "w"]).count() == 0 and versions.changes(none, a.limit(3), ["id"], ["v"]).count() == 3
+
+
+def test_bucketed_tables_sum_without_a_shuffle(spark):
+    from ledgerbeam.operators import criteria
+    from ledgerbeam.plans.tables import ledger, register
+    from ledgerbeam.sources import layout
+
+    d = "/root/testdata/sf0.001"
+    lines = layout.save_bucketed(ledger(spark, d), "lb_ledger_by_obligation", "obligation_id", 4, ["account"])
+    debts = layout.save_bucketed(register(spark, d), "lb_register_by_obligation", "obligation_id", 4)
+    try:
+        picked = lines.where(layout.begins("account", "r"))
+        got = criteria.attach(debts.select("obligation_id", "balance"), picked, ["obligation_id"], total=F.sum("amount"))
+        plan = got._jdf.queryExecution().toString()
+        assert "Exchange hashpartitioning" not in plan and "StringStartsWith(account_folded,R)" in plan
+        want = criteria.attach(register(spark, d).select("obligation_id", "balance"), ledger(spark, d).where("account like 'R%'"), ["obligation_id"], total=F.sum("amount"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert lines.where(layout.is_text("account", "rf")).count() == ledger(spark, d).where("account = 'RF'").count()
+    finally:
+        spark.sql("DROP TABLE lb_ledger_by_obligation")
+        spark.sql("DROP TABLE lb_register_by_obligation")
