@@ -5,7 +5,7 @@ A string of `length` bytes that occurs twice holds, in both places and at the sa
 
 1. Texts give their anchors with a hash of the context, the bytes that any string around the anchor can reach.
    Of equal contexts all but the first are repeats throughout. Anchors whose contexts differ need a closer look.
-2. For these the context bytes are fetched. In each bucket the suffixes that start at anchors, and the reversed
+2. For these the context bytes are fetched; of an anchor with very many contexts, a hash of each string. In each bucket the suffixes that start at anchors, and the reversed
    prefixes that end there, are sorted and their common prefixes taken; two strings at the same offset from an
    anchor are equal exactly if both sides agree far enough.
 3. The repeated ranges of each document are joined and cut out.
@@ -33,19 +33,20 @@ SHALLOW = 40
 PIECE = 1 << 20
 #: Bytes of text to a bucket of anchors, about.
 PER_BUCKET = 48 << 20
-#: Contexts of one anchor that are compared in one group; of an anchor with more, in groups that share more bytes.
+#: Contexts of one anchor that are sorted in one group; of an anchor with more, each string goes where its hash says.
 HOT = 2000
-#: Offsets of strings from a hot anchor that one group looks at.
-OFFSETS = 12
 #: Added to the buckets of hot anchors.
 HOT_MARK = 1 << 40
+#: Strings of hot anchors that a task holds at a time.
+STRINGS = 200_000
 #: Documents that very common anchors are looked for in, about, and how often one has to be there. Results don't depend on it.
 SAMPLE, OFTEN = 20_000, 8
 #: Marks the anchors found so, in the place of their records.
 COMMON = np.uint32(1 << 31)
 
 ANCHOR = np.dtype([("h", "<u4"), ("c", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4")])
-NEED = np.dtype([("g", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4"), ("left", "<u1"), ("right", "<u1"), ("low", "<u1"), ("high", "<u1")])
+NEED = np.dtype([("g", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4"), ("left", "<u1"), ("right", "<u1")])
+STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4")])
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -262,38 +263,60 @@ def _classes(buckets: int, hot: int):
     return run
 
 
+def _later(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of records of strings: the first of each, and the places of all others. One place met twice is no repeat."""
+    strings = np.unique(strings)  # by hash, and then by age
+    again = np.r_[False, (strings["a"][1:] == strings["a"][:-1]) & (strings["b"][1:] == strings["b"][:-1])]
+    return strings[~again], strings[again]
+
+
 def _context_rows(length: int, buckets: int):
     """Per batch of documents with anchors to look at: their context bytes, packed by bucket.
 
-    A string that begins r bytes before an anchor, low <= r <= high, holds the `low` bytes before it and the
-    `length - high` from it on. So the contexts of a hot anchor go, for each stretch of offsets, to a group of
-    those that share these bytes: however common the anchor's own gram is, what surrounds it parts them.
+    However common a hot anchor is, the strings around it are as different as what surrounds it. So each string that
+    holds one goes on by itself, as 128 bits of hash and a place, to the bucket that its hash says; of equal ones the
+    batch hands on the first, and the others are repeats already. These lie in buckets from 2 * HOT_MARK on.
     """
     reach = length - GRAM
-    parts = [(low, min(low + OFFSETS - 1, reach)) for low in range(0, reach + 1, OFFSETS)]
-    digest = xxhash.xxh64_intdigest
+
+    def flush(strings: list[np.ndarray]) -> Iterator[tuple]:
+        first, again = _later(np.concatenate(strings))
+        for mark, rows, by in ((HOT_MARK, first, (first["a"] % np.uint64(buckets)).astype(np.int64)), (2 * HOT_MARK, again, again["doc"] % buckets)):
+            order = np.argsort(by, kind="stable")
+            edges = np.flatnonzero(np.r_[True, by[order][1:] != by[order][:-1]]) if len(rows) else []
+            for s, e in zip(edges, np.r_[edges[1:], len(rows)] if len(rows) else []):
+                yield mark + int(by[order[s]]), rows[order[s:e]].tobytes(), b"", b""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["bucket", "head", "before", "after"]
         for b in batches:
             by: dict[int, list] = {}
+            strings, held = [], 0
             for doc, tie, text, at, owners, hs in zip(b["doc"], b["tie"], b["text"], b["at"], b["buckets"], b["hs"]):
                 data = text.encode("utf-8", "surrogatepass")
+                starts: set[int] = set()
                 for p, k, h in zip(at.tolist(), owners.tolist(), hs.tolist()):
-                    before, after = data[max(0, p - reach) : p], data[p : p + length]
-                    packed = before[::-1].ljust(reach, b"\0"), after.ljust(length, b"\0")
-                    sides = doc, tie, p, len(before), len(after)
-                    if k < HOT_MARK:
-                        by.setdefault(k, []).append(((h, *sides, 0, reach), *packed))
+                    if k >= HOT_MARK:
+                        starts.update(range(max(0, p - reach), min(p, len(data) - length) + 1))
                         continue
-                    for low, high in parts:
-                        if len(before) >= low and len(after) >= length - high:
-                            g = digest(data[p - low : p + length - high], low)
-                            by.setdefault(g % buckets, []).append(((g, *sides, low, high), *packed))
+                    before, after = data[max(0, p - reach) : p], data[p : p + length]
+                    by.setdefault(k, []).append(((h, doc, tie, p, len(before), len(after)), before[::-1].ljust(reach, b"\0"), after.ljust(length, b"\0")))
+                if starts:
+                    made = np.empty(len(starts), STRING)
+                    made["start"] = sorted(starts)
+                    hashes = [xxhash.xxh3_128_digest(data[s : s + length]) for s in made["start"].tolist()]
+                    made["a"], made["b"] = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2).T
+                    made["doc"], made["tie"] = doc, tie
+                    strings.append(made)
+                    held += len(made)
+                if held >= STRINGS:
+                    yield pd.DataFrame(flush(strings), columns=names)
+                    strings, held = [], 0
             rows = []
             for k, found in by.items():
                 head = np.array([x[0] for x in found], NEED)
                 rows.append((k, head.tobytes(), b"".join(x[1] for x in found), b"".join(x[2] for x in found)))
-            yield pd.DataFrame(rows, columns=["bucket", "head", "before", "after"])
+            yield pd.DataFrame(rows + (list(flush(strings)) if strings else []), columns=names)
 
     return run
 
@@ -416,7 +439,20 @@ def _ranges(length: int):
     """Per bucket: for each first context, the range of its strings that start earlier elsewhere."""
     reach = length - GRAM
 
+    def hot(pdf: pd.DataFrame, all_are: bool) -> pd.DataFrame:
+        strings = np.frombuffer(b"".join(pdf["head"]), STRING)
+        found = strings if all_are else _later(strings)[1]
+        found = found[np.lexsort((found["start"], found["tie"], found["doc"]))]
+        start = found["start"].astype(np.int64)
+        # what overlaps in one document is one range
+        fresh = np.r_[True, (found["doc"][1:] != found["doc"][:-1]) | (found["tie"][1:] != found["tie"][:-1]) | (start[1:] > start[:-1] + length)][: len(found)]
+        last = np.r_[np.flatnonzero(fresh)[1:] - 1, len(found) - 1] if len(found) else np.empty(0, np.int64)
+        return pd.DataFrame({"doc": found["doc"][fresh], "tie": found["tie"][fresh].astype(np.int64), "start": start[fresh], "stop": start[last] + length})
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        if bucket >= HOT_MARK:
+            return hot(pdf, bucket >= 2 * HOT_MARK)
         head = np.frombuffer(b"".join(pdf["head"]), NEED)
         after = np.frombuffer(b"".join(pdf["after"]), np.uint8).reshape(-1, length)
         before = np.frombuffer(b"".join(pdf["before"]), np.uint8).reshape(-1, reach) if reach else np.zeros((len(head), 0), np.uint8)
@@ -434,7 +470,7 @@ def _ranges(length: int):
         for r in range(reach + 1):
             right_at[right_order] = np.cumsum(right_lcp < length - r)
             left_at[left_order] = np.cumsum(left_lcp < r)
-            live = np.flatnonzero((head["left"] >= r) & (head["right"] >= length - r) & (head["low"] <= r) & (r <= head["high"]))
+            live = np.flatnonzero((head["left"] >= r) & (head["right"] >= length - r))
             key = right_at[live] * (n + 1) + left_at[live]
             order = np.lexsort((age[live], key))
             later = order[np.r_[False, key[order][1:] == key[order][:-1]]] if len(order) else order
@@ -500,8 +536,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT, sample: i
     stay. A null doc_id comes after all others. Rows that share a doc_id count as documents in order of a hash
     of their text; rows that share both are one document, and each gets its result. Other columns, whatever their
     names, are ignored; an empty table gives an empty result. Very long texts are hashed a piece at a time and held
-    whole by one task. That two whole contexts are equal is told by 96 bits of hashes of anchor and context; other
-    strings are compared by their bytes.
+    whole by one task. That two whole contexts are equal is told by 96 bits of hashes of anchor and context, and that
+    two strings around an anchor with over `hot` contexts are, by 128 bits; other strings are compared by their bytes.
     """
     if not GRAM < length <= 255:
         raise ValueError("length must be from 33 to 255")

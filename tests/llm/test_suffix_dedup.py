@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerbeam.llm import suffix_dedup as sd
@@ -179,3 +180,19 @@ def test_exact_ids_beside_nulls(spark):
     docs = spark.createDataFrame([(big, "x" * 300, "q"), (None, None, "r"), (big + 1, "x" * 300, "s")], "doc_id long, text string, bucket string").coalesce(1)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in sd.remove_repeats(docs).collect()}
     assert got == {big: (300, 299), None: (0, 0), big + 1: (300, 300)}
+
+
+def test_strings_around_a_common_line_spread_over_buckets():
+    rng = random.Random(34)
+    line, n = letters(rng, 96), 3000
+    texts = [letters(rng, 100) + line + letters(rng, 100) for _ in range(n)]
+    at = [np.array([150])] * n
+    hot, plain = [np.array([sd.HOT_MARK])] * n, [np.array([7])] * n
+    made = lambda owners: sd._context_rows(100, 64)(iter([pd.DataFrame({"doc": range(n), "tie": 0, "text": texts, "at": at, "buckets": owners, "hs": plain})]))
+    rows = pd.concat(list(made(hot)))
+    first = rows[rows["bucket"] < 2 * sd.HOT_MARK]
+    held = [len(h) // sd.STRING.itemsize for h in first["head"]]
+    again = sum(len(h) // sd.STRING.itemsize for h in rows["head"]) - sum(held)
+    assert sum(held) + again == n * 69 and len(held) == 64 and max(held) < 2 * sum(held) / 64
+    assert len({h for h in first["bucket"]}) == 64
+    assert {k for r in made(plain) for k in r["bucket"]} == {7}
