@@ -61,7 +61,7 @@ def classify_indexed(lines: DataFrame, column: str, rules: DataFrame, default: s
     `rules` has (priority, kind, pattern, result) with the kinds of `rules.Rule`, and may be as large as a table is.
     Each rule is found by that of its pieces which the fewest lines have, by an equi-join, and then checked; so a
     line meets only rules that share a rare piece with it. Lines with equal texts are classified once. Of equal
-    priorities the pattern that sorts first decides. Regular expressions and patterns without letters or digits
+    priorities the pattern that sorts first decides, and of equal patterns the result. Regular expressions and patterns without letters or digits
     have no piece: these stay one expression and have to be few (`rules.MOST_RULES`). Null texts match nothing.
     """
     texts = lines.select(F.col(column).alias("_text")).where("_text is not null").distinct()

@@ -46,7 +46,7 @@ def classify(rules: list[Rule], default: str) -> Column:
 
 def rules_from_table(table: DataFrame, column: str) -> list[Rule]:
     """Rules from rows (priority, kind, pattern, result) on one column; the table's size is checked."""
-    rows = table.orderBy("priority").limit(MOST_RULES + 1).collect()
+    rows = table.orderBy("priority", "pattern", "result").limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
         raise ValueError(f"over {MOST_RULES} rules")
     return [Rule(r["result"], ((column, r["kind"], r["pattern"]),)) for r in rows]
