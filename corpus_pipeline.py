@@ -4,6 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on every document that the one bef
 Parquet before the next one reads it. All of them take empty tables, which stay empty, null and empty texts, which
 are neither toxic nor secret and encode to no ids, repeated rows, each of which counts, very long texts, which are
 read whole, and further columns of any name, which come through as they are but for n_chars, which follows the text.
+Stages that hand whole texts to Python lower the session's rows of an Arrow batch to BATCH, which changes no result.
 """
 
 from __future__ import annotations
@@ -14,9 +15,20 @@ from pyspark.sql import functions as F
 from ledgerbeam.llm import mixing, near_copies, secrets, sentencepiece_scan, toxicity
 from ledgerbeam.llm.common import cut
 
+#: Rows that Spark hands to Python at a time, at most: the JVM and the worker both hold a batch of whole texts.
+BATCH = 2048
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on batches of at most BATCH rows; a smaller setting stays. Results are lazy, so it is not set back."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH:
+        spark.conf.set(_ROWS, str(BATCH))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned score does not reject, null and empty texts among them."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
@@ -26,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     An id whose rows have several texts stays if one of them is the first of its group.
     """
+    _small_batches(spark)
     found = near_copies.near_copies(docs)
     first = F.max(F.col("doc_id") == F.col("component_id"))
     others = found.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first")).where("not first")
@@ -34,6 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, rows and ids with their secrets masked; null texts stay null."""
+    _small_batches(spark)
     return secrets.redact(docs, secrets.fit(docs))
 
 
@@ -44,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and what they decode to; null and empty texts have none and decode to empty ones."""
+    _small_batches(spark)
     return sentencepiece_scan.encode(docs, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
     )

@@ -2,6 +2,7 @@
 
 import importlib
 
+import pyarrow as pa
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,40 @@ def test_nulls_empty_texts_repeated_rows_and_clashing_columns(spark, tmp_path):
                 assert kept.count(None) == 2 and big in kept and kept.count(7) == 2
                 assert [r["score"] for r in found if r["doc_id"] == big] == [big]
         assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+
+
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@pytest.fixture
+def rows_of_a_batch(spark):
+    """Sets the rows of an Arrow batch, and sets them back after the test."""
+    given = spark.conf.get(ROWS)
+    yield lambda n: spark.conf.set(ROWS, str(n))
+    spark.conf.set(ROWS, given)
+
+
+def largest_batch(spark):
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    return max(r["n"] for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect())
+
+
+@pytest.mark.parametrize("stage", ["drop_toxic", "drop_near_copies", "mask_secrets", "encode"])
+def test_stages_hand_python_small_batches(spark, rows_of_a_batch, stage):
+    """10,000 whole texts at a time fill an executor beside its workers."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for given, most in ((10_000, 2048), (0, 2048), (300, 300)):
+        rows_of_a_batch(given)
+        getattr(pipeline, stage)(spark, docs, SF)
+        assert largest_batch(spark) == most
+
+
+def test_batches_of_any_size_give_the_same(spark, stages, rows_of_a_batch):
+    pipeline = importlib.import_module("corpus_pipeline")
+    rows_of_a_batch(7)
+    before = stages["documents"]
+    for name, f in pipeline.STAGES:
+        got = f(spark, before, SF)
+        assert sorted(map(str, got.collect())) == sorted(map(str, stages[name].collect())), name
+        before = stages[name]
