@@ -59,9 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and what they decode to; null and empty texts have none and decode to empty ones."""
     _small_batches(spark)
-    return sentencepiece_scan.encode(docs, decoded=True).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
-    )
+    found = sentencepiece_scan.encode(docs, digest=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from array import array
 from collections.abc import Iterator
 from functools import reduce
@@ -252,7 +253,7 @@ def _packer(m: Pieces) -> Remembered:
     return found
 
 
-def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHUNK, decoded: bool = False, digest: bool = False) -> DataFrame:
     """(doc_id, ids) for each row: the best segmentation of every whole text, as piece ids.
 
     A text of over two chunks is cut. Its chunks give transfer matrices between boundary states, which max-plus
@@ -262,7 +263,7 @@ def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHU
     chunks; scores that are no whole numbers may round differently there, which could tell only between equals.
     Null and empty texts have no ids; repeated rows each keep their row, ids of rows their type; an empty table gives
     an empty result; other columns, whatever their names, are ignored. With `decoded` a third column holds the text
-    that the ids decode to.
+    that the ids decode to; with `digest` instead, `decoded_sha256` holds its SHA-256, so that no text comes back.
     """
     pieces = unigram.load(model)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
@@ -278,18 +279,21 @@ def encode(docs: DataFrame, model: str = unigram.DEFAULT_MODEL, chunk: int = CHU
             flat = np.frombuffer(b"".join(packed), "<i4")
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
             found = [pa.ListArray.from_arrays(ends, flat)]
-            if decoded:
+            if decoded or digest:
                 flat = flat.tolist()
-                found.append(pa.array([unigram.decode(m, flat[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string()))
+                back = (unigram.decode(m, flat[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist()))
+                found.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back] if digest else list(back), pa.string()))
             return found
 
         return find
 
-    short = by_text(given.where(~is_long), ["doc_id"], "ids array<int>" + (", text string" if decoded else ""), make, ROWS)
+    short = by_text(given.where(~is_long), ["doc_id"], "ids array<int>" + (", decoded_sha256 string" if digest else ", text string" if decoded else ""), make, ROWS)
     # equal texts have equal ids, so a digest of the text can stand for the row
     giant = given.where(is_long).withColumn("row", F.sha2("text", 256))
     found = _long_texts(giant.dropDuplicates(["row"]), pieces, shared, chunk)
     long = giant.select("doc_id", "row").join(found, "row").select("doc_id", "ids")
+    if digest:
+        return short.unionByName(decode(long, model).select("doc_id", "ids", F.sha2("text", 256).alias("decoded_sha256")))
     return short.unionByName(decode(long, model) if decoded else long)
 
 

@@ -124,3 +124,13 @@ def test_exact_ids_and_clashing_columns(spark):
     assert sorted(map(str, (r["doc_id"] for r in back))) == sorted(map(str, want))
     assert {r["doc_id"]: r["text"] for r in back} == {big: "a b", None: "", 3: "word " * 60_000}
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs).collect()} == {r["doc_id"]: len(r["ids"]) for r in back}
+
+
+def test_digests_are_those_of_the_decoded_texts(spark):
+    """Short texts, a text in chunks, null and empty ones: no text has to come back for its digest."""
+    rows = [(i, t) for i, t in enumerate([*texts(20, seed=4), "the loser of " * 40, "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda df, *cols: sorted(map(str, df.select("doc_id", "ids", *cols).collect()))
+    got = scan.encode(docs, chunk=64, digest=True)
+    assert got.columns == ["doc_id", "ids", "decoded_sha256"]
+    assert kept(got, "decoded_sha256") == kept(scan.encode(docs, chunk=64, decoded=True), F.sha2("text", 256).alias("decoded_sha256"))
