@@ -135,6 +135,49 @@ def test_links_of_a_small_book(spark):
     assert links.references(cells.where("false")).count() == 0
 
 
+def test_dependents_against_a_search_and_without_broadcasts(spark, monkeypatch, tmp_path):
+    """Ranges of all lengths, whole columns, cycles, a target of many formulas; no join may rest on an estimate."""
+    from ledgerbeam.operators import links
+
+    rng = random.Random(5)
+    rows, named = [], {}
+    for sheet in ("A", "B"):
+        for row in range(120):
+            for col in (1, 2):
+                to, first, c = rng.choice("AB"), rng.randrange(130), rng.choice((1, 2, 2, 3))
+                last, whole = first + rng.choice((0, 0, 1, 3, 6, 20, 70)), rng.random() < 0.02
+                if rng.random() < 0.7:
+                    rows.append((sheet, row, col, "5"))
+                    continue
+                rows.append((sheet, row, col, f"=SUM({to}!A:{'ABC'[c - 1]})+B!C9" if whole else f"={to}!A{first}:{'ABC'[c - 1]}${last}*2"))
+                named[sheet, row, col] = (to, 0 if whole else first, 999 if whole else last, c)
+    rows.append(("B", 9, 3, "=A9223372036854775807"))
+    start = ("A", 60, 1)
+    want, front, steps = {}, {start}, 0
+    while front:
+        steps += 1
+        hit = {f for f, (to, a, z, c) in named.items() if any(s == to and a <= r <= z and k <= c for s, r, k in front)}
+        front = {f for f in hit if f not in want}
+        want |= dict.fromkeys(front, steps)
+    assert steps > 4
+    plans, was = [], spark.conf.get("spark.sql.adaptive.enabled")
+
+    def cut(df, made=links.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return made(df)
+
+    monkeypatch.setattr(links, "cut", cut)
+    monkeypatch.setattr(links, "PART", 50, raising=False)
+    spark.createDataFrame(rows, "sheet string, row int, col int, value string").write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")  # of a few kB, as Spark sees it
+    found = links.dependents(cells, spark.createDataFrame([start], "sheet string, row int, col int"))
+    assert found.columns == ["sheet", "row", "col", "steps"]
+    assert {tuple(r)[:3]: r["steps"] for r in found.collect()} == want and found.count() == len(want)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == was
+
+
 def test_versions_compare_by_digests(spark):
     from ledgerbeam.operators import versions
 
