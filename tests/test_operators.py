@@ -178,6 +178,27 @@ def test_sheet_names_with_quotes(spark):
     assert row[0] == "='Sam''s'!A2+'Sam''s'!B$2:B$9"
 
 
+def test_formulas_by_both_ways_of_cutting(spark):
+    """Names that look like references; long, unfinished and doubled quotes; characters that part records."""
+    bodies = [
+        ("LOG10(A1)+LOG10 (A1)", "LOG10(A11)+LOG20 (A11)"), ("SUM(Old!A1:B2,'Old'!$C$3)&\"é'!\"", "SUM(A11:B12,$C$13)&\"é'!\""), ("A1!B2+Old!x+Añ!A1", "A1!B2+Old!x+Añ!A1"), ("Gone!A$1+Gone!B:C", "'Here now'!A$1+'Here now'!B:C"),
+        ('"A1""A1"&A1&"A1""A1', '"A1""A1"&A11&"A1""A11'), ("'My Sheet'!A1&'My Sheet&A1", "A41&'My Sheet&A11"), ("'My Sheet'!$A:$B", "$A$41:$B$60"), ("", ""), ("A1$B2:C3\nA1", "A11$B12:C13\nA11"), ("A:A*ABCD1*A1B*A99999999999999999999", "A$11:A$30*ABCD1*A1B*A$11"),
+    ]
+    bodies += [('"' + 'x""' * 20_000 + '"&A1', '"' + 'x""' * 20_000 + '"&A11'), ("A1+" * 2_000 + "-" * 20_000 + "f(" * 9_000, "A11+" * 2_000 + "-" * 20_000 + "f(" * 9_000)]
+    bodies += [(f + '&"' + mark + '"+A2', want + '&"' + mark + '"+A12') for f, want in bodies if f.count('"') % 2 == 0 and f.count("'") % 2 == 0 for mark in ("\x01", "\x02\x01")]
+    df = spark.createDataFrame([("=" + f, "=" + want) for f, want in bodies], "f string, want string")
+    moves = {"Old": refs.Move("Old", 10, 11, 30), "My Sheet": refs.Move("Old", 40, 41, 60)}
+    rows = df.select(refs.translate(F.col("f"), F.lit("Old"), moves, {"Gone": "Here now"}).alias("got"), "want").collect()
+    assert [r["got"][:300] for r in rows if r["got"] != r["want"]] == []
+
+
+def test_translation_makes_no_exception_and_cuts_a_formula_once(spark):
+    """A cast of an empty text throws and catches inside; an expression named twice in a lambda is worked out twice."""
+    df = spark.createDataFrame([("=A1",)], "f string").select(refs.translate(F.col("f"), F.lit("Old"), MOVES).alias("got"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract(") == 0
+
+
 def test_cells_keep_their_origin(spark):
     cells = spark.createDataFrame([("Old", 1, 1, "=A2"), ("Old", 2, 1, "5"), ("Main", 1, 1, "=Old!A1")], "sheet string, row int, col int, value string")
     got = sorted(tuple(r) for r in refs.translate_cells(cells, MOVES).collect())
